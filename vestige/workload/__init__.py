@@ -1 +1,6 @@
+"""Registered queries over the driver tables."""
 
+from vestige.workload import graph_queries, time_queries  # noqa: F401
+from vestige.workload.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
