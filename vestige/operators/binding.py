@@ -69,22 +69,27 @@ def operations(
 
 def _round(ops: DataFrame, states: DataFrame) -> DataFrame:
     """One application of the rule to every operation."""
-    known = states.select("trace_id", "pid", "ts_ns", "seq", "step", "session", "server")
-    own = known.select(
-        "trace_id", "pid", "ts_ns", "seq", "step",
-        F.col("session").alias("own_session"), F.col("server").alias("own_server"),
-    )
-    par = known.select(
-        "trace_id", F.col("pid").alias("parent"), "ts_ns", "seq", "step",
-        F.col("session").alias("par_session"), F.col("server").alias("par_server"),
-    )
-    tie = {"ties": ["seq", "step"], "right_ties": ["seq", "step"], "same_instant": False}
-    rows = asof(ops, own, ["trace_id", "pid"], "ts_ns", "ts_ns", ["own_session", "own_server"], **tie)
-    needs = rows.filter("parent IS NOT NULL")
-    alone = rows.filter("parent IS NULL")
-    rows = asof(needs, par, ["trace_id", "parent"], "ts_ns", "ts_ns", ["par_session", "par_server"], **tie).unionByName(
-        alone, allowMissingColumns=True
+    known = states.select("trace_id", F.col("pid").alias("who"), "ts_ns", "seq", "step", "session", "server")
+    # Each operation asks for its own pid's state and for its parent's in one scan.
+    asks = ops.withColumn(
+        "ask",
+        F.explode(
+            F.filter(
+                F.array(
+                    F.struct(F.lit("own").alias("side"), F.col("pid").alias("who")),
+                    F.struct(F.lit("par").alias("side"), F.col("parent").alias("who")),
+                ),
+                lambda a: a.who.isNotNull(),
+            )
+        ),
+    ).select("*", "ask.side", "ask.who").drop("ask")
+    seen = asof(
+        asks, known, ["trace_id", "who"], "ts_ns", "ts_ns", ["session", "server"],
+        ties=["seq", "step"], right_ties=["seq", "step"], same_instant=False,
     )
+    cols = ["trace_id", "ts_ns", "seq", "step", "kind", "pid", "parent", "clone_ts", "label", "layer"]
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}")
+    rows = seen.groupBy(*cols).agg(*[at(side, c) for side in ("own", "par") for c in ("session", "server")])
     kind = F.col("kind")
     server_name = F.concat_ws("|", F.col("pid").cast("string"), F.col("seq").cast("string"), F.col("label"))
     inherits = (kind == "clone") & F.col("own_session").isNull() & F.col("par_session").isNotNull()
@@ -185,7 +190,7 @@ def tool_calls(events: DataFrame, states: DataFrame, server_rows: DataFrame, *,
     """
     sends = events.filter("event = 'sendto' AND buf IS NOT NULL").select("trace_id", "ts_ns", "seq", "pid", "buf")
     sends = sends.withColumn("text", rpc.frame(F.col("buf"))).drop("buf")
-    sends = attribute(sends, states)
+    sends = settle(attribute(sends, states))
     requests = sends.withColumn("name", rpc.call_name(F.col("text"))).filter("session IS NOT NULL AND name IS NOT NULL")
     opened = server_rows.select(
         "trace_id", F.col("session_id").alias("session"), "t_start_ns", F.col("seq").alias("open_seq"),
@@ -195,15 +200,14 @@ def tool_calls(events: DataFrame, states: DataFrame, server_rows: DataFrame, *,
         requests, opened, ["trace_id", "session"], "ts_ns", "t_start_ns", ["mcp_id", "server_key", "anchor_pid"],
         ties=["seq"], right_ties=["open_seq"],
     ).filter("mcp_id IS NOT NULL")
-    calls = ordinal(
-        requests.withColumn("use_id", rpc.call_use_id(F.col("text"))), ["trace_id"], ["ts_ns", "seq"], "n"
-    )
+    requests = settle(requests.withColumn("use_id", rpc.call_use_id(F.col("text"))).drop("text"))
+    calls = settle(ordinal(requests, ["trace_id"], ["ts_ns", "seq"], "n"))
     plain = F.when(F.length("use_id") > 0, F.col("use_id")).otherwise(F.concat(F.lit("tc_"), F.col("n") - 1))
     calls = ordinal(calls.withColumn("plain", plain), ["trace_id", "plain"], ["ts_ns", "seq"], "again")
-    calls = calls.withColumn(
+    calls = settle(calls.withColumn(
         "tool_call_id",
         F.when(F.col("again") > 1, F.concat("plain", F.lit("__"), "n")).otherwise(F.col("plain")),
-    )
+    ))
     replies = sends.filter(rpc.is_reply(F.col("text"), loose=loose_reply) & F.col("server").isNotNull())
     marks = calls.select(
         "trace_id", F.col("anchor_pid").alias("pid"), "ts_ns", "seq", F.lit(False).alias("reply"), "tool_call_id"
@@ -237,6 +241,7 @@ def attribute_calls(attributed: DataFrame, calls: DataFrame) -> DataFrame:
     rows = in_window(served, by_server, ["trace_id", "server"], "ts_ns", "t_open_ns", "t_close_ns", "c1").unionByName(
         rest, allowMissingColumns=True
     )
+    rows = settle(rows)
     inside, outside = rows.filter("session IS NOT NULL"), rows.filter("session IS NULL")
     rows = in_window(inside, by_session, ["trace_id", "session"], "ts_ns", "t_open_ns", "t_close_ns", "c2").unionByName(
         outside, allowMissingColumns=True
@@ -248,9 +253,9 @@ def predictions(events: DataFrame, *, detector: str = "strict", loose_reply: boo
     """(trace_id, seq, session, mcp, tool_call) per event; '' where unattributed."""
     states = bind(events, detector=detector, **options)
     server_rows = settle(servers(states))
-    calls = tool_calls(events, states, server_rows, loose_reply=loose_reply)
+    calls = settle(tool_calls(events, states, server_rows, loose_reply=loose_reply))
     slim = events.select("trace_id", "seq", "ts_ns", "pid")
-    rows = attribute_calls(attribute(slim, states), calls)
+    rows = attribute_calls(settle(attribute(slim, states)), calls)
     rows = rows.join(server_rows.select("trace_id", F.col("server_key").alias("server"), "mcp_id"), ["trace_id", "server"], "left")
     return rows.select(
         "trace_id", "seq", "ts_ns", "pid",

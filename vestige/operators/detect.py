@@ -133,19 +133,37 @@ def layered_servers(
         )
     )
 
-    def lookup(left, right, keys, out):
-        r = right.select(
-            "trace_id", *[F.col(src).alias(dst) for src, dst in keys],
-            "__at", "__seq", F.col("__name").alias(out),
-        )
-        return asof(
-            left, r, ["trace_id", *[dst for _, dst in keys]], "ts_ns", "__at", [out],
-            ties=["seq"], right_ties=["__seq"], width=width,
-        )
-
-    got = lookup(keyed, known.filter("__arg1 IS NOT NULL"), [("__bin", "__base"), ("__arg1", "__script")], "__by_pair")
-    got = lookup(got, known, [("__bin", "__base")], "__by_bin")
-    got = lookup(got, known, [("__bin", "__script")], "__by_script")
+    # Three lookups as one: every exec asks under up to three keys, every registration
+    # answers under up to three keys, and one as-of scan serves them all.
+    asks = keyed.select(
+        "trace_id", "ts_ns", "seq",
+        F.explode(
+            F.array(
+                F.struct(F.lit("pair").alias("how"), F.col("__base").alias("key"), F.col("__script").alias("more")),
+                F.struct(F.lit("name").alias("how"), F.col("__base").alias("key"), F.lit("").alias("more")),
+                F.struct(F.lit("script").alias("how"), F.col("__script").alias("key"), F.lit("").alias("more")),
+            )
+        ).alias("q"),
+    ).select("trace_id", "ts_ns", "seq", "q.*")
+    answers = known.select(
+        "trace_id", "__at", "__seq", "__name",
+        F.explode(
+            F.array(
+                F.struct(F.lit("pair").alias("how"), F.col("__bin").alias("key"), F.col("__arg1").alias("more")),
+                F.struct(F.lit("name").alias("how"), F.col("__bin").alias("key"), F.lit("").alias("more")),
+                F.struct(F.lit("script").alias("how"), F.col("__bin").alias("key"), F.lit("").alias("more")),
+            )
+        ).alias("q"),
+    ).select("trace_id", "__at", "__seq", "__name", "q.*").filter("more IS NOT NULL")
+    found = asof(
+        asks, answers, ["trace_id", "how", "key", "more"], "ts_ns", "__at", ["__name"],
+        ties=["seq"], right_ties=["__seq"], width=width,
+    ).filter("__name IS NOT NULL")
+    wide = found.groupBy("trace_id", "seq").agg(
+        *[F.max(F.when(F.col("how") == how, F.col("__name"))).alias(out)
+          for how, out in (("pair", "__by_pair"), ("name", "__by_bin"), ("script", "__by_script"))]
+    )
+    got = keyed.join(wide, ["trace_id", "seq"], "left")
     by_script = F.when(F.col("__base").isin(*WRAPPERS), F.col("__by_script"))
     registered = F.when(F.size(argv) > 0, F.coalesce("__by_pair", "__by_bin", by_script))
     return got.withColumn("__registered", registered).select(

@@ -68,16 +68,12 @@ def nearest_one_to_one(
         m = free.withColumn("__key", F.explode("__keys")).withColumn("__back", -F.col("m_seq"))
         m = m.withColumn("m_at", F.struct("m_ts", "m_seq", mark_id))
         key = [*by, "__key"]
-        back = asof(h, m.select(*key, "m_ts", "__back", F.col("m_at").alias("m_before")), key, "ts_ns", "m_ts",
-                    ["m_before"], right_ties=["__back"], width=width)
-        both = asof(back, m.select(*key, "m_ts", "m_seq", F.col("m_at").alias("m_after")), key, "ts_ns", "m_ts",
-                    ["m_after"], right_ties=["m_seq"], forward=True, width=width)
+        near = asof(h, m.select(*key, "m_ts", "__back", F.col("m_at").alias("c")), key, "ts_ns", "m_ts",
+                    ["c"], right_ties=["__back"], width=width).unionByName(
+               asof(h, m.select(*key, "m_ts", "m_seq", F.col("m_at").alias("c")), key, "ts_ns", "m_ts",
+                    ["c"], right_ties=["m_seq"], forward=True, width=width))
         gap = F.abs(F.col("c.m_ts") - F.col("ts_ns"))
-        named = (
-            both.withColumn("c", F.explode(F.array("m_before", "m_after")))
-            .filter(F.col("c").isNotNull() & (gap <= tol_ns))
-            .withColumn("gap", gap)
-        )
+        named = near.filter(F.col("c").isNotNull() & (gap <= tol_ns)).withColumn("gap", gap)
         named = named.groupBy(*by, host_id, "ts_ns", "seq").agg(F.min(F.struct("gap", "c")).alias("best"))
         named = settle(
             named.select(

@@ -5,6 +5,9 @@ when one trace or pid holds a third of the data.  Here a group is cut into time
 segments of fixed width; rows are scanned per (key, segment), and only one summary
 row per segment is carried across segments.  The big side is shuffled once, on
 (key, segment); the carry table is a map-side-combined aggregate.
+
+Every scan reads its input twice (rows and segment summaries).  Callers that chain scans
+settle the intermediate table, so reads do not multiply.
 """
 
 from __future__ import annotations
@@ -51,16 +54,11 @@ def scan_last(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    tails = (
-        rows.filter(F.col("__value").isNotNull())
-        .groupBy(*_keys(by))
-        .agg(F.max_by("__value", F.struct(*order)).alias("__tail"))
-    )
-    present = rows.groupBy(*_keys(by)).agg(F.lit(1).alias("__n")).drop("__n")
+    # Rows without a value sort as NULL and never win.
+    at = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    tails = rows.groupBy(*_keys(by)).agg(F.max_by("__value", at).alias("__tail"))
     before = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carry = present.join(tails, _keys(by), "left").select(
-        *_keys(by), F.last("__tail", ignorenulls=True).over(before).alias("__carry")
-    )
+    carry = tails.select(*_keys(by), F.last("__tail", ignorenulls=True).over(before).alias("__carry"))
     scanned = rows.withColumn("__local", F.last("__value", ignorenulls=True).over(frame))
     return (
         _attach(scanned, carry, by)
@@ -86,16 +84,10 @@ def scan_next(
         .orderBy(*order)
         .rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
     )
-    heads = (
-        rows.filter(F.col("__value").isNotNull())
-        .groupBy(*_keys(by))
-        .agg(F.min_by("__value", F.struct(*order)).alias("__head"))
-    )
-    present = rows.groupBy(*_keys(by)).agg(F.lit(1).alias("__n")).drop("__n")
+    at = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    heads = rows.groupBy(*_keys(by)).agg(F.min_by("__value", at).alias("__head"))
     after = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(1, Window.unboundedFollowing)
-    carry = present.join(heads, _keys(by), "left").select(
-        *_keys(by), F.first("__head", ignorenulls=True).over(after).alias("__carry")
-    )
+    carry = heads.select(*_keys(by), F.first("__head", ignorenulls=True).over(after).alias("__carry"))
     scanned = rows.withColumn("__local", F.first("__value", ignorenulls=True).over(frame))
     return (
         _attach(scanned, carry, by)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vestige.operators.segments import MINUTE_NS, ordinal, scan_last, scan_max, scan_next, scan_sums
+from vestige.session import settle
 
 OPEN_END = 1 << 62
 
@@ -166,7 +167,7 @@ def overlap_pairs(
     Sorted by opening, window i overlaps every later window that opens by i's end:
     (openings up to hi_i) - (position of i).
     """
-    ranked = ordinal(windows, by, [lo, ident], "__pos", width=width)
+    ranked = settle(ordinal(windows.select(*by, lo, hi, ident), by, [lo, ident], "__pos", width=width))
     tagged = ranked.withColumn("__opens", F.lit(1))
     opened = window_totals(
         tagged, ranked.withColumn("__start", F.lit(-(1 << 62)).cast("bigint")),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vestige.functions import naming
 from vestige.operators import callwindows
 from vestige.operators.segments import first_rows, scan_last
+from vestige.session import settle
 
 TEXT_CLIP = 8192
 LINES = 1 << 20
@@ -97,9 +98,12 @@ def _finish(calls: DataFrame, sessions: DataFrame) -> DataFrame:
 def from_transcript(sessions: DataFrame, transcript: DataFrame) -> dict[str, DataFrame]:
     """Agent tables of sessions (session_id, prompt, t_start_ns, t_end_ns) from their
     transcript records (session_id, seq, ...)."""
-    content = callwindows.content_rows(transcript, ["session_id"])
+    content = settle(callwindows.content_rows(transcript, ["session_id"]))
     # Every record with content and a time moves the clock for itself and what follows.
-    clocked = scan_last(content, ["session_id"], ["rec", "pos"], F.col("rec_ns"), "now_ns", inclusive=True, width=LINES)
+    clocked = scan_last(
+        content, ["session_id"], ["rec", "pos"], F.col("rec_ns"), "now_ns", inclusive=True, width=LINES
+    )
+    clocked = settle(clocked)
     uses = clocked.filter("kind = 'tool_use' AND rec_type = 'assistant'")
     # A repeated use id restarts the call.
     uses = first_rows(uses, ["session_id", "use_id"], [F.col("rec").desc(), F.col("pos").desc()])
