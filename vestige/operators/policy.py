@@ -17,9 +17,36 @@ _UNLINKS = {"v1": ("unlinkat",), "v2": ("unlinkat",), "full": ("unlink", "unlink
 ALIASES = {"v3": "v1", "v4": "v2", "v5": "v1"}
 
 
-def _verdict(ok: bool, reason) -> Column:
-    r = reason if isinstance(reason, Column) else F.lit(reason)
-    return F.struct(F.lit(ok).alias("ok"), r.alias("reason"))
+# The rules as SQL: (condition, allowed, reason), first hit decides.  ``{opens}`` and
+# ``{unlinks}`` are the mode's event names; the other names are columns.
+_PATH = "coalesce(path, '')"
+_NOISE = "event IN ({opens}) AND NOT coalesce(write_intent, false) AND rlike({path}, '{prefixes}')"
+_DOTFILE = "event IN ({opens}) AND coalesce(write_intent, false) AND rlike({path}, '{scratch}[.](?![.]?$)[^/]*$')"
+_WRITE = "event IN ({opens}) AND coalesce(write_intent, false)"
+
+
+def _sql_words(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _anchored(prefixes) -> str:
+    return "^(?:" + "|".join(p.replace(".", "[.]") for p in prefixes) + ")"
+
+
+def _listed(column: str) -> str:
+    """Path is not empty and fits the compiled list (an empty list compiles to NULL)."""
+    return f"coalesce({_PATH} <> '' AND rlike({_PATH}, {column}), false)"
+
+
+_BINARY = (
+    f"(array_contains(allow_binaries, {_PATH}) OR array_contains(allow_binaries, substring_index({_PATH}, '/', -1)))"
+)
+
+
+def _chain(rules) -> Column:
+    """``rules`` as one CASE that yields struct(ok, reason)."""
+    arms = " ".join(f"WHEN {cond} THEN struct({str(ok).lower()} AS ok, {reason} AS reason)" for cond, ok, reason in rules)
+    return F.expr(f"CASE {arms} END")
 
 
 def decide(events: DataFrame, mode: str = "v1", *, noise_floor: bool = False, quoting: str = "shell") -> DataFrame:
@@ -27,55 +54,55 @@ def decide(events: DataFrame, mode: str = "v1", *, noise_floor: bool = False, qu
     mode = ALIASES.get(mode, mode)
     if mode == "supervisor":
         return _decide_inline(events, quoting="spaces")
-    event, path = F.col("event"), F.coalesce(F.col("path"), F.lit(""))
-    opened, unlinked = event.isin(*_OPENS[mode]), event.isin(*_UNLINKS[mode])
-    writes = F.coalesce(F.col("write_intent"), F.lit(False))
-    chain = F.when(F.lit(False), _verdict(True, ""))
+    names = {"opens": _sql_words(_OPENS[mode]), "path": _PATH}
+    opened, unlinked = f"event IN ({names['opens']})", f"event IN ({_sql_words(_UNLINKS[mode])})"
+    writes = _WRITE.format(**names)
+    rules = []
     if noise_floor:
-        floor_ = paths.noise_read(event, path, F.col("write_intent"), opens=_OPENS[mode])
-        chain = chain.when(floor_, _verdict(True, "noise_floor_read"))
+        rules.append((_NOISE.format(prefixes=_anchored(paths.NOISE_PREFIXES), **names), True, "'noise_floor_read'"))
     if mode == "v2":
-        hidden = opened & writes & paths.scratch_dotfile(path)
-        listed = F.coalesce(F.array_contains("write_paths", path), F.lit(False))
-        chain = chain.when(hidden & listed, _verdict(True, "write_ok_explicit_dotfile"))
-        chain = chain.when(hidden, _verdict(False, "write_denied_dotfile_in_scratch"))
-    chain = (
-        chain.when(opened & writes & globs.matches(path, F.col("write_paths_re")), _verdict(True, "write_ok"))
-        .when(opened & writes, _verdict(False, "write_out_of_envelope"))
-        .when(opened & globs.matches(path, F.col("read_paths_re")), _verdict(True, "read_ok"))
-        .when(opened, _verdict(False, "read_out_of_envelope"))
-        .when(unlinked & globs.matches(path, F.col("delete_paths_re")), _verdict(True, "unlink_ok"))
-        .when(unlinked, _verdict(False, "unlink_out_of_envelope"))
-    )
-    spawn = event == "execve"
-    binary = globs.binary_listed(path, F.col("allow_binaries"))
-    chain = chain.when(spawn & ~F.col("allow_spawn"), _verdict(False, "execve_denied_no_spawn")).when(
-        spawn & ~binary, _verdict(False, "execve_binary_not_allowed")
-    )
+        hidden = _DOTFILE.format(scratch=_anchored(paths.SCRATCH_PREFIXES)[:-1] + ")(?:.*/)?", **names)
+        rules.append((f"{hidden} AND array_contains(write_paths, {_PATH})", True, "'write_ok_explicit_dotfile'"))
+        rules.append((hidden, False, "'write_denied_dotfile_in_scratch'"))
+    rules += [
+        (f"{writes} AND {_listed('write_paths_re')}", True, "'write_ok'"),
+        (writes, False, "'write_out_of_envelope'"),
+        (f"{opened} AND {_listed('read_paths_re')}", True, "'read_ok'"),
+        (opened, False, "'read_out_of_envelope'"),
+        (f"{unlinked} AND {_listed('delete_paths_re')}", True, "'unlink_ok'"),
+        (unlinked, False, "'unlink_out_of_envelope'"),
+        ("event = 'execve' AND NOT allow_spawn", False, "'execve_denied_no_spawn'"),
+        (f"event = 'execve' AND NOT {_BINARY}", False, "'execve_binary_not_allowed'"),
+    ]
     rows = events
     if mode == "v6a":
         # Only execs that got this far have their words looked at.
-        checked = spawn & F.col("allow_spawn") & binary
-        rows = rows.withColumn("__words", tokens.leaves(F.when(checked, F.col("argv")), quoting))
-        rows = rows.withColumn("__host", F.get(F.filter(
-            tokens.host_tokens(F.col("__words")),
-            lambda h: ~globs.host_covered(h, F.col("allow_hosts_re"), F.col("allow_hosts"))), F.lit(0)))
-        rows = rows.withColumn("__arg", F.get(F.filter(
-            tokens.path_tokens(F.col("__words")),
-            lambda p: (p != path) & ~globs.matches(p, F.col("any_paths_re"))), F.lit(0)))
-        out_host = F.concat(F.lit("execve_argv_host_out_of_envelope:"), F.col("__host"))
-        out_path = F.concat(F.lit("execve_argv_path_out_of_envelope:"), F.col("__arg"))
-        chain = chain.when(spawn & F.col("__host").isNotNull(), _verdict(False, out_host)).when(
-            spawn & F.col("__arg").isNotNull(), _verdict(False, out_path)
-        )
-    chain = chain.when(spawn, _verdict(True, "execve_ok"))
-    for net in ("connect", "sendto"):
-        chain = chain.when((event == net) & ~F.col("allow_egress"), _verdict(False, f"{net}_denied_no_egress")).when(
-            event == net, _verdict(True, f"{net}_ok_egress_allowed")
-        )
-    other = F.concat(F.lit("unknown_event_"), event, F.lit("_pass")) if mode in ("v1", "v2") else F.concat(event, F.lit("_pass"))
-    chain = chain.otherwise(_verdict(True, other))
-    return rows.withColumn("__v", chain).select("*", "__v.ok", "__v.reason").drop("__v", "__words", "__host", "__arg")
+        rows = _uncovered(rows, f"event = 'execve' AND allow_spawn AND {_BINARY}", quoting, literal_hosts=True)
+        rules.append(("event = 'execve' AND __host IS NOT NULL", False, "concat('execve_argv_host_out_of_envelope:', __host)"))
+        rules.append(("event = 'execve' AND __arg IS NOT NULL", False, "concat('execve_argv_path_out_of_envelope:', __arg)"))
+    rules.append(("event = 'execve'", True, "'execve_ok'"))
+    rules.append(("event IN ('connect', 'sendto') AND NOT allow_egress", False, "concat(event, '_denied_no_egress')"))
+    rules.append(("event IN ('connect', 'sendto')", True, "concat(event, '_ok_egress_allowed')"))
+    other = "concat('unknown_event_', event, '_pass')" if mode in ("v1", "v2") else "concat(event, '_pass')"
+    rules.append(("true", True, other))
+    return rows.withColumn("__v", _chain(rules)).select("*", "__v.ok", "__v.reason").drop("__v", "__words", "__host", "__arg")
+
+
+def _uncovered(rows: DataFrame, checked: str, quoting: str, *, literal_hosts: bool) -> DataFrame:
+    """Add ``__host`` and ``__arg``: the first host and path word of a checked exec's argv
+    that the policy does not cover."""
+    words = rows.withColumn("__words", tokens.leaves(F.expr(f"CASE WHEN {checked} THEN argv END"), quoting))
+
+    def host_ok(h):
+        by_glob = globs.matches(h, F.col("allow_hosts_re"))
+        return by_glob | F.array_contains("allow_hosts", h) if literal_hosts else by_glob
+
+    hosts = F.filter(tokens.host_tokens(F.col("__words")), lambda h: ~host_ok(h))
+    args = F.filter(
+        tokens.path_tokens(F.col("__words")),
+        lambda p: (p != F.coalesce("path", F.lit(""))) & ~globs.matches(p, F.col("any_paths_re")),
+    )
+    return words.withColumn("__host", F.get(hosts, F.lit(0))).withColumn("__arg", F.get(args, F.lit(0)))
 
 
 def _decide_inline(events: DataFrame, quoting: str) -> DataFrame:
@@ -87,46 +114,40 @@ def _decide_inline(events: DataFrame, quoting: str) -> DataFrame:
     starts = first_rows(
         events.filter("event = 'execve'").select("trace_id", "ts_ns", "seq"), ["trace_id"], [F.col("ts_ns"), F.col("seq")]
     ).select("trace_id", "seq", F.lit(True).alias("__launch"))
-    event, path = F.col("event"), F.coalesce(F.col("path"), F.lit(""))
-    spawn = event == "execve"
-    binary = globs.binary_matched(path, F.col("allow_binaries_re"), F.col("allow_binaries"))
     # Execs are joined with the few launches; other events skip the join.
-    execs = events.filter(spawn).join(starts, ["trace_id", "seq"], "left")
-    rows = execs.unionByName(events.filter(~spawn), allowMissingColumns=True)
-    checked = spawn & F.col("__launch").isNull() & F.col("allow_spawn") & binary
-    rows = rows.withColumn("__words", tokens.leaves(F.when(checked, F.col("argv")), quoting))
-    rows = rows.withColumn("__arg", F.get(F.filter(
-        tokens.path_tokens(F.col("__words")),
-        lambda p: (p != path) & ~globs.matches(p, F.col("any_paths_re"))), F.lit(0)))
-    rows = rows.withColumn("__host", F.get(F.filter(
-        tokens.host_tokens(F.col("__words")), lambda h: ~globs.matches(h, F.col("allow_hosts_re"))), F.lit(0)))
-    opened, writes = event == "openat", paths.write_by_accmode(F.col("flags"))
-    net = event.isin("connect", "sendto")
-    has_addr = F.coalesce(F.col("family").isin(2, 10), F.lit(False)) & (F.length(F.coalesce(F.col("daddr"), F.lit(""))) > 0)
-    chain = (
-        F.when(event.isin("openat", "unlinkat") & (path == ""), _verdict(True, "no_path"))
-        .when(opened & writes & globs.matches(path, F.col("write_paths_re")), _verdict(True, "write_ok"))
-        .when(opened & writes, _verdict(False, "write_out_of_envelope"))
-        .when(opened & paths.starts_with_any(path, paths.SUPERVISOR_NOISE_PREFIXES), _verdict(True, "noise_floor_read"))
-        .when(opened & globs.matches(path, F.col("read_paths_re")), _verdict(True, "read_ok"))
-        .when(opened, _verdict(False, "read_out_of_envelope"))
-        .when((event == "unlinkat") & globs.matches(path, F.col("delete_paths_re")), _verdict(True, "unlink_ok"))
-        .when(event == "unlinkat", _verdict(False, "unlink_out_of_envelope"))
-        .when(spawn & F.coalesce("__launch", F.lit(False)), _verdict(True, "launch"))
-        .when(spawn & ~F.col("allow_spawn"), _verdict(False, "execve_denied_no_spawn"))
-        .when(spawn & (path == ""), _verdict(True, "no_path"))
-        .when(spawn & ~binary, _verdict(False, "execve_binary_not_allowed"))
-        .when(spawn & F.col("__arg").isNotNull(), _verdict(False, "execve_argv_path_out"))
-        .when(spawn & F.col("__host").isNotNull(), _verdict(False, "execve_argv_host_out"))
-        .when(spawn, _verdict(True, "execve_ok"))
-        .when(net & ~F.col("allow_egress"), _verdict(False, "denied_no_egress"))
-        .when(net & ~has_addr, _verdict(True, "no_address"))
-        .when(net & F.col("daddr").isin("127.0.0.1", "::1"), _verdict(True, "loopback"))
-        .when(net & globs.matches(F.col("daddr"), F.col("allow_hosts_re")), _verdict(True, "host_ok"))
-        .when(net, _verdict(False, "host_out_of_envelope"))
-        .otherwise(_verdict(True, "pass"))
+    execs = events.filter("event = 'execve'").join(starts, ["trace_id", "seq"], "left")
+    rows = execs.unionByName(events.filter("event <> 'execve'"), allowMissingColumns=True)
+    base = f"substring_index({_PATH}, '/', -1)"
+    binary = f"({_BINARY} OR {_listed('allow_binaries_re')} OR coalesce(rlike({base}, allow_binaries_re), false))"
+    rows = _uncovered(
+        rows, f"event = 'execve' AND __launch IS NULL AND allow_spawn AND {binary}", quoting, literal_hosts=False
     )
-    return rows.withColumn("__v", chain).select("*", "__v.ok", "__v.reason").drop("__v", "__words", "__host", "__arg", "__launch")
+    writes = "event = 'openat' AND coalesce((flags & 3) IN (1, 2), false)"
+    net = "event IN ('connect', 'sendto')"
+    rules = [
+        (f"event IN ('openat', 'unlinkat') AND {_PATH} = ''", True, "'no_path'"),
+        (f"{writes} AND {_listed('write_paths_re')}", True, "'write_ok'"),
+        (writes, False, "'write_out_of_envelope'"),
+        (f"event = 'openat' AND rlike({_PATH}, '{_anchored(paths.SUPERVISOR_NOISE_PREFIXES)}')", True, "'noise_floor_read'"),
+        (f"event = 'openat' AND {_listed('read_paths_re')}", True, "'read_ok'"),
+        ("event = 'openat'", False, "'read_out_of_envelope'"),
+        (f"event = 'unlinkat' AND {_listed('delete_paths_re')}", True, "'unlink_ok'"),
+        ("event = 'unlinkat'", False, "'unlink_out_of_envelope'"),
+        ("event = 'execve' AND __launch", True, "'launch'"),
+        ("event = 'execve' AND NOT allow_spawn", False, "'execve_denied_no_spawn'"),
+        (f"event = 'execve' AND {_PATH} = ''", True, "'no_path'"),
+        (f"event = 'execve' AND NOT {binary}", False, "'execve_binary_not_allowed'"),
+        ("event = 'execve' AND __arg IS NOT NULL", False, "'execve_argv_path_out'"),
+        ("event = 'execve' AND __host IS NOT NULL", False, "'execve_argv_host_out'"),
+        ("event = 'execve'", True, "'execve_ok'"),
+        (f"{net} AND NOT allow_egress", False, "'denied_no_egress'"),
+        (f"{net} AND NOT (coalesce(family IN (2, 10), false) AND coalesce(daddr, '') <> '')", True, "'no_address'"),
+        (f"{net} AND daddr IN ('127.0.0.1', '::1')", True, "'loopback'"),
+        (f"{net} AND coalesce(rlike(daddr, allow_hosts_re), false)", True, "'host_ok'"),
+        (net, False, "'host_out_of_envelope'"),
+        ("true", True, "'pass'"),
+    ]
+    return rows.withColumn("__v", _chain(rules)).select("*", "__v.ok", "__v.reason").drop("__v", "__words", "__host", "__arg", "__launch")
 
 
 def coverage(decided: DataFrame, by: list[str]) -> DataFrame:

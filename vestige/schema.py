@@ -75,12 +75,14 @@ CANONICAL = {
 
 def canonical(df: DataFrame, **given: Column) -> DataFrame:
     """Project ``df`` to the canonical row; columns it lacks become typed NULLs."""
-    out = []
+    kinds = dict(df.dtypes)
+    out: list = []
     for name, kind in CANONICAL.items():
         if name in given:
             out.append(given[name].cast(kind).alias(name))
-        elif name in df.columns:
-            out.append(F.col(name).cast(kind).alias(name))
+        elif kinds.get(name) == kind:
+            out.append(name)
         else:
-            out.append(F.lit(None).cast(kind).alias(name))
+            source = name if name in kinds else "NULL"
+            out.append(F.expr(f"CAST({source} AS {kind}) AS {name}"))
     return df.select(*out)

@@ -35,81 +35,52 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pick(*cases):
-    """``when`` chain over (event_type, low, high, value)."""
-    out = None
-    for kind, lo, hi, value in cases:
-        cond = (F.col("event_type") == kind) & F.col("k").between(lo, hi - 1)
-        value = value if not isinstance(value, str) else F.lit(value)
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
-
-
 def _words(*parts):
     return F.array(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
 
 
+# What each row of the event table stands for in a host trace.
+HOST_COLUMNS = """
+CASE event_type
+  WHEN 'signup' THEN CASE WHEN k < 70 THEN 'execve' ELSE 'sched_fork' END
+  WHEN 'error' THEN CASE WHEN k < 40 THEN 'clone' WHEN k < 60 THEN 'execve' ELSE 'unlinkat' END
+  WHEN 'purchase' THEN CASE WHEN k < 40 THEN 'connect' WHEN k < 70 THEN 'sendto' ELSE 'recvfrom' END
+  ELSE 'openat' END AS event;
+pid * 10 + k % 3 AS tid;
+element_at(array('node', 'MainThread', 'claude', 'sh', 'libuv-worker'), CAST(pid % 5 + 1 AS INT)) AS comm;
+CASE WHEN k % 10 <> 0 THEN 100 + pid % 2 END AS cgroup_id;
+CASE event_type
+  WHEN 'signup' THEN CASE WHEN k < 20 THEN '/usr/bin/claude' WHEN k < 40 THEN concat('/usr/local/bin/mcp-server-', k % 5)
+    WHEN k < 50 THEN '/usr/bin/node' WHEN k < 60 THEN '/usr/bin/claude' WHEN k < 70 THEN '/opt/fs-tool' END
+  WHEN 'error' THEN CASE WHEN k < 40 THEN NULL WHEN k < 60 THEN '/bin/ls' ELSE concat('/data/p', k % 10, '/x') END
+  WHEN 'view' THEN CASE WHEN k < 20 THEN concat('/etc/p', k) ELSE concat('/data/p', k % 10, '/f', k) END
+  WHEN 'click' THEN CASE WHEN k < 10 THEN concat('/tmp/.h', k) ELSE concat('/tmp/mcp-', k % 5, '/f', k) END END AS path;
+CASE WHEN event_type = 'signup' AND k < 20 THEN array('/usr/bin/claude', '-p', concat('prompt ', k))
+  WHEN event_type = 'signup' AND k < 40 THEN array(concat('/usr/local/bin/mcp-server-', k % 5), '--stdio')
+  WHEN event_type = 'signup' AND k < 50 THEN array('node', '/srv/chroma-mcp-server.js')
+  WHEN event_type = 'signup' AND k < 60 THEN array('claude', 'mcp', 'add', concat('fs', k % 5), '--scope', 'local', '--', 'env', 'K=V', 'fs-tool', '--root')
+  WHEN event_type = 'signup' AND k < 70 THEN array('/opt/fs-tool', '--root')
+  WHEN event_type = 'error' AND k BETWEEN 40 AND 59 THEN array('ls', '-la', concat('/data/p', k % 10), 'api.example.com') END AS argv;
+CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN element_at(array(1, 2, 66, 3), k % 4 + 1) END AS flags;
+event_type = 'click' AND k % 4 <> 3 AS write_intent;
+CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 10 = 9 THEN 1 WHEN k % 2 = 0 THEN 2 ELSE 10 END END AS family;
+CASE WHEN event_type = 'purchase' THEN concat('10.0.0.', k % 8) END AS daddr;
+CASE WHEN event_type = 'purchase' THEN 443 + k % 3 END AS dport;
+CASE WHEN event_type = 'purchase' THEN k % 4 END AS fd;
+CASE WHEN event_type = 'purchase' THEN CAST(k * 10 AS BIGINT) END AS len;
+CASE WHEN event_type = 'purchase' AND k BETWEEN 40 AND 69 THEN base64(encode(CASE WHEN k % 2 = 0
+  THEN concat('{"jsonrpc":"2.0","id":', k, ',"method":"tools/call","params":{"name":"t', k % 5, '"}}')
+  ELSE concat('{"jsonrpc":"2.0","id":', k, ',"result":{}}') END, 'UTF-8')) END AS buf;
+CASE WHEN event_type = 'signup' AND k >= 70 THEN pid END AS parent_pid;
+CASE WHEN event_type = 'signup' AND k >= 70 THEN pid + 4 * (k % 7) END AS child_pid;
+CASE WHEN event_type = 'signup' AND k >= 70 THEN element_at(array('node', 'MainThread', 'claude', 'sh', 'libuv-worker'), CAST(pid % 5 + 1 AS INT)) END AS parent_comm
+"""
+
+
 def host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical host events: agent and server starts, forks, clones, files, sockets."""
     e = ev(spark, sf_dir)
-    k = F.col("k")
-    name = _pick(
-        ("signup", 0, 70, "execve"), ("signup", 70, 100, "sched_fork"), ("error", 0, 40, "clone"),
-        ("error", 40, 60, "execve"), ("error", 60, 100, "unlinkat"), ("view", 0, 100, "openat"),
-        ("click", 0, 100, "openat"), ("purchase", 0, 40, "connect"), ("purchase", 40, 70, "sendto"),
-        ("purchase", 70, 100, "recvfrom"),
-    )
-    five, ten = (k % 5).cast("string"), (k % 10).cast("string")
-    path = _pick(
-        ("signup", 0, 20, "/usr/bin/claude"),
-        ("signup", 20, 40, F.concat(F.lit("/usr/local/bin/mcp-server-"), five)),
-        ("signup", 40, 50, "/usr/bin/node"), ("signup", 50, 60, "/usr/bin/claude"), ("signup", 60, 70, "/opt/fs-tool"),
-        ("error", 40, 60, "/bin/ls"),
-        ("error", 60, 100, F.concat(F.lit("/data/p"), ten, F.lit("/x"))),
-        ("view", 0, 20, F.concat(F.lit("/etc/p"), k)),
-        ("view", 20, 100, F.concat(F.lit("/data/p"), ten, F.lit("/f"), k)),
-        ("click", 0, 10, F.concat(F.lit("/tmp/.h"), k)),
-        ("click", 10, 100, F.concat(F.lit("/tmp/mcp-"), five, F.lit("/f"), k)),
-    )
-    argv = _pick(
-        ("signup", 0, 20, _words("/usr/bin/claude", "-p", F.concat(F.lit("prompt "), k))),
-        ("signup", 20, 40, _words(F.concat(F.lit("/usr/local/bin/mcp-server-"), five), "--stdio")),
-        ("signup", 40, 50, _words("node", "/srv/chroma-mcp-server.js")),
-        ("signup", 50, 60, _words("claude", "mcp", "add", F.concat(F.lit("fs"), five), "--scope", "local", "--", "env", "K=V", "fs-tool", "--root")),
-        ("signup", 60, 70, _words("/opt/fs-tool", "--root")),
-        ("error", 40, 60, _words("ls", "-la", F.concat(F.lit("/data/p"), ten), "api.example.com")),
-    )
-    call = F.concat(
-        F.lit('{"jsonrpc":"2.0","id":'), k, F.lit(',"method":"tools/call","params":{"name":"t'), five, F.lit('"}}')
-    )
-    reply = F.concat(F.lit('{"jsonrpc":"2.0","id":'), k, F.lit(',"result":{}}'))
-    flags = _pick(
-        ("view", 0, 100, F.lit(0)),
-        ("click", 0, 100, F.element_at(F.array(*[F.lit(x) for x in (1, 2, 66, 3)]), (k % 4 + 1).cast("int"))),
-    )
-    inet = F.col("event_type") == "purchase"
-    fork = (F.col("event_type") == "signup") & (k >= 70)
-    comms = F.array(*[F.lit(x) for x in ("node", "MainThread", "claude", "sh", "libuv-worker")])
-    return canonical(
-        e,
-        event=name,
-        tid=F.col("pid") * 10 + k % 3,
-        comm=F.element_at(comms, (F.col("pid") % 5 + 1).cast("int")),
-        cgroup_id=F.when(k % 10 != 0, F.lit(100) + F.col("pid") % 2),
-        path=path,
-        argv=argv,
-        flags=flags,
-        write_intent=F.coalesce(flags.bitwiseAND(F.lit(3)).isin(1, 2), F.lit(False)),
-        family=F.when(inet & (k % 10 == 9), 1).when(inet & (k % 2 == 0), 2).when(inet, 10),
-        daddr=F.when(inet, F.concat(F.lit("10.0.0."), k % 8)),
-        dport=F.when(inet, F.lit(443) + k % 3),
-        fd=F.when(inet, k % 4),
-        len=F.when(inet, k.cast("bigint") * 10),
-        buf=F.when(inet & k.between(40, 69), F.base64(F.encode(F.when(k % 2 == 0, call).otherwise(reply), "UTF-8"))),
-        parent_pid=F.when(fork, F.col("pid")),
-        child_pid=F.when(fork, F.col("pid") + 4 * (k % 7)),
-        parent_comm=F.when(fork, F.element_at(comms, (F.col("pid") % 5 + 1).cast("int"))),
-    )
+    return canonical(e.selectExpr("trace_id", "seq", "ts_ns", "pid", *HOST_COLUMNS.split(";")))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
