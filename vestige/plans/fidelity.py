@@ -147,7 +147,7 @@ def sensor_ratio(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg(
         F.sum("strace").alias("strace_total"), F.sum("host").alias("host_total"),
         F.try_divide(F.sum("host").cast("double"), F.sum("strace")).alias("ratio"),
-        F.count_if("host = 0").alias("only_strace"), F.count_if("strace = 0").alias("only_host"),
+        F.count_if(F.col("host") == 0).alias("only_strace"), F.count_if(F.col("strace") == 0).alias("only_host"),
     )
 
 

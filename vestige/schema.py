@@ -41,10 +41,11 @@ tool_name STRING, tool_input STRING, is_error BOOLEAN, prompt STRING, stop_hook_
 stop_reason STRING, agent_pid BIGINT, cwd STRING, unknown_hook BOOLEAN, _corrupt_record STRING
 """
 
+# Members of a policy document's struct.
 ENVELOPE_BODY = """
-file_ops STRUCT<read_paths: ARRAY<STRING>, write_paths: ARRAY<STRING>, delete_paths: ARRAY<STRING>>,
-network STRUCT<allow_egress: BOOLEAN, allow_hosts: ARRAY<STRING>, allow_ports: ARRAY<INT>>,
-process STRUCT<allow_spawn: BOOLEAN, allow_binaries: ARRAY<STRING>>, rationale: STRING
+file_ops: STRUCT<read_paths: ARRAY<STRING>, write_paths: ARRAY<STRING>, delete_paths: ARRAY<STRING>>,
+network: STRUCT<allow_egress: BOOLEAN, allow_hosts: ARRAY<STRING>, allow_ports: ARRAY<INT>>,
+process: STRUCT<allow_spawn: BOOLEAN, allow_binaries: ARRAY<STRING>>, rationale: STRING
 """
 
 # The one event row all operators read: name -> Spark type.

@@ -131,7 +131,7 @@ def parse_envelopes(docs: DataFrame, value: str = "value") -> DataFrame:
     Documents with an ``_error`` or no body are dropped; absent lists are empty, absent
     switches are off.
     """
-    shape = f"envelope STRUCT<{_as_struct(ENVELOPE_BODY)}>, _error STRING, {ENVELOPE_BODY}"
+    shape = f"STRUCT<envelope: STRUCT<{ENVELOPE_BODY}>, _error: STRING, {ENVELOPE_BODY}>"
     parsed = docs.withColumn("__d", F.from_json(value, shape))
     keep = [c for c in docs.columns if c != value]
 
@@ -157,14 +157,6 @@ def parse_envelopes(docs: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def _as_struct(ddl: str) -> str:
-    """``name TYPE, ...`` of a top-level list as the ``name: TYPE`` of a struct."""
-    out = ddl
-    for name, kind in (("file_ops", "STRUCT"), ("network", "STRUCT"), ("process", "STRUCT")):
-        out = out.replace(f"{name} {kind}<", f"{name}: {kind}<")
-    return out
-
-
 LISTS = ("read_paths", "write_paths", "delete_paths", "allow_hosts", "allow_binaries")
 
 
