@@ -28,8 +28,12 @@ def operations(
     detector: str = "layered",
     registry: bool = True,
     window_ns: int | None = CLONE_WINDOW_NS,
+    roots_before: DataFrame | None = None,
 ) -> DataFrame:
-    """All operations that may change a pid's state, in trace order (ts_ns, seq, step)."""
+    """All operations that may change a pid's state, in trace order (ts_ns, seq, step).
+
+    ``roots_before`` (trace_id, n_roots) continues the session numbering of earlier events.
+    """
     forks = fork_edges(events)
     reported = forks.groupBy("trace_id", "child").agg(F.min(F.struct("ts_ns", "seq")).alias("__first"))
     clones = (
@@ -41,7 +45,10 @@ def operations(
     )
     execs = events.filter("event = 'execve'").select("trace_id", "ts_ns", "seq", "pid", "event", "path", "argv")
     is_root = detect.session_root(F.col("event"), F.col("path"), F.col("argv"))
-    roots = ordinal(execs.filter(is_root), ["trace_id"], ["ts_ns", "seq"], "n").select(
+    roots = ordinal(execs.filter(is_root), ["trace_id"], ["ts_ns", "seq"], "n")
+    if roots_before is not None:
+        roots = roots.join(roots_before, "trace_id", "left").withColumn("n", F.col("n") + F.coalesce("n_roots", F.lit(0)))
+    roots = roots.select(
         "trace_id", "ts_ns", "seq", F.lit("root").alias("kind"), "pid",
         F.concat(F.lit("sess_"), F.col("n") - 1).alias("label"),
     )
@@ -67,8 +74,10 @@ def operations(
     )
 
 
-def _round(ops: DataFrame, states: DataFrame) -> DataFrame:
+def _round(ops: DataFrame, states: DataFrame, before: DataFrame | None) -> DataFrame:
     """One application of the rule to every operation."""
+    if before is not None:
+        states = states.unionByName(before, allowMissingColumns=True)
     known = states.select("trace_id", F.col("pid").alias("who"), "ts_ns", "seq", "step", "session", "server")
     # Each operation asks for its own pid's state and for its parent's in one scan.
     asks = ops.withColumn(
@@ -116,15 +125,20 @@ def _round(ops: DataFrame, states: DataFrame) -> DataFrame:
 
 def bind(events: DataFrame, **options) -> DataFrame:
     """State changes (trace_id, pid, ts_ns, seq, step, kind, session, server, ...)."""
-    ops = settle(operations(events, **options))
-    states = ops.filter("kind = 'root'").select(
-        "trace_id", "pid", "ts_ns", "seq", "step", "kind", F.col("label").alias("session"),
-        F.lit(None).cast("string").alias("server"), "parent", "clone_ts", "label", "layer",
+    return fixpoint(settle(operations(events, **options)))
+
+
+def fixpoint(ops: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """State changes caused by ``ops``, given the states that held ``before`` them."""
+    states = settle(
+        ops.filter("kind = 'root'").select(
+            "trace_id", "pid", "ts_ns", "seq", "step", "kind", F.col("label").alias("session"),
+            F.lit(None).cast("string").alias("server"), "parent", "clone_ts", "label", "layer",
+        )
     )
-    states = settle(states)
     mark = digest(states)
     while True:
-        states = settle(_round(ops, states))
+        states = settle(_round(ops, states, before))
         now = digest(states)
         if now == mark:
             return states
