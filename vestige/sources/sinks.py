@@ -11,8 +11,9 @@ def write_graph(tables: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").partitionBy("trace_id").parquet(f"{folder}/{name}")
 
 
-def read_graph(spark: SparkSession, folder: str, names) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+def read_graph(spark: SparkSession, folder: str, schemas: dict) -> dict[str, DataFrame]:
+    """The tables back, each under its schema (a table may hold no rows and no files)."""
+    return {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in schemas.items()}
 
 
 def register_views(tables: dict[str, DataFrame]) -> None:
