@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import codecs
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _QUOTED = r'"((?:[^"\\]|\\.)*)"'
 
@@ -21,26 +17,27 @@ PATH_CALLS = (
 FAMILIES = {"AF_UNIX": 1, "AF_LOCAL": 1, "AF_INET": 2, "AF_INET6": 10, "AF_NETLINK": 16}
 
 
-def _decode(text):
-    if text is None or "\\" not in text:
-        return text
-    return codecs.decode(text.encode("utf-8"), "unicode_escape", errors="replace")
-
-
-@F.pandas_udf(T.StringType())
-def _decode_escapes(text: pd.Series) -> pd.Series:
-    return text.map(_decode, na_action="ignore")
+# Letters after a backslash and what they stand for.
+_LETTERS = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", '"': '"', "'": "'", "\\": "\\"}
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _decode_each(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda xs: None if xs is None else [_decode(x) for x in xs])
+def _one_piece(piece: Column) -> Column:
+    """A run of plain text, or one escape as the character it stands for."""
+    octal = F.char(F.conv(F.substring(piece, 2, 3), 8, 10).cast("int"))
+    hexa = F.char(F.conv(F.substring(piece, 3, 2), 16, 10).cast("int"))
+    table = F.create_map(*[F.lit(x) for k, v in _LETTERS.items() for x in ("\\" + k, v)])
+    return (
+        F.when(~piece.startswith("\\"), piece)
+        .when(piece.rlike(r"\A\\[0-7]"), octal)
+        .when(piece.rlike(r"\A\\x[0-9a-fA-F]"), hexa)
+        .otherwise(F.coalesce(F.try_element_at(table, piece), piece))
+    )
 
 
 def unescape(text: Column) -> Column:
-    """Plain text stays in the JVM; only text with a backslash visits Python."""
-    escaped = text.contains("\\")
-    return F.when(escaped, _decode_escapes(F.when(escaped, text))).otherwise(text)
+    """Backslash escapes resolved to single characters, as the tracer wrote them."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\[0-7]{1,3}|\\x[0-9a-fA-F]{2}|\\.|[^\\]+"), F.lit(0))
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, _one_piece), "")).otherwise(text)
 
 
 def first_quoted(args: Column) -> Column:
@@ -52,8 +49,7 @@ def argv_list(args: Column) -> Column:
     """The bracketed word list of an execve."""
     inside = F.regexp_extract(args, r"\[(.*?)\](?=,|$)", 1)
     words = F.regexp_extract_all(inside, F.lit(_QUOTED), F.lit(1))
-    escaped = inside.contains("\\")
-    return F.when(escaped, _decode_each(F.when(escaped, words))).otherwise(words)
+    return F.when(inside.contains("\\"), F.transform(words, unescape)).otherwise(words)
 
 
 def exec_image(args: Column) -> Column:
@@ -74,4 +70,4 @@ def family_number(args: Column) -> Column:
 
 
 def return_code(ret: Column) -> Column:
-    return F.expr("try_cast(__r AS BIGINT)") if ret is None else F.trim(ret).try_cast("bigint")
+    return F.trim(ret).try_cast("bigint")

@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import shlex
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # URL, address and host shapes, shell indicators and command words.
 URL_HOST = r"(?iU)\b(?:https?|ftps?|wss?|sftp)://([\w.\-:]+)"
@@ -62,59 +57,61 @@ def url_hosts(text: Column) -> Column:
     return F.transform(found, lambda h: F.substring_index(h, ":", 1))
 
 
-def _not_classified(token: Column) -> Column:
-    bare = F.regexp_replace(token, r"[,;]+$", "")
-    return ~like_path(token) & ~like_ipv4(bare) & ~like_hostname(bare)
-
-
-_SIGNS = re.compile(r"[|;><`]|&&|\$\(|\\n")
-_START = re.compile(SHELL_START)
-
+# Shell words: runs of plain characters, escapes and quoted parts.
+_PART = r"""[^\s"'\\]+|\\.|"(?:[^"\\]|\\.)*"|'[^']*'"""
+_WORD = f"(?s)(?:{_PART})+"
+_CLOSED = r"""(?s)\A(?:[^"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')*\z"""
 
-def _is_command(token: str) -> bool:
-    return len(token) >= 4 and " " in token and bool(_SIGNS.search(token) or _START.match(token))
 
-
-def _unfold(token: str) -> list[str]:
-    """The token itself, then its quoted-shell words, each unfolded in turn."""
-    seen, todo = [], [token]
-    while todo:
-        head = todo.pop(0)
-        seen.append(head)
-        if _is_command(head):
-            try:
-                words = shlex.split(head, posix=True)
-            except ValueError:
-                words = head.split()
-            todo = [w for w in words if w and w != head] + todo
-    return seen
+def _unquote(part: Column) -> Column:
+    """One part of a shell word without its quoting."""
+    inner = F.substring(part, F.lit(2), F.length(part) - 2)
+    return (
+        F.when(part.startswith("'"), inner)
+        .when(part.startswith('"'), F.regexp_replace(inner, r"""(?s)\\(["\\])""", "$1"))
+        .when(part.startswith("\\"), F.substring(part, F.lit(2), F.lit(1)))
+        .otherwise(part)
+    )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _shell_words(argv: pd.Series) -> pd.Series:
-    return argv.map(lambda xs: None if xs is None else [w for x in xs for w in _unfold(x)])
+def shell_words(text: Column) -> Column:
+    """Words under shell quoting; text with an open quote is split at whitespace."""
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    parts = lambda w: F.regexp_extract_all(w, F.lit("(?s)" + _PART), F.lit(0))
+    quoted = F.transform(words, lambda w: F.array_join(F.transform(parts(w), _unquote), ""))
+    return F.when(text.rlike(_CLOSED), quoted).otherwise(F.split(F.trim(text), r"\s+"))
 
 
-def _split_words(argv: Column) -> Column:
-    """JVM-side decomposition: whitespace and quotes separate words."""
-    def unfold(tok):
-        words = F.filter(F.split(tok, r"[\s\"']+"), lambda w: F.length(w) > 0)
-        return F.when(like_shell(tok), F.concat(F.array(tok), words)).otherwise(F.array(tok))
+def _unfold_once(tokens: Column, split) -> Column:
+    """Every command not yet opened becomes itself followed by its words."""
+    def one(x):
+        opened = F.array(F.struct(x.tok.alias("tok"), F.lit(True).alias("seen")))
+        fresh = F.transform(
+            F.filter(split(x.tok), lambda w: (F.length(w) > 0) & (w != x.tok)),
+            lambda w: F.struct(w.alias("tok"), F.lit(False).alias("seen")),
+        )
+        return F.when(~x.seen & like_shell(x.tok), F.concat(opened, fresh)).otherwise(opened)
 
-    return F.flatten(F.transform(argv, unfold))
+    return F.flatten(F.transform(tokens, one))
 
 
 def leaves(argv: Column, quoting: str = "shell") -> Column:
-    """All tokens of an argv, shell-command elements unfolded.
+    """All tokens of an argv, elements that are shell commands unfolded in place.
 
-    ``shell`` honours shell quoting: rows that hold a command element go through an
-    Arrow UDF, all others stay in the JVM.  ``spaces`` is the supervisor's rule.
+    ``shell`` honours quoting and opens commands inside commands: every level uses up at
+    least one quoting character, so their number bounds the levels.  ``spaces`` is the
+    supervisor's rule: quotes and whitespace separate words, one level.
     """
     present = F.filter(F.coalesce(argv, F.array().cast("array<string>")), lambda t: F.length(t) > 0)
+    start = F.transform(present, lambda t: F.struct(t.alias("tok"), F.lit(False).alias("seen")))
     if quoting == "spaces":
-        return _split_words(present)
-    has_command = F.exists(present, like_shell)
-    return F.when(has_command, _shell_words(F.when(has_command, present))).otherwise(present)
+        opened = _unfold_once(start, lambda t: F.split(t, r"[\s\"']+"))
+    else:
+        marks = F.length(F.regexp_replace(F.array_join(present, ""), r"""[^"'\\]""", ""))
+        levels = F.sequence(F.lit(1), marks + 1)
+        opened = F.aggregate(levels, start, lambda acc, _: _unfold_once(acc, shell_words))
+    flat = F.transform(opened, lambda x: x.tok)
+    return F.when(F.exists(present, like_shell), flat).otherwise(present)
 
 
 def path_tokens(leaf: Column) -> Column:

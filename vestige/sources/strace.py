@@ -55,28 +55,20 @@ def pair_calls(lines: DataFrame, by: list[str], value: str = "value", order: str
     each unfinished line is ended at most once.  The event carries the start's time.
     """
     v = F.col(value)
+    # One pass per form, each with its own expression, so a line meets few of them.
     live = lines.filter(~v.rlike(_SIGNAL))
-    kind = F.when(v.rlike(_WHOLE), "whole").when(v.rlike(_START), "start").when(v.rlike(_END), "end")
 
-    def pick(i):
-        return (
-            F.when(F.col("kind") == "whole", F.regexp_extract(v, _WHOLE, i))
-            .when(F.col("kind") == "start", F.regexp_extract(v, _START, i))
-            .otherwise(F.regexp_extract(v, _END, i))
-        )
+    def form(name, pattern, groups):
+        return F.when(v.rlike(pattern), F.struct(F.lit(name).alias("kind"), *[
+            F.regexp_extract(v, pattern, i).alias(n) if i else F.lit(None).cast("string").alias(n) for n, i in groups
+        ]))
 
-    rows = live.withColumn("kind", kind).filter("kind IS NOT NULL").select(
-        *by,
-        order,
-        "kind",
-        pick(1).cast("bigint").alias("pid"),
-        pick(2).alias("epoch"),
-        pick(3).alias("event"),
-        pick(4).alias("args"),
-        F.when(F.col("kind") == "whole", F.regexp_extract(v, _WHOLE, 5))
-        .when(F.col("kind") == "end", F.regexp_extract(v, _END, 5))
-        .alias("ret"),
+    full = (("pid", 1), ("epoch", 2), ("event", 3), ("args", 4), ("ret", 5))
+    cut = (("pid", 1), ("epoch", 2), ("event", 3), ("args", 4), ("ret", None))
+    parsed = live.select(
+        *by, order, F.coalesce(form("whole", _WHOLE, full), form("start", _START, cut), form("end", _END, full)).alias("x")
     )
+    rows = parsed.filter("x IS NOT NULL").select(*by, order, "x.*").withColumn("pid", F.col("pid").cast("bigint"))
     rows = rows.withColumn("clock", _ns(F.col("epoch")))
     whole = rows.filter("kind = 'whole'").drop("kind")
     parts = rows.filter("kind <> 'whole'")
