@@ -6,8 +6,8 @@ segments of fixed width; rows are scanned per (key, segment), and only one summa
 row per segment is carried across segments.  The big side is shuffled once, on
 (key, segment); the carry table is a map-side-combined aggregate.
 
-Every scan reads its input twice (rows and segment summaries).  Callers that chain scans
-settle the intermediate table, so reads do not multiply.
+Every scan reads its input more than once (rows, segments, values; each with its own few
+columns).  Callers that chain scans settle the intermediate table, so reads do not multiply.
 """
 
 from __future__ import annotations
@@ -34,6 +34,21 @@ def _attach(rows: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.join(carry, _keys(by), "left")
 
 
+def _edge_values(rows: DataFrame, by: Sequence[str], order: Sequence[str], pick) -> DataFrame:
+    """One row per (key, segment) that occurs, with its first or last value if it has one.
+
+    Which segments occur is a hash aggregate over two columns; only rows that carry a
+    value - usually the small side of a join - take the sort-based ``max_by``.
+    """
+    present = rows.select(*_keys(by)).distinct()
+    edges = (
+        rows.filter(F.col("__value").isNotNull())
+        .groupBy(*_keys(by))
+        .agg(pick("__value", F.struct(*order)).alias("__edge"))
+    )
+    return present.join(edges, _keys(by), "left")
+
+
 def scan_last(
     df: DataFrame,
     by: Sequence[str],
@@ -54,11 +69,9 @@ def scan_last(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    # Rows without a value sort as NULL and never win.
-    at = F.when(F.col("__value").isNotNull(), F.struct(*order))
-    tails = rows.groupBy(*_keys(by)).agg(F.max_by("__value", at).alias("__tail"))
+    tails = _edge_values(rows, by, order, F.max_by)
     before = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*_keys(by), F.last("__tail", ignorenulls=True).over(before).alias("__carry"))
+    carry = tails.select(*_keys(by), F.last("__edge", ignorenulls=True).over(before).alias("__carry"))
     scanned = rows.withColumn("__local", F.last("__value", ignorenulls=True).over(frame))
     return (
         _attach(scanned, carry, by)
@@ -84,10 +97,9 @@ def scan_next(
         .orderBy(*order)
         .rowsBetween(0 if inclusive else 1, Window.unboundedFollowing)
     )
-    at = F.when(F.col("__value").isNotNull(), F.struct(*order))
-    heads = rows.groupBy(*_keys(by)).agg(F.min_by("__value", at).alias("__head"))
+    heads = _edge_values(rows, by, order, F.min_by)
     after = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(1, Window.unboundedFollowing)
-    carry = heads.select(*_keys(by), F.first("__head", ignorenulls=True).over(after).alias("__carry"))
+    carry = heads.select(*_keys(by), F.first("__edge", ignorenulls=True).over(after).alias("__carry"))
     scanned = rows.withColumn("__local", F.first("__value", ignorenulls=True).over(frame))
     return (
         _attach(scanned, carry, by)

@@ -42,6 +42,7 @@ def label(events: DataFrame, meta: DataFrame, windows: DataFrame, *, registry: b
         .join(in_server.withColumn("__m", F.lit(True)), on, "left")
         .join(meta.select("trace_id", F.col("session_id").alias("__sid"), F.col("mcp").alias("__mcp")), "trace_id", "left")
     )
+    e = settle(e)
     s, m = F.coalesce("__s", F.lit(False)), F.coalesce("__m", F.lit(False))
     if scope == "server":
         hit, rest = e.filter(m), e.filter(~m)

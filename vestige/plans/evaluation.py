@@ -102,3 +102,38 @@ def benign_denials(decided: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(writes).alias("n_writes"), F.count_if(writes & ~F.col("ok")).alias("write_fp"),
         F.count_if(F.col("reason") == "write_denied_dotfile_in_scratch").alias("dotfile_denials"),
     )
+
+
+def evaluate_flat(pairs: DataFrame, events: DataFrame, policies: DataFrame, predicates: DataFrame, *, mode: str = "v1",
+                  keys: tuple[str, ...] = ("mcp", "prompt")) -> DataFrame:
+    """Host-event evaluation without subtrees: strict and noise-floor coverage of the
+    benign session, rejection on the fired one."""
+    keys = list(keys)
+    ready = pair_policies(pairs, policies, keys).filter("status = 'ok'")
+    flag = ready.select(F.col("benign_session_id").alias("trace_id"), *keys).unionByName(
+        ready.select(F.col("malicious_session_id").alias("trace_id"), *keys)
+    ).distinct()
+    joined = with_policy(events, flag, policies, keys)
+    on = ["trace_id", *keys]
+
+    def cov(noise_floor, name):
+        c = policy.coverage(policy.decide(joined, mode, noise_floor=noise_floor), on)
+        return c.select(*on, "total", F.col("coverage").alias(name))
+
+    both = cov(False, "coverage_strict").join(cov(True, "coverage_nf").drop("total"), on).withColumnRenamed("trace_id", "benign_session_id")
+    slim = policy.decide(joined, mode, noise_floor=True).select(*on, "seq", "ts_ns", "event", "path", "argv", "write_intent", "ok", "reason")
+    hits = policy.match_sentinels(slim.withColumn("k", F.col("trace_id")), predicates.withColumnRenamed("trace_id", "k"), "k")
+    rej = policy.rejection(hits, on).withColumnRenamed("trace_id", "malicious_session_id")
+    return pairs.join(both, ["benign_session_id", *keys], "left").join(rej, ["malicious_session_id", *keys], "left").fillna(
+        0, ["n_sig_matches", "n_rejected"]
+    )
+
+
+def signature_counts(decided_hits: DataFrame, inside: DataFrame, by: list[str]) -> DataFrame:
+    """Signature matches and rejections in the whole trace and in the subtree, one pass."""
+    marked = decided_hits.join(inside.withColumn("__in", F.lit(True)), [*by, "pid"], "left")
+    sub, rej = F.coalesce("__in", F.lit(False)), ~F.col("ok")
+    return marked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_full"), F.count_if(rej).alias("n_full_rejected"),
+        F.count_if(sub).alias("n_subtree"), F.count_if(sub & rej).alias("n_subtree_rejected"),
+    )

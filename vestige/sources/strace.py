@@ -9,6 +9,7 @@ from vestige.functions import paths
 from vestige.functions import strace as st
 from vestige.operators.segments import first_rows, scan_last
 from vestige.schema import canonical
+from vestige.session import settle
 
 _HEAD = r"^(\d+)\s+(\d+\.\d+)\s+"
 # Oracle form: a closed call, or one cut off before its result.
@@ -69,7 +70,8 @@ def pair_calls(lines: DataFrame, by: list[str], value: str = "value", order: str
         *by, order, F.coalesce(form("whole", _WHOLE, full), form("start", _START, cut), form("end", _END, full)).alias("x")
     )
     rows = parsed.filter("x IS NOT NULL").select(*by, order, "x.*").withColumn("pid", F.col("pid").cast("bigint"))
-    rows = rows.withColumn("clock", _ns(F.col("epoch")))
+    # Parsing is the costly part: it runs once, and the scans below read its table.
+    rows = settle(rows.withColumn("clock", _ns(F.col("epoch"))))
     whole = rows.filter("kind = 'whole'").drop("kind")
     parts = rows.filter("kind <> 'whole'")
     # File order decides which start is the latest, so the line number is the clock.

@@ -310,11 +310,11 @@ def touch_counts(spark, sf):
 
 @query(
     "orphan_processes",
-    "SELECT s_suppkey AS pid FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R')",
+    "SELECT s_suppkey AS pid FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_linenumber = 7 AND l_orderkey % 50 < 2)",
 )
 def orphan_processes(spark, sf):
-    """Suppliers without an urgent returned line."""
-    t = v.touches(spark, sf).filter("o_orderpriority = '1-URGENT' AND l_returnflag = 'R'")
+    """Suppliers without an urgent returned seventh line in two of fifty orders."""
+    t = v.touches(spark, sf).filter("o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_linenumber = 7 AND l_orderkey % 50 < 2")
     one = F.lit("t").alias("trace_id")
     tables = {
         "Process": v.table(spark, sf, "supplier").select(one, F.col("s_suppkey").alias("pid"), F.col("s_name").alias("first_comm"), F.lit("").alias("first_argv"), F.lit(0).alias("t_first_seen_ns")),

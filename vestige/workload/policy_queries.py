@@ -456,3 +456,24 @@ def event_summary(spark, sf):
 )
 def scratch_dotfiles(spark, sf):
     return v.host(spark, sf).filter(paths.scratch_dotfile(F.col("path"))).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "signature_full_and_subtree",
+    o.with_views(o.POLICED + ", " + _HITS + ", ", f"""hist AS (SELECT trace_id, pid, bool_or(comm IN ('libuv-worker', 'MainThread')) AND NOT bool_or(comm IN ('claude', 'sh')) AS ins FROM host GROUP BY 1, 2),
+  d AS (SELECT trace_id, pid, {o.v1_reason(noise_floor=True, prefix='')} AS reason FROM hits WHERE hit)
+  SELECT trace_id, count(*) AS n_full, count(CASE WHEN NOT {o.OK_REASON} THEN 1 END) AS n_full_rejected, count(CASE WHEN ins THEN 1 END) AS n_subtree,
+    count(CASE WHEN ins AND NOT {o.OK_REASON} THEN 1 END) AS n_subtree_rejected FROM d JOIN hist USING (trace_id, pid) GROUP BY 1"""),
+)
+def signature_full_and_subtree(spark, sf):
+    """Signature matches in whole traces beside those of the worker-thread processes."""
+    h = v.host(spark, sf)
+    inside = subtree.comm_history(h, ["trace_id"]).filter("has_distinctive AND NOT has_ancestor").select("trace_id", "pid")
+    d = policy.decide(v.policed(spark, sf), "full", noise_floor=True)
+    return evaluation.signature_counts(policy.match_signatures(d, _leaves(spark, sf), "policy"), inside, ["trace_id"])
+
+
+@query("policy_document_diversity", "SELECT count(*) AS n, count(DISTINCT (c_nationkey, c_mktsegment)) AS n_unique FROM customer")
+def policy_document_diversity(spark, sf):
+    c = v.table(spark, sf, "customer").select("c_nationkey", "c_mktsegment")
+    return audit.document_diversity(c, ["c_nationkey", "c_mktsegment"])

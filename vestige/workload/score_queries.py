@@ -56,11 +56,15 @@ _TWO_CLASS = """lab AS (SELECT doc_id % 5 AS g, 'q' || quality AS t, CASE WHEN d
 )
 def cluster_scores_labels(spark, sf):
     """Mapped precision / recall / F1 of one label column against the other."""
+    s = _label_scores(spark, sf)
+    return s.select("g", *_ROUND, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _label_scores(spark, sf):
     lab = v.table(spark, sf, "labels").select(
         (F.col("doc_id") % 5).alias("g"), F.concat(F.lit("q"), "quality").alias("t"),
         F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("t"), "toxic")).alias("p"), "doc_id")
-    s = metrics.cluster_scores(lab, ["g"], "t", "p", order="doc_id")
-    return s.select("g", *_ROUND, *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return metrics.cluster_scores(lab, ["g"], "t", "p", order="doc_id")
 
 
 @query(
@@ -69,7 +73,7 @@ def cluster_scores_labels(spark, sf):
      round(max(2.0 * tp / (2 * tp + fp + fn)), 6) AS f1_max FROM r"""),
 )
 def trial_summary(spark, sf):
-    s = cluster_scores_labels(spark, sf).withColumn("half", F.lit(0).cast("bigint")).withColumn("ari", F.lit(None).cast("double"))
+    s = _label_scores(spark, sf).withColumn("half", F.lit(0).cast("bigint"))
     t = metrics.trial_summary(s, ["half"])
     return t.select("half", "n_trials", *[F.round(c, 6).alias(c) for c in ("f1_mean", "f1_min", "f1_max")])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vestige.operators.segments import scan_next
 from vestige.schema import canonical
-from vestige.session import tune
+from vestige.session import settle, tune
 from vestige.sources.sessions import compile_envelopes
 
 EPOCH_US = 1_704_067_200_000_000
@@ -137,7 +137,8 @@ def strace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "signup", F.concat(F.lit('execve("/usr/bin/prog'), k % 5, F.lit('", ["prog'), k % 5, F.lit('", "-x", "'), k, F.lit('"], 0x7f /* 3 vars */) = 0')))
         .otherwise(F.concat(F.lit("connect("), k % 9, F.lit(", {sa_family=AF_INET"), F.when(k % 2 == 0, "6").otherwise(""), F.lit(", sin_port=htons(443)}, 16) = -1 EINPROGRESS (busy)")))
     )
-    return e.select("trace_id", F.col("line").cast("bigint").alias("seq"), F.concat(head, body).alias("value"))
+    # Landed as text first, as a trace file would be.
+    return settle(e.select("trace_id", F.col("line").cast("bigint").alias("seq"), F.concat(head, body).alias("value")))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
