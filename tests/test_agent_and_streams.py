@@ -162,19 +162,19 @@ def test_live_attribution_equals_batch(spark, tmp_path):
     from vestige.streaming.live_attribution import LiveAttribution
 
     rng = random.Random(11)
-    evs = model.random_trace(rng, 80, trace="a") + model.random_trace(rng, 60, trace="b")
+    evs = model.random_trace(rng, 40, trace="a") + model.random_trace(rng, 32, trace="b")
     df = frame(spark, evs)
     want = {(r.trace_id, r.seq): (r.session, r.server) for r in binding.attribute(df, binding.bind(df, detector="strict")).collect()}
     order = sorted(evs, key=lambda e: e["ts_ns"] + rng.randrange(0, 400_000_000))
-    for i in range(4):
-        part = order[i * 35:(i + 1) * 35]
+    for i in range(2):
+        part = order[i * 36:(i + 1) * 36]
         frame(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     live = LiveAttribution(spark, str(tmp_path / "state"), delay_ns=10**9, detector="strict")
-    size = len(order) // 4
-    for i in range(4):
+    size = len(order) // 3
+    for i in range(3):
         live(frame(spark, order[i * size:(i + 1) * size]), i)
-    live(frame(spark, order[3 * size:4 * size]), 3)  # a repeated batch changes nothing
-    live.finish(4)
+    live(frame(spark, order[2 * size:3 * size]), 2)  # a repeated batch changes nothing
+    live.finish(3)
     got = {(r.trace_id, r.seq): (r.session, r.server) for r in live.results().collect()}
     assert got == want
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))

@@ -16,10 +16,10 @@ def frame(spark, events):
     return spark.createDataFrame([tuple(e.get(n) for n in CANONICAL) for e in events], DDL)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_binding_equals_ordered_walk(spark, seed):
     rng = random.Random(seed)
-    traces = {f"t{i}": model.random_trace(rng, 90, trace=f"t{i}") for i in range(3)}
+    traces = {f"t{i}": model.random_trace(rng, 70, trace=f"t{i}") for i in range(2)}
     df = frame(spark, [e for t in traces.values() for e in t])
     states = binding.bind(df, detector="strict")
     got = binding.attribute(df.select("trace_id", "seq", "ts_ns", "pid"), states).collect()

@@ -149,3 +149,21 @@ def test_model_answers(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.j for r in df.orderBy("i").select(naming.policy_json(F.col("t")).alias("j")).collect()]
     assert got == ['{"a":1}', '{"a":2}', '{"a":{"b":3}}', None, None]
+
+
+def test_shell_words_equal_shlex(spark):
+    import shlex
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab /'\"\\ ;") for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    texts += ["bash -c \"sh -c 'ls /x; cat /y'\"", "a 'b c' \"d\\\"e\" f\\ g"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", tokens.shell_words(F.col("t")).alias("w")).collect():
+        try:
+            want = shlex.split(r.t, posix=True)
+        except ValueError:
+            want = r.t.split()
+        assert [x for x in r.w if x] == [x for x in want if x], r.t
+    nested = spark.createDataFrame([(["bash", "-c", "sh -c \"sh -c 'ls /x/1; cat /y/2'\" && true"],)], "a array<string>")
+    got = nested.select(tokens.path_tokens(tokens.leaves(F.col("a"))).alias("p")).first().p
+    assert got == ["/x/1;", "/y/2"]

@@ -294,16 +294,18 @@ def shell_command_tokens(spark, sf):
 
 
 @query(
-    "document_path_tokens",
+    "document_host_tokens",
     """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[\\s"'']+')) AS w FROM documents)
-  SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_unique FROM w WHERE regexp_matches(w, '^(/|\\.\\.?/|~/)') AND NOT contains(w, '://') GROUP BY 1""",
+  SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_unique FROM w WHERE regexp_matches(w, '^[!-~]+$') AND contains(w, '.') AND NOT contains(w, '/')
+    AND regexp_matches(w, '[a-zA-Z]') AND regexp_matches(w, '^[a-zA-Z0-9]([0-9A-Za-z_.\\-]{0,251}[0-9A-Za-z_])?$') GROUP BY 1""".replace("\\\\", "\\"),
 )
-def document_path_tokens(spark, sf):
-    """Rooted path words of whole document texts."""
+def document_host_tokens(spark, sf):
+    """Host-like words of whole document texts (plain ASCII words, so both engines agree
+    on what a letter is)."""
     words = F.filter(F.split("text", r"[\s\"']+"), lambda w: F.length(w) > 0)
     d = v.table(spark, sf, "documents").select("doc_id", F.explode(words).alias("w"))
     w = F.col("w")
-    return d.filter(tokens.like_path(w) & w.rlike(r"^(?:/|\.\.?/|~/)")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("n_unique"))
+    return d.filter(w.rlike("^[!-~]+$") & tokens.like_hostname(w)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("n_unique"))
 
 
 @query(
