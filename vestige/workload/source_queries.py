@@ -295,17 +295,17 @@ def shell_command_tokens(spark, sf):
 
 @query(
     "document_host_tokens",
-    """WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[\\s"'']+')) AS w FROM documents)
-  SELECT doc_id, count(*) AS n, count(DISTINCT w) AS n_unique FROM w WHERE regexp_matches(w, '^[!-~]+$') AND contains(w, '.') AND NOT contains(w, '/')
-    AND regexp_matches(w, '[a-zA-Z]') AND regexp_matches(w, '^[a-zA-Z0-9]([0-9A-Za-z_.\\-]{0,251}[0-9A-Za-z_])?$') GROUP BY 1""".replace("\\\\", "\\"),
+    r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[\s"'']+')) AS w FROM documents),
+  h AS (SELECT DISTINCT doc_id, regexp_replace(w, '[,;]+$', '') AS h FROM w WHERE regexp_matches(w, '^[!-~]+$') AND NOT contains(w, '/')),
+  o AS (SELECT *, string_split(h, '.') AS p FROM h)
+  SELECT doc_id, h AS host FROM o WHERE (regexp_matches(h, '^([0-9]{1,3}\.){3}[0-9]{1,3}$') AND CAST(p[1] AS INT) < 256 AND CAST(p[2] AS INT) < 256 AND CAST(p[3] AS INT) < 256 AND CAST(p[4] AS INT) < 256)
+    OR (contains(h, '.') AND regexp_matches(h, '[a-zA-Z]') AND regexp_matches(h, '^[a-zA-Z0-9]([0-9A-Za-z_.\-]{0,251}[0-9A-Za-z_])?$'))""",
 )
 def document_host_tokens(spark, sf):
-    """Host-like words of whole document texts (plain ASCII words, so both engines agree
-    on what a letter is)."""
-    words = F.filter(F.split("text", r"[\s\"']+"), lambda w: F.length(w) > 0)
-    d = v.table(spark, sf, "documents").select("doc_id", F.explode(words).alias("w"))
-    w = F.col("w")
-    return d.filter(w.rlike("^[!-~]+$") & tokens.like_hostname(w)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("n_unique"))
+    """Addresses and host names among the words of whole texts (plain ASCII words, so both
+    engines agree on what a letter is)."""
+    words = F.filter(F.split("text", r"[\s\"']+"), lambda w: w.rlike("^[!-~]+$") & ~w.contains("/"))
+    return v.table(spark, sf, "documents").select("doc_id", F.explode(tokens.host_tokens(words)).alias("host"))
 
 
 @query(
