@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from vestige.llm import bpe, decontamination, langid, line_dedup, ngram_jaccard
+from vestige.llm.common import land, table
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that could be told; those without a letter go."""
+    known = langid.profiles(docs, ~langid.held_out(4, 2))
+    keep = [c for c in docs.columns if c != "doc_id"]
+    plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"{c}_kept") for c in keep])
+    found = langid.identify(plain, known, keep=[f"{c}_kept" for c in keep]).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return found.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"`{c}_kept`").alias(c) for c in docs.columns])
+
+
+def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that were seen before go; a document that loses its last line goes with it."""
+    worded = lambda c: F.coalesce(F.length(F.regexp_replace(c, r"[\x20\x09-\x0D]+", "")) > 0, F.lit(False))
+    bare = docs.where(~worded(F.col("text")))
+    return line_dedup.dedup_lines(docs.where(worded(F.col("text")))).where(worded(F.col("text"))).unionByName(bare)
+
+
+def by_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.keep_one(docs)
+
+
+def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("k_"), F.col("th").alias("t_")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["k_"]) & (F.xxhash64(docs["text"]) == found["t_"]), "left_anti")
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=False)
+
+
+STAGES = [("language ID", by_language), ("line dedup", by_line), ("n-gram Jaccard join", by_copy), ("benchmark decontamination", by_benchmark), ("byte-level BPE", to_tokens)]
+
+#: The learned languages and the merges are not SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; every stage's rows are landed and reread."""
-    from vestige.llm.common import land
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies STAGES to documents; every stage's rows are written and read again."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = land(stage(spark, docs, sf_dir))
     return docs

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException  # noqa: F401  (re-exported for callers that probe paths)
 
-from vestige.session import settle, shared_folder
+from vestige.session import settle
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -17,17 +16,23 @@ def land(df: DataFrame) -> DataFrame:
     return settle(df)
 
 
-def shared(spark: SparkSession) -> str:
-    return shared_folder(spark)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z; every other character stays."""
-    return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+    """A-Z to a-z; every other character stays.  Texts of ASCII alone take the quick way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_LOWER))
+
+
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` and the columns ``made``, each computed once a row.
+
+    A plain projection may be merged into later expressions and then run again for every element
+    of an array; a generator of one row is not merged.
+    """
+    whole = F.struct(*[c.alias(n) for n, c in made.items()])
+    return df.select("*", F.explode(F.array(whole)).alias("once_")).select(*df.columns, *[F.col(f"once_.{n}").alias(n) for n in made])
 
 
 def with_columns(df: DataFrame, **new: Column) -> DataFrame:
@@ -45,7 +50,6 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     path; each round is two groupings of the edges, landed in the shared folder.  Only the count
     of changed edges comes to the driver.
     """
-    spark = edges.sparkSession
     now = land(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -61,4 +65,4 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
             break
         before = sign
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()) if spark else roots
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

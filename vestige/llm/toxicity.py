@@ -69,7 +69,7 @@ def fit(flat, sizes, labels) -> Machine:
     place[used] = np.arange(len(used))
     flat = place[flat]
     params = [np.array([np.log(share / (1 - share))]), np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))]
-    decay = (0.0, 1e-3, 1e-3)
+    decay = (0.0, 1e-4, 1e-4)
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     step = 0
