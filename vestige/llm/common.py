@@ -12,8 +12,18 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def land(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the folder of ``spark.checkpoint.dir`` and reads it back."""
-    return settle(df)
+    """Writes ``df`` once to the folder of ``spark.checkpoint.dir`` and reads it back.
+
+    The shuffle files of the plan that writes go when it is done; they would fill the disk until
+    the driver happens to collect garbage.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return settle(df)
+    finally:
+        conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A line is the set of its lower-cased words.  Words are ordered by rarity; two lines whose Jaccard
 similarity reaches the threshold share a word among the first n - ceil(t n) + 1 of each (prefix
-filter), their lengths are within the threshold's ratio, and the places of the shared words leave
-room for the overlap needed (positional filter).  What passes is verified.  A line goes if it
+filter), their lengths are within the threshold's ratio, and the words that the prefixes share
+leave room in the rest for the overlap needed (positional filter).  Small bitmaps bound it again.  What passes is verified.  A line goes if it
 equals, or is similar to, an earlier line: one with a smaller (document id, line number).
 """
 
@@ -18,8 +18,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 THRESHOLD = 0.8
 #: Lines of fewer different words are left alone, equal ones too: headings, single words.
 LEAST_WORDS = 5
-#: Rarity is counted in so many hashed buckets; any order that all lines share gives the same result.
-RARITY_BUCKETS = 16384
+#: Rarity is counted in 2 ** RARITY_BITS hashed buckets; any order that all lines share gives the same result.
+RARITY_BITS = 20
 
 
 def ceil_share(threshold: float, n: Column) -> Column:
@@ -27,32 +27,41 @@ def ceil_share(threshold: float, n: Column) -> Column:
     return F.floor((n * round(threshold * 1000) + 999) / 1000).cast("int")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, low): the lines that have a word."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(F.split(text, "\n").alias("line"), F.split(lower_ascii(text), "\n").alias("low"))).alias("line_no", "l"))
-    return rows.select("doc_id", "line_no", F.col("l.line").alias("line"), F.col("l.low").alias("low"))
-
-
-def word_set(low: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(low, BLANKS), ""))
+def word_hashes(line: Column) -> Column:
+    """The hashes of a line's different words."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(lower_ascii(line), BLANKS), ""), lambda w: F.xxhash64(w)))
 
 
 def rarity(lines: DataFrame) -> Column:
-    """Array literal: log2 of the number of words in each hashed bucket, over all lines."""
-    words = lines.select(F.explode(F.split("low", BLANKS)).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int").alias("bucket")).count()
-    seen = {r["bucket"]: r["count"].bit_length() for r in counts.collect()}
-    return F.from_json(F.lit("[" + ",".join(str(seen.get(b, 0)) for b in range(RARITY_BUCKETS)) + "]"), "array<bigint>")
+    """Array literal: log2 of the number of words in each hashed bucket, over all lines.
+
+    A fixed number of buckets; they come to the driver as 1024 strings of digits and commas.
+    """
+    spark, size = lines.sparkSession, 1 << RARITY_BITS
+    words = lines.select(F.explode(F.split(lower_ascii(F.col("line")), BLANKS)).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(size - 1)).alias("bucket")).count()
+    counts = counts.select("bucket", F.floor(F.log2("count")).cast("int").alias("level")).unionByName(spark.range(size).select(F.col("id").alias("bucket"), F.lit(0).alias("level")))
+    levels = counts.groupBy("bucket").agg(F.max("level").alias("level"))
+    parts = levels.groupBy(F.shiftright("bucket", RARITY_BITS - 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("bucket", "level"))).alias("l"))
+    rows = parts.select("part", F.array_join(F.transform("l", lambda x: x["level"].cast("string")), ",").alias("text")).collect()
+    return F.from_json(F.lit("[" + ",".join(r["text"] for r in sorted(rows, key=lambda r: r["part"])) + "]"), "array<tinyint>")
 
 
 def keyed(lines: DataFrame, rare: Column) -> DataFrame:
-    """(line id, first, n, keys): words as sorted numbers, the rarer ones first; 48 bits of each are the word's hash."""
-    sets = once(lines, set_=word_set(F.col("low")))
-    sets = sets.where(F.size("set_") >= LEAST_WORDS)
-    key = lambda w: F.shiftleft(F.get(rare, F.pmod(F.xxhash64(w), F.lit(RARITY_BUCKETS)).cast("int")), 48).bitwiseOR(F.xxhash64(w, F.lit(1)).bitwiseAND(F.lit((1 << 48) - 1)))
-    keys = F.sort_array(F.transform("set_", key))
-    return once(sets, keys=keys).select(*[c for c in lines.columns if c not in ("line", "low")], F.size("keys").alias("n"), "keys")
+    """``lines`` without the text, with n and keys: words as sorted numbers, the rarer ones first; 48 bits of each are the word's hash."""
+    sets = once(lines, set_=word_hashes(F.col("line"))).where(F.size("set_") >= LEAST_WORDS)
+    level = lambda h: F.get(rare, h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")).cast("long")
+    keys = F.sort_array(F.transform("set_", lambda h: F.shiftleft(level(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
+    return once(sets.select(*[c for c in lines.columns if c != "line"], "set_"), keys=keys).select(*[c for c in lines.columns if c != "line"], F.size("keys").alias("n"), "keys")
+
+
+def bit(h: Column, at: int) -> Column:
+    """One of 64 bits, chosen by six bits of the hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def bit_set(hashes: str, at: int) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h, at)))
 
 
 def similar(a: str, b: str, threshold: float) -> Column:
@@ -67,48 +76,66 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     Rows of one id are told apart by text; of rows that are equal throughout, the lines go in
     none or all.  A null id sorts first.  Null and empty texts have no lines.
     """
-    where_ = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)).alias("th_"))
-    lines = lines_of(where_, id_col, text_col)
-    once_each = lines.groupBy("line", "low").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    once_each = once_each.select(F.xxhash64("line").alias("id"), "first", "line", "low")
-    distinct = land(once_each.drop("line"))
+    where_ = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"), F.xxhash64(F.col(text_col)).alias("th"))
+    lines = where_.select("doc_id", F.posexplode(F.split("text_", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    distinct = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select(F.xxhash64("line").alias("id"), "first", "line")
+    distinct = once(distinct, set_=word_hashes(F.col("line"))).where(F.size("set_") >= LEAST_WORDS)
+    marks = [bit_set("set_", at) for at in (20, 26)]
+    distinct = land(distinct.select("id", "first", "line", F.size("set_").alias("n"), marks[0].alias("map0"), marks[1].alias("map1")))
+    maps = distinct.select("id", "map0", "map1")
     rare = rarity(distinct)
-    full = keyed(distinct, rare)
-    prefix = F.slice("keys", 1, F.col("n") - ceil_share(threshold, F.col("n")) + 1)
-    posts = full.select("id", "first", "n", F.posexplode(prefix).alias("i", "key"))
-    group = Window.partitionBy("key")
-    posts = posts.withColumn("m_", F.count(F.lit(1)).over(group)).withColumn("lead_", F.min(F.struct("first", "id", "n", "i")).over(group))
-    posts = land(posts.where("m_ > 1").drop("m_"))
 
-    def fits(n_a: Column, i_a: Column, n_b: Column, i_b: Column) -> Column:
-        need = F.floor(((n_a + n_b) * round(threshold * 1000) + 999 + round(threshold * 1000)) / (1000 + round(threshold * 1000)))
-        room = F.least(i_a, i_b) + 1 + F.least(n_a - i_a, n_b - i_b) - 1
-        return (n_a >= ceil_share(threshold, n_b)) & (n_b >= ceil_share(threshold, n_a)) & (room >= need)
+    def fits(n_a: Column, n_b: Column) -> Column:
+        return (n_a >= ceil_share(threshold, n_b)) & (n_b >= ceil_share(threshold, n_a))
+
+    def enough(shared: Column, n_a: Column, n_b: Column) -> Column:
+        """Of two lines, the prefix that ends first meets the other line in its prefix only: overlap <= shared + the longer rest."""
+        t = round(threshold * 1000)
+        need = F.floor(((n_a + n_b) * t + 999 + t) / (1000 + t))
+        return shared + F.greatest(ceil_share(threshold, n_a), ceil_share(threshold, n_b)) - 1 >= need
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs (id, n, with, m, shared) that the shared prefix words and two bitmaps of 64 bits leave.
+
+        A bit that only one line has stands for a word that the other lacks.
+        """
+        a, b = maps.alias("a"), maps.alias("b")
+        some = pairs.where(enough(F.col("shared"), F.col("n"), F.col("m")))
+        both = some.join(a, some["id"] == F.col("a.id")).join(b, some["with"] == F.col("b.id"))
+        t = round(threshold * 1000)
+        need = F.floor(((F.col("n") + F.col("m")) * t + 999 + t) / (1000 + t))
+        for k in ("map0", "map1"):
+            x, y = F.col(f"a.{k}"), F.col(f"b.{k}")
+            both = both.where((F.col("n") - F.bit_count(x.bitwiseAND(F.bitwise_not(y))) >= need) & (F.col("m") - F.bit_count(y.bitwiseAND(F.bitwise_not(x))) >= need))
+        return both.select(some["id"], "with")
 
+    prefix = F.slice("keys", 1, F.col("n") - ceil_share(threshold, F.col("n")) + 1)
+    posts = keyed(distinct.select("id", "first", "line"), rare).select("id", "first", "n", F.explode(prefix).alias("key"))
+    group = Window.partitionBy("key")
+    posts = posts.withColumn("m_", F.count(F.lit(1)).over(group)).withColumn("l_", F.min(F.struct("first", "id", "n")).over(group)).where("m_ > 1")
     # First each line against the earliest one that shares a rare word; a group of near copies
     # is settled by that.  Then the lines without a match against all earlier ones.
-    lead = posts.where((F.col("lead_.first") < F.col("first")) & fits(F.col("n"), F.col("i"), F.col("lead_.n"), F.col("lead_.i")))
-    tried = lead.select("id", F.col("lead_.id").alias("with")).distinct()
-    settled = land(verified(tried, full, threshold))
+    early = (F.col("l_.first") < F.col("first")) & fits(F.col("n"), F.col("l_.n"))
+    posts = land(posts.select("key", "id", "first", "n", F.when(early, F.struct("l_.id", "l_.n")).alias("lead")))
+    tried = posts.where("lead is not null").groupBy("id", "n", F.col("lead.id").alias("with"), F.col("lead.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
+    settled = land(verified(bounded(tried), distinct, rare, threshold))
     open_ = posts.join(settled, "id", "left_anti").alias("x")
-    other = posts.select("id", "first", "n", "i", "key").alias("y")
-    pairs = open_.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("y.first") < F.col("x.first")) & (F.col("x.lead_.id") != F.col("y.id")) & fits(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")))
-    more = land(verified(pairs.select(F.col("x.id").alias("id"), F.col("y.id").alias("with")).distinct(), full, threshold))
+    other = posts.select("id", "first", "n", "key").alias("y")
+    met = open_.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("y.first") < F.col("x.first")) & fits(F.col("x.n"), F.col("y.n")))
+    pairs = met.groupBy(F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("y.id").alias("with"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
+    more = land(verified(bounded(pairs), distinct, rare, threshold))
     gone = settled.unionByName(more).withColumn("gone", F.lit(True))
-    long = distinct.where(F.size(word_set(F.col("low"))) >= LEAST_WORDS)
-    fate = long.join(gone, "id", "left").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    places = where_.select(F.col(id_col).alias("doc_id"), F.col("th_").alias("th"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    places = places.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
+    fate = distinct.select("id", "first").join(gone, "id", "left").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    places = where_.select("doc_id", "th", F.posexplode(F.split("text_", "\n")).alias("line_no", "line")).select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
     hit = places.join(fate, "id").where(F.col("gone") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return hit.select("doc_id", "th", "line_no")
 
 
-def verified(pairs: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, rare: Column, threshold: float) -> DataFrame:
     """(id): the lines that are similar to one they are paired with (id, with)."""
     pairs = land(pairs)
-    needed = pairs.select("id").unionByName(pairs.select(F.col("with").alias("id"))).distinct()
-    sets = land(full.join(needed, "id", "left_semi").select("id", "n", "keys"))
+    needed = land(pairs.select("id").unionByName(pairs.select(F.col("with").alias("id"))).distinct())
+    sets = land(keyed(lines.select("id", "line").join(needed, "id", "left_semi"), rare))
     a, b = sets.alias("a"), sets.alias("b")
     both = pairs.join(a, pairs["id"] == F.col("a.id")).join(b, pairs["with"] == F.col("b.id")).where(similar("a", "b", threshold))
     return both.select(pairs["id"]).distinct()
