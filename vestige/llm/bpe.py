@@ -20,10 +20,12 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vestige.llm.common import text_batches
+
 #: Words of about so many texts' worth of bytes are worked on together.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Bytes of words contracted by one recursive query.
 QUERY_BYTES = 500_000
 #: From this length on a word's pairs of one rank are contracted together.
@@ -106,7 +108,7 @@ class Engine:
 
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -281,4 +283,4 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                 columns += [pa.array(data, pa.binary())] * decoded
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return picked.mapInArrow(run, schema)
+    return text_batches(picked).mapInArrow(run, schema)

@@ -26,6 +26,14 @@ def land(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """Lets Python tasks of this session take at most 1000 rows at a time: texts are long, executors small."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= 1000:
+        conf.set(key, "1000")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

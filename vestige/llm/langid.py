@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vestige.llm.common import land, text_batches
+
 DIMENSIONS = 1024
 #: Training takes at most about so many texts of a language.
 PER_LANGUAGE = 4000
@@ -127,7 +129,8 @@ def profiles(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: s
     import numpy as np
 
     rows = docs.where(learn & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    # Landed, so that its size is known and the texts are not dealt out by language.
+    counts = land(rows.groupBy(F.col(lang_col).alias("known")).agg(F.count(F.lit(1)).alias("n")))
     draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) / (1 << 20)
     chosen = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
     chosen = chosen.join(counts, chosen["lang"] == counts["known"]).where(F.col("draw") * F.col("n") < per_language).select("lang", "text")
@@ -191,7 +194,7 @@ def identify(docs: DataFrame, known: dict[str, list[float]], id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*[n for i, n in enumerate(batch.schema.names) if i != 1], "lang_pred", "score"])
 
-    return picked.mapInArrow(run, schema)
+    return text_batches(picked).mapInArrow(run, schema)
 
 
 def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:

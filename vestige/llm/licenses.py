@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import land
+from vestige.llm.common import land, text_batches
 
 #: Identifiers and the sentences that stand for them in headers and licence files.
 TEMPLATES = (
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
                                              names=["doc_id", "path", "own_license", "cosine", "is_license_file"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text_"))
-    return rows.mapInArrow(run, "doc_id long, path string, own_license string, cosine double, is_license_file boolean")
+    return text_batches(rows).mapInArrow(run, "doc_id long, path string, own_license string, cosine double, is_license_file boolean")
 
 
 def directory(path: Column) -> Column:

@@ -23,7 +23,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.common import land, smallest_reachable
+from vestige.llm.common import land, smallest_reachable, text_batches
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers.
@@ -44,7 +44,7 @@ class WordHashes(dict):
     """Word to 64 hash bits, remembered up to a fixed number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return found
@@ -116,7 +116,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
         none = pa.nulls(len(often), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(often), pa.binary()), pa.array(often, pa.int32()), pa.array(counts[often] if texts else [], pa.int64())], schema=schema)
 
-    made = land(rows.mapInArrow(run, "doc_id long, th long, n long, class long, map binary, bucket int, times long"))
+    made = land(text_batches(rows).mapInArrow(run, "doc_id long, th long, n long, class long, map binary, bucket int, times long"))
     return made.where("bucket is null").drop("bucket", "times"), made.where("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times"))
 
 

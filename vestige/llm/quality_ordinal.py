@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vestige.llm.common import text_batches
 from vestige.llm.textmodel import Buckets, joined_texts, labelled_sample
 
 BITS = 16
@@ -156,4 +157,4 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
             tails = own.tails(z)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(tails.sum(axis=1), 6)), pa.array(np.round(tails[:, 0], 6))], names=[id_col, "expected_grade", "tail"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, expected_grade double, tail double")
+    return text_batches(rows).mapInArrow(run, f"`{id_col}` {kind}, expected_grade double, tail double")

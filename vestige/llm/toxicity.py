@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vestige.llm.common import text_batches
 from vestige.llm.textmodel import Buckets, joined_texts, labelled_sample, present
 
 BITS = 18
@@ -145,4 +146,4 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             scores = np.round(np.concatenate(out), 6) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
-    return picked.mapInArrow(run, f"`{id_col}` {fields}, score double")
+    return text_batches(picked).mapInArrow(run, f"`{id_col}` {fields}, score double")
