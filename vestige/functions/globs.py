@@ -10,23 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters with a meaning in Java regular expressions but none in globs.
-_META = r"[\\.^$+|(){}&~#-]"
+# A pattern's parts: runs of stars, closed sets (a bracket right after the opening one, or after
+# its exclamation mark, is a member), single characters.
+_PARTS = r"(?s)\*+|\[!?\]?[^\]]*\]|."
+# A set's parts: ranges, then single characters.
+_MEMBERS = r"(?s).-.|."
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]", r"\\$0")
+
+
+def _member(part: Column) -> Column:
+    """One part of a set; a range that runs backwards holds nothing."""
+    first, last = F.substring(part, 1, 1), F.substring(part, 3, 1)
+    ranged = F.char_length(part) == 3
+    return F.when(ranged & (F.ascii(first) > F.ascii(last)), "").when(ranged, F.concat(_plain(first), F.lit("-"), _plain(last))).otherwise(_plain(part))
+
+
+def _set(part: Column) -> Column:
+    negated = part.startswith("[!")
+    body = F.regexp_replace(part, r"(?s)^\[!?(.*)\]$", "$1")
+    members = F.array_join(F.transform(F.regexp_extract_all(body, F.lit(_MEMBERS), F.lit(0)), _member), "")
+    empty = F.when(negated, F.lit(".")).otherwise(F.lit("(?!)"))
+    return F.when(members == "", empty).otherwise(F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), members, F.lit("]")))
 
 
 def shell_glob(pattern: Column) -> Column:
-    """``*`` crosses slashes, ``**`` equals ``*``, ``?`` and ``[set]`` work."""
-    p = F.regexp_replace(pattern, r"\*+", "*")
-    # An opening bracket without a closing one is a plain character, and so is a
-    # bracket inside a set.
-    p = F.regexp_replace(p, r"\[(?!!?+\]?+[^\]]*\])", "\u0001")
-    p = F.regexp_replace(p, r"(?<=\[[^\]]{0,200})\[", "\u0001")
-    # Inside a set a dash keeps its meaning; everywhere else it is harmless.
-    p = F.regexp_replace(p, r"[\\.^$+|(){}&~#]", r"\\$0")
-    p = F.replace(p, F.lit("[!"), F.lit("[^"))
-    p = F.replace(p, F.lit("\u0001"), F.lit("\\["))
-    p = F.replace(p, F.lit("?"), F.lit("."))
-    return F.replace(p, F.lit("*"), F.lit(".*"))
+    """``*`` crosses slashes, ``**`` equals ``*``, ``?`` and ``[set]`` work; sets may have any length."""
+    def one(part: Column) -> Column:
+        return (
+            F.when(part.startswith("*"), F.lit(".*"))
+            .when(part == "?", F.lit("."))
+            .when(part.startswith("[") & (F.char_length(part) > 1), _set(part))
+            .otherwise(_plain(part))
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(pattern, F.lit(_PARTS), F.lit(0)), one), "")
 
 
 def supervisor_glob(pattern: Column) -> Column:

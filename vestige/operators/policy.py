@@ -220,6 +220,8 @@ def match_sentinels(events: DataFrame, predicates: DataFrame, key: str) -> DataF
         & (F.col("argv_contains").isNull() | in_argv)
         & (~F.col("requires_write_intent") | F.coalesce("write_intent", F.lit(False)))
     )
+    if "path_starts_with" in predicates.columns:
+        hit &= F.col("path_starts_with").isNull() | path.startswith(F.col("path_starts_with"))
     hits = events.join(predicates, [key, "event"]).filter(hit)
     return first_rows(hits, [key, "trace_id", "seq"], [F.col("place")])
 

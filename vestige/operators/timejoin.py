@@ -36,6 +36,8 @@ def asof(
     ``same_instant`` also admits equality.
     """
     payload = "__payload"
+    # A null key equals nothing: without right rows of null keys, such left rows stay unmatched.
+    right = right.dropna(subset=list(by)) if by else right
     shared = len(right_ties) == len(ties) and len(ties) > 0
     # A right row sorts before an equal left row exactly when it should be visible to it.
     right_first = same_instant != forward

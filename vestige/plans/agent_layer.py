@@ -11,7 +11,6 @@ from vestige.operators import callwindows
 from vestige.operators.segments import first_rows, scan_last
 from vestige.session import settle
 
-TEXT_CLIP = 8192
 LINES = 1 << 20
 
 
@@ -42,7 +41,7 @@ def _outcome(sessions: DataFrame, transcript: DataFrame, hooks: DataFrame | None
         .otherwise(F.coalesce(terminal, F.lit("unknown"))).alias("terminator_status"),
         F.when(missing & stopped, "").when(missing, crash).otherwise(F.coalesce(stop, terminal, F.lit(""))).alias("terminator_reason"),
         F.when(missing & stopped, "silent").when(missing, "terminated").when(said, "responded").otherwise("silent").alias("outcome"),
-        F.when(~missing & said, F.substring(F.col("r.result"), 1, TEXT_CLIP)).alias("response_text"),
+        F.when(~missing & said, F.col("r.result")).alias("response_text"),
     )
 
 
@@ -55,7 +54,7 @@ def _conversation(frame: DataFrame) -> dict[str, DataFrame]:
         ),
         "Prompt": frame.select(
             pr.alias("prompt_id"), it.alias("iteration_id"), "session_id",
-            F.substring(F.coalesce("prompt", F.lit("")), 1, TEXT_CLIP).alias("text"), F.col("t_start_ns").alias("ts_ns"),
+            F.coalesce("prompt", F.lit("")).alias("text"), F.col("t_start_ns").alias("ts_ns"),
         ),
         "Response": frame.filter("response_text IS NOT NULL").select(
             rs.alias("response_id"), it.alias("iteration_id"), "session_id",

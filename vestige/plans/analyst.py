@@ -24,8 +24,8 @@ def session_overview(t: Tables) -> DataFrame:
     )
 
 
-def session_subgraph(t: Tables, trace_id: str, session: str, limit: int = 500) -> DataFrame:
-    """Tidy edge list around one session: (relation, source, target)."""
+def session_subgraph(t: Tables, trace_id: str, session: str, limit: int | None = None) -> DataFrame:
+    """Tidy edge list around one session: (relation, source, target); the first ``limit`` rows on request."""
     here = (F.col("trace_id") == trace_id) & (F.col("session_id") == session)
     servers = t["has_mcp"].filter(here)
     members = t["member_of_session"].filter(here)
@@ -42,7 +42,7 @@ def session_subgraph(t: Tables, trace_id: str, session: str, limit: int = 500) -
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("relation", "source", "target").limit(limit)
+    return out if limit is None else out.orderBy("relation", "source", "target").limit(limit)
 
 
 def touch_set(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestige.operators.segments import first_rows, scan_next
@@ -101,13 +101,13 @@ def tiered_residual(pairs: DataFrame, tiers: DataFrame, key: str = "category") -
     counted = level.filter("n_sig_matches > 0").groupBy("tier").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("first_hit_rejected").alias("k")
     )
-    cuts = tiers.select(F.col("tier").alias("removed_up_to")).distinct()
-    # Tiers are a handful of levels; every level keeps the rows above it.
-    left = counted.withColumn("removed_up_to", F.explode(F.sequence(F.lit(-1), F.least(F.col("tier") - 1, F.lit(9)))))
-    left = left.join(cuts.unionByName(cuts.sparkSession.range(1).select(F.lit(-1).alias("removed_up_to"))).distinct(), "removed_up_to", "left_semi")
-    return left.groupBy("removed_up_to").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("stopped"), F.try_divide(F.sum("k").cast("double"), F.sum("n")).alias("rate")
-    )
+    cuts = tiers.select("tier").distinct().unionByName(tiers.sparkSession.range(1).select(F.lit(-1).alias("tier"))).distinct()
+    # Every level keeps the rows above it: running sums over the distinct levels.
+    levels = counted.join(cuts.withColumn("cut", F.lit(True)), "tier", "full").select(
+        F.col("tier").alias("removed_up_to"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    above = Window.orderBy(F.col("removed_up_to").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    left = levels.select("removed_up_to", "cut", F.sum("n").over(above).alias("n"), F.sum("k").over(above).alias("stopped")).filter("cut AND n > 0")
+    return left.select("removed_up_to", "n", "stopped", F.try_divide(F.col("stopped").cast("double"), F.col("n")).alias("rate"))
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -66,7 +66,7 @@ def signature_as_predicates(leaves: DataFrame, key: str) -> DataFrame:
     return leaves.select(
         key, "place", F.lit("signature").alias("role"), F.col("syscall").alias("event"),
         F.coalesce("path_contains", "path_starts_with").alias("needle"), none.alias("path_exact"),
-        "path_contains", none.alias("argv_contains"), F.lit(False).alias("requires_write_intent"),
+        "path_contains", "path_starts_with", none.alias("argv_contains"), F.lit(False).alias("requires_write_intent"),
     )
 
 

@@ -12,8 +12,6 @@ from vestige.operators.graph import first_sightings, fork_edges, keep_first_edge
 from vestige.operators.segments import first_rows, ordinal
 from vestige.session import settle
 
-CLIP = 512
-
 NODES = ("Session", "Iteration", "Prompt", "Response", "Tool", "MCP", "ToolCall", "Process", "File", "Socket")
 FILE_EDGES = ("read", "write", "unlink")
 SOCKET_EDGES = ("connect", "bind", "send", "recv")
@@ -21,8 +19,8 @@ SOCKET_EDGES = ("connect", "bind", "send", "recv")
 _SOCKET_EVENT = {"connect": "connect", "bind": "bind", "send": "sendto", "recv": "recvfrom"}
 
 
-def clip(argv, size: int = CLIP):
-    return F.substring(F.array_join(F.coalesce(argv, F.array().cast("array<string>")), " "), 1, size)
+def joined(argv):
+    return F.array_join(F.coalesce(argv, F.array().cast("array<string>")), " ")
 
 
 def file_edges(events: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def session_rows(events: DataFrame) -> DataFrame:
     n = ordinal(execs.select("trace_id", "ts_ns", "seq", "pid", "argv"), ["trace_id"], ["ts_ns", "seq"], "n")
     return n.select(
         "trace_id", F.concat(F.lit("sess_"), F.col("n") - 1).alias("session_id"),
-        F.col("pid").alias("anchor_pid"), F.col("ts_ns").alias("t_start_ns"), clip(F.col("argv")).alias("argv"),
+        F.col("pid").alias("anchor_pid"), F.col("ts_ns").alias("t_start_ns"), joined(F.col("argv")).alias("argv"),
         F.lit("").alias("terminator_status"), F.lit("").alias("terminator_reason"),
     )
 
@@ -83,7 +81,7 @@ def process_rows(events: DataFrame) -> DataFrame:
     )
     return first.join(roots, ["trace_id", "pid"], "left").select(
         "trace_id", "pid", F.coalesce("comm", F.lit("")).alias("first_comm"),
-        clip(F.coalesce("root_argv", "argv")).alias("first_argv"), F.col("ts_ns").alias("t_first_seen_ns"),
+        joined(F.coalesce("root_argv", "argv")).alias("first_argv"), F.col("ts_ns").alias("t_first_seen_ns"),
     )
 
 
@@ -99,7 +97,7 @@ def build(events: DataFrame, *, detector: str = "layered", registry: bool = True
     )
     child_of = keep_first_edge(fork_edges(events).withColumn("via", F.lit("sched_fork")).unionByName(inherited))
     names = server_rows.select("trace_id", "server_key", "mcp_id")
-    opened_argv = events.filter("event = 'execve'").select("trace_id", "seq", clip(F.col("argv")).alias("argv"))
+    opened_argv = events.filter("event = 'execve'").select("trace_id", "seq", joined(F.col("argv")).alias("argv"))
     tables = {
         "Session": session_rows(events),
         "MCP": server_rows.join(opened_argv, ["trace_id", "seq"], "left").select(

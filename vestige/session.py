@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -19,6 +18,10 @@ SQL_SETTINGS = {
 }
 
 
+# Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         if spark.conf.get(key, None) != value:
@@ -46,15 +49,13 @@ def shared_folder(spark: SparkSession) -> str:
     On a cluster the setting must be present.  Only a local master, where driver
     and executors are one process, may fall back to a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if folder:
         return folder
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    base = os.environ.get("VESTIGE_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="vestige-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="vestige-"))
 
 
 def settle(df: DataFrame) -> DataFrame:

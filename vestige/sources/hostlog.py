@@ -23,9 +23,14 @@ def read_host_json(spark: SparkSession, path: str | list[str], trace: Column | N
 
 
 def stream_host_json(spark: SparkSession, path: str, trace: Column) -> DataFrame:
-    """The same as a stream; the file's own order is not available there."""
+    """The same as a stream.
+
+    A line's place in its file is not available there, so ``seq`` is a hash of the file and of
+    all fields: it tells events apart, and a line that is read again keeps its number.
+    """
     raw = spark.readStream.schema(HOST_NESTED).option("mode", "PERMISSIVE").json(path)
-    return host_events(raw.withColumn("trace_id", trace).withColumn("seq", F.lit(0).cast("bigint")))
+    seq = F.xxhash64(F.col("_metadata.file_path"), F.to_json(F.struct(*[F.col(c) for c in raw.columns])))
+    return host_events(raw.withColumn("seq", seq).withColumn("trace_id", trace))
 
 
 def parse_host_lines(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vestige.functions import globs, naming
 from vestige.schema import CONTENT_BLOCKS, ENVELOPE_BODY, HOOK_EVENT, SESSION_META, TRANSCRIPT
 from vestige.sources import hostlog, lines, strace
+from vestige.session import settle
 
 
 def read_meta(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
@@ -77,19 +78,19 @@ def agent_session_ids(transcript: DataFrame, by: list[str], order: str = "seq")
     )
 
 
-def signature_predicates(signatures: DataFrame, key: str, predicates: str = "predicates", depth: int = 16) -> DataFrame:
+def signature_predicates(signatures: DataFrame, key: str, predicates: str = "predicates") -> DataFrame:
     """Leaves ``kind = l1_syscall`` of recursive any/all/not predicate trees.
 
     ``predicates`` is JSON text.  Each round opens one nesting level of the nodes not yet
-    at a leaf; ``negated`` counts the nots above a leaf (the matching rules ignore it, as
+    at a leaf, until none is left; ``negated`` counts the nots above a leaf (the matching rules ignore it, as
     the stored signatures expect).
     """
-    node = F.parse_json(F.col(predicates))
     todo = signatures.select(
-        key, F.array(F.lit(0)).alias("place"), node.alias("node"), F.lit(0).alias("negations")
+        key, F.array(F.lit(0)).alias("place"), F.col(predicates).alias("text"), F.lit(0).alias("negations")
     )
     leaves = None
-    for _ in range(depth):
+    while leaves is None or not todo.isEmpty():
+        todo = todo.select(key, "place", F.parse_json("text").alias("node"), "negations")
         kind = F.try_variant_get("node", "$.kind", "string")
         leaf = todo.filter(kind == "l1_syscall").select(
             key,
@@ -118,10 +119,11 @@ def signature_predicates(signatures: DataFrame, key: str, predicates: str = "pre
             .select(
                 key,
                 F.concat("place", F.array(F.col("__b.slot"))).alias("place"),
-                F.col("__b.child").alias("node"),
+                F.to_json("__b.child").alias("text"),
                 (F.col("negations") + F.col("__b.neg")).alias("negations"),
             )
         )
+        todo = settle(todo)
     return leaves
 
 

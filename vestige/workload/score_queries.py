@@ -206,7 +206,7 @@ def transcript_tool_calls(spark, sf):
     "transcript_outcomes",
     o.with_views(o.SESSIONS + ", ", """f AS (SELECT session_id, text FROM convo WHERE turn = last AND role = 'assistant')
   SELECT s.session_id, CASE WHEN f.session_id IS NULL THEN 'crash' WHEN length(f.text) % 7 = 0 THEN 'error' WHEN length(f.text) % 3 = 0 THEN 'max_turns' ELSE 'clean' END AS terminator_status,
-    CASE WHEN f.session_id IS NULL THEN 'terminated' WHEN length(f.text) > 0 THEN 'responded' ELSE 'silent' END AS outcome, coalesce(length(substr(f.text, 1, 8192)), 0) AS n_response, length(substr(s.prompt, 1, 8192)) AS n_prompt
+    CASE WHEN f.session_id IS NULL THEN 'terminated' WHEN length(f.text) > 0 THEN 'responded' ELSE 'silent' END AS outcome, coalesce(length(f.text), 0) AS n_response, length(s.prompt) AS n_prompt
   FROM sess s LEFT JOIN f USING (session_id)"""),
 )
 def transcript_outcomes(spark, sf):
@@ -229,7 +229,7 @@ def advertised_tools(spark, sf):
 @query(
     "iteration_transcripts",
     o.with_views(o.SESSIONS + ", ", """n AS (SELECT session_id, count(*) AS n FROM uses GROUP BY 1)
-  SELECT 'iter/' || s.session_id || '/0' AS iteration_id, length(substr(prompt, 1, 8192)) AS n_prompt, coalesce(n, 0) AS n_calls FROM sess s LEFT JOIN n USING (session_id)"""),
+  SELECT 'iter/' || s.session_id || '/0' AS iteration_id, length(prompt) AS n_prompt, coalesce(n, 0) AS n_calls FROM sess s LEFT JOIN n USING (session_id)"""),
 )
 def iteration_transcripts(spark, sf):
     a = _agent(spark, sf)
