@@ -111,7 +111,7 @@ def test_proximity(spark, docs):
     phrases = spark.createDataFrame([("p", ["brown", "lazy", "dog"]), ("q", ["quick", "today"])], "phrase string, terms array<string>")
     index = decontamination.build_index(docs, phrases.select(F.explode("terms").alias("term")))
     got = {(r["phrase"], r["doc_id"]) for r in decontamination.proximity_matches(index, phrases, 8).collect()}
-    assert {d for p, d in got if p == "p"} == {0, 1, 2, 3, 10, 18} and not {d for p, d in got if p == "q"}
+    assert {d for p, d in got if p == "p"} == {0, 1, 2, 3, 10, 18} and {d for p, d in got if p == "q"} == {18}  # where one copy ends and the next begins
 
 
 def test_statistics_and_rules(spark, docs, none):

@@ -239,6 +239,9 @@ def chunks(words) -> Iterator[tuple[int, int]]:
     """Runs (first, number) of texts whose words have about CHUNK_BYTES."""
     import numpy as np
 
+    if not len(words.values):
+        yield 0, len(words)
+        return
     size = np.diff(np.frombuffer(words.values.buffers()[1], np.int32)[words.values.offset :][words.offsets.to_numpy()])
     cut = (np.cumsum(size) // CHUNK_BYTES).astype(np.int64)
     for part in np.unique(cut):

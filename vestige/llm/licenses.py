@@ -34,7 +34,7 @@ TEMPLATES = (
 WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
 LEAST_COSINE = 0.7
 #: A file is a licence file if its licensing lines hold at least this share of its words.
-LICENCE_FILE_SHARE = 0.2
+LICENCE_FILE_SHARE = 0.5
 
 
 def terms(text: str) -> list[str]:

@@ -76,7 +76,7 @@ def fit(flat, sizes, labels) -> Machine:
     step = 0
     for _ in range(EPOCHS if len(used) else 0):
         order = rng.permutation(len(sizes))
-        for batch in np.array_split(order, max(1, len(order) // 500)):
+        for batch in np.array_split(order, min(len(order), max(20, len(order) // 500))):
             idx = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in batch]) if len(batch) else np.zeros(0, np.int64)
             f, own = flat[idx], np.repeat(np.arange(len(batch)), sizes[batch])
             bias, w, v = params
