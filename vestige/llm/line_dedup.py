@@ -3,8 +3,9 @@
 A line is the set of its lower-cased words.  Words are ordered by rarity; two lines whose Jaccard
 similarity reaches the threshold share a word among the first n - ceil(t n) + 1 of each (prefix
 filter), their lengths are within the threshold's ratio, and the words that the prefixes share
-leave room in the rest for the overlap needed (positional filter).  Small bitmaps bound it again.  What passes is verified.  A line goes if it
-equals, or is similar to, an earlier line: one with a smaller (document id, line number).
+leave room in the rest for the overlap needed (positional filter).  Bitmaps bound the overlap
+inside the join, so that few pairs are shuffled.  What passes is verified on the texts.  A line
+goes if it equals, or is similar to, an earlier line: one with a smaller (document id, line number).
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ THRESHOLD = 0.8
 LEAST_WORDS = 5
 #: Rarity is counted in 2 ** RARITY_BITS hashed buckets; any order that all lines share gives the same result.
 RARITY_BITS = 20
+#: Line hashes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Prefix words by which a line looks for the earliest line that may settle it; the rest of the search is whole.
+LEAD_WORDS = 3
 
 
 def ceil_share(threshold: float, n: Column) -> Column:
@@ -32,42 +37,73 @@ def word_hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(lower_ascii(line), BLANKS), ""), lambda w: F.xxhash64(w)))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """Array literal: log2 of the number of words in each hashed bucket, over all lines.
+def rarity(docs: DataFrame) -> Column:
+    """Array literal: log2 of the number of words in each hashed bucket, over all texts.
 
     A fixed number of buckets; they come to the driver as 1024 strings of digits and commas.
     """
-    spark, size = lines.sparkSession, 1 << RARITY_BITS
-    words = lines.select(F.explode(F.split(lower_ascii(F.col("line")), BLANKS)).alias("word"))
+    spark, size = docs.sparkSession, 1 << RARITY_BITS
+    words = docs.select(F.explode(F.split(lower_ascii(F.col("text_")), BLANKS)).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(size - 1)).alias("bucket")).count()
     counts = counts.select("bucket", F.floor(F.log2("count")).cast("int").alias("level")).unionByName(spark.range(size).select(F.col("id").alias("bucket"), F.lit(0).alias("level")))
     levels = counts.groupBy("bucket").agg(F.max("level").alias("level"))
     parts = levels.groupBy(F.shiftright("bucket", RARITY_BITS - 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("bucket", "level"))).alias("l"))
-    rows = parts.select("part", F.array_join(F.transform("l", lambda x: x["level"].cast("string")), ",").alias("text")).collect()
+    rows = parts.select("part", F.array_join(F.transform("l", lambda x: x["level"].cast("string")), ",").alias("text"))
+    rows = land(rows).collect()  # landed, so that its shuffle files go
     return F.from_json(F.lit("[" + ",".join(r["text"] for r in sorted(rows, key=lambda r: r["part"])) + "]"), "array<tinyint>")
 
 
-def keyed(lines: DataFrame, rare: Column) -> DataFrame:
-    """``lines`` without the text, with n and keys: words as sorted numbers, the rarer ones first; 48 bits of each are the word's hash."""
+def similar(a: str, b: str, threshold: float) -> Column:
+    """|A and B| >= t |A or B| for the key arrays of both."""
+    both = F.size(F.array_intersect(f"{a}.keys", f"{b}.keys"))
+    return both * 1000 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - both) * round(threshold * 1000)
+
+
+def bits(hashes: Column) -> Column:
+    """64 bits, of which each hash sets one."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def sketched(lines: DataFrame, rare: Column, threshold: float) -> DataFrame:
+    """``lines`` without the text, with n (different words), map0 and map1 (a bitmap of 128 bits) and prefix.
+
+    The prefix holds 31 bits of the hash of each of the first words in order of rarity; words
+    that those bits confuse only bring pairs that fail later.
+    """
     sets = once(lines, set_=word_hashes(F.col("line"))).where(F.size("set_") >= LEAST_WORDS)
     level = lambda h: F.get(rare, h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")).cast("long")
-    keys = F.sort_array(F.transform("set_", lambda h: F.shiftleft(level(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
-    return once(sets.select(*[c for c in lines.columns if c != "line"], "set_"), keys=keys).select(*[c for c in lines.columns if c != "line"], F.size("keys").alias("n"), "keys")
+    ordered = F.sort_array(F.transform("set_", lambda h: F.shiftleft(level(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
+    first = F.slice(ordered, F.lit(1), F.size("set_") - ceil_share(threshold, F.size("set_")) + 1)
+    return sets.select(*[c for c in lines.columns if c != "line"], F.size("set_").alias("n"), bits(F.filter("set_", lambda h: h < 0)).alias("map0"), bits(F.filter("set_", lambda h: h >= 0)).alias("map1"),
+                       F.transform(first, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
 
 
-def bit(h: Column, at: int) -> Column:
-    """One of 64 bits, chosen by six bits of the hash."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+def could_be(a: str, b: str, threshold: float) -> Column:
+    """Lengths within the threshold's ratio, and room for the overlap needed.
 
+    A bit that only one of two lines has stands for a word that the other lacks.
+    """
+    of = lambda side, c: F.col(f"{side}.{c}")
+    lacks = lambda x, y: sum(F.bit_count(of(x, m).bitwiseAND(F.bitwise_not(of(y, m)))) for m in ("map0", "map1"))
+    sizes = (of(a, "n") >= ceil_share(threshold, of(b, "n"))) & (of(b, "n") >= ceil_share(threshold, of(a, "n")))
+    need = needed_overlap(of(a, "n"), of(b, "n"), threshold)
+    return sizes & (of(a, "n") - lacks(a, b) >= need) & (of(b, "n") - lacks(b, a) >= need)
 
-def bit_set(hashes: str, at: int) -> Column:
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h, at)))
 
+def needed_overlap(n_a: Column, n_b: Column, threshold: float) -> Column:
+    t = round(threshold * 1000)
+    return F.floor(((n_a + n_b) * t + 999 + t) / (1000 + t))
 
-def similar(a: str, b: str, threshold: float) -> Column:
-    """|A and B| >= t |A or B| for the key arrays of both."""
-    both = F.size(F.array_intersect(f"{a}.keys", f"{b}.keys"))
-    return both * 1000 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - both) * round(threshold * 1000)
+
+def positioned(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(id, with) of ``pairs`` (id, n, with, m; a row for each prefix word shared) whose positions leave room.
+
+    Of two lines, the prefix that ends first meets the other line in its prefix only: the overlap
+    is at most the prefix words shared and the longer rest.
+    """
+    counted = pairs.groupBy("id", "n", "with", "m").agg(F.count(F.lit(1)).alias("shared"))
+    rest = F.greatest(ceil_share(threshold, F.col("n")), ceil_share(threshold, F.col("m"))) - 1
+    return counted.where(F.col("shared") + rest >= needed_overlap(F.col("n"), F.col("m"), threshold)).select("id", "with")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,68 +113,54 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     none or all.  A null id sorts first.  Null and empty texts have no lines.
     """
     where_ = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"), F.xxhash64(F.col(text_col)).alias("th"))
-    lines = where_.select("doc_id", F.posexplode(F.split("text_", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    distinct = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select(F.xxhash64("line").alias("id"), "first", "line")
-    distinct = once(distinct, set_=word_hashes(F.col("line"))).where(F.size("set_") >= LEAST_WORDS)
-    marks = [bit_set("set_", at) for at in (20, 26)]
-    distinct = land(distinct.select("id", "first", "line", F.size("set_").alias("n"), marks[0].alias("map0"), marks[1].alias("map1")))
-    maps = distinct.select("id", "map0", "map1")
-    rare = rarity(distinct)
-
-    def fits(n_a: Column, n_b: Column) -> Column:
-        return (n_a >= ceil_share(threshold, n_b)) & (n_b >= ceil_share(threshold, n_a))
-
-    def enough(shared: Column, n_a: Column, n_b: Column) -> Column:
-        """Of two lines, the prefix that ends first meets the other line in its prefix only: overlap <= shared + the longer rest."""
-        t = round(threshold * 1000)
-        need = F.floor(((n_a + n_b) * t + 999 + t) / (1000 + t))
-        return shared + F.greatest(ceil_share(threshold, n_a), ceil_share(threshold, n_b)) - 1 >= need
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs (id, n, with, m, shared) that the shared prefix words and two bitmaps of 64 bits leave.
-
-        A bit that only one line has stands for a word that the other lacks.
-        """
-        a, b = maps.alias("a"), maps.alias("b")
-        some = pairs.where(enough(F.col("shared"), F.col("n"), F.col("m")))
-        both = some.join(a, some["id"] == F.col("a.id")).join(b, some["with"] == F.col("b.id"))
-        t = round(threshold * 1000)
-        need = F.floor(((F.col("n") + F.col("m")) * t + 999 + t) / (1000 + t))
-        for k in ("map0", "map1"):
-            x, y = F.col(f"a.{k}"), F.col(f"b.{k}")
-            both = both.where((F.col("n") - F.bit_count(x.bitwiseAND(F.bitwise_not(y))) >= need) & (F.col("m") - F.bit_count(y.bitwiseAND(F.bitwise_not(x))) >= need))
-        return both.select(some["id"], "with")
-
-    prefix = F.slice("keys", 1, F.col("n") - ceil_share(threshold, F.col("n")) + 1)
-    posts = keyed(distinct.select("id", "first", "line"), rare).select("id", "first", "n", F.explode(prefix).alias("key"))
-    group = Window.partitionBy("key")
-    posts = posts.withColumn("m_", F.count(F.lit(1)).over(group)).withColumn("l_", F.min(F.struct("first", "id", "n")).over(group)).where("m_ > 1")
-    # First each line against the earliest one that shares a rare word; a group of near copies
-    # is settled by that.  Then the lines without a match against all earlier ones.
-    early = (F.col("l_.first") < F.col("first")) & fits(F.col("n"), F.col("l_.n"))
-    posts = land(posts.select("key", "id", "first", "n", F.when(early, F.struct("l_.id", "l_.n")).alias("lead")))
-    tried = posts.where("lead is not null").groupBy("id", "n", F.col("lead.id").alias("with"), F.col("lead.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
-    settled = land(verified(bounded(tried), distinct, rare, threshold))
-    open_ = posts.join(settled, "id", "left_anti").alias("x")
-    other = posts.select("id", "first", "n", "key").alias("y")
-    met = open_.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("y.first") < F.col("x.first")) & fits(F.col("x.n"), F.col("y.n")))
-    pairs = met.groupBy(F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("y.id").alias("with"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("shared"))
-    more = land(verified(bounded(pairs), distinct, rare, threshold))
+    lines = where_.select("doc_id", "th", F.posexplode(F.split("text_", "\n")).alias("line_no", "line"))
+    rare = rarity(where_)
+    found = sketched(lines.select(F.xxhash64("line").alias("id"), F.struct("doc_id", "line_no").alias("first"), "line"), rare, threshold)
+    content = F.struct("n", "map0", "map1", "prefix")
+    distinct = land(found.groupBy("id").agg(F.min("first").alias("first"), F.first(content).alias("c"), F.count(F.lit(1)).alias("times")).select("id", "first", "times", "c.*"))
+    firsts = distinct.select("id", "first")
+    named = (F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("y.id").alias("with"), F.col("y.n").alias("m"))
+
+    def directed(pairs: DataFrame) -> DataFrame:
+        """``pairs`` with later: whether ``with`` comes before ``id`` and may take it out."""
+        met = pairs.join(firsts.alias("a"), pairs["id"] == F.col("a.id")).join(firsts.alias("b"), pairs["with"] == F.col("b.id"))
+        return met.select(pairs["id"], "with", (F.col("b.first") < F.col("a.first")).alias("later"))
+
+    def spread(rows: DataFrame, words: Column) -> DataFrame:
+        return rows.select(F.explode(words).alias("key"), "id", "n", "map0", "map1")
+
+    # First each line against the earliest one that shares one of its last prefix words (the first
+    # ones are where copies differ); a group of near copies is settled by that.  Then the lines
+    # without a match against all others by whole prefixes.
+    last = F.slice("prefix", F.greatest(F.size("prefix") - LEAD_WORDS + 1, F.lit(1)), F.lit(LEAD_WORDS))
+    leads = distinct.select(F.explode(last).alias("key"), F.struct("first", "id", "n", "map0", "map1").alias("y")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("y").alias("y"))
+    tried = spread(distinct, last).alias("x").join(leads.where("rows > 1").select("key", "y"), "key").where((F.col("y.id") != F.col("x.id")) & could_be("x", "y", threshold))
+    settled = verified(directed(tried.select("x.id", F.col("y.id").alias("with")).distinct()).where("later").drop("later"), lines, threshold)
+    open_ = spread(land(distinct.join(settled, "id", "left_anti").drop("first", "times")), F.col("prefix"))
+    shut = spread(distinct.join(settled, "id", "left_semi"), F.col("prefix"))
+    within = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & could_be("x", "y", threshold)).select(*named)
+    across = open_.alias("x").join(shut.alias("y"), (F.col("x.key") == F.col("y.key")) & could_be("x", "y", threshold)).select(*named)
+    met = directed(land(positioned(within.unionByName(across), threshold)))
+    turned = met.where("not later").join(settled.select(F.col("id").alias("shut")), met["with"] == F.col("shut"), "left_anti").select(F.col("with").alias("id"), F.col("id").alias("with"))
+    turned = directed(turned).where("later").drop("later")
+    more = verified(met.where("later").drop("later").unionByName(turned), lines, threshold)
     gone = settled.unionByName(more).withColumn("gone", F.lit(True))
-    fate = distinct.select("id", "first").join(gone, "id", "left").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    places = where_.select("doc_id", "th", F.posexplode(F.split("text_", "\n")).alias("line_no", "line")).select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
+    fate = distinct.select("id", "first", "times").join(gone, "id", "left").where("gone or times > 1").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    places = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
     hit = places.join(fate, "id").where(F.col("gone") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return hit.select("doc_id", "th", "line_no")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, rare: Column, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """(id): the lines that are similar to one they are paired with (id, with)."""
     pairs = land(pairs)
     needed = land(pairs.select("id").unionByName(pairs.select(F.col("with").alias("id"))).distinct())
-    sets = land(keyed(lines.select("id", "line").join(needed, "id", "left_semi"), rare))
+    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    sets = land(once(texts, keys=word_hashes(F.col("line"))).select("id", F.size("keys").alias("n"), "keys"))
     a, b = sets.alias("a"), sets.alias("b")
     both = pairs.join(a, pairs["id"] == F.col("a.id")).join(b, pairs["with"] == F.col("b.id")).where(similar("a", "b", threshold))
-    return both.select(pairs["id"]).distinct()
+    return land(both.select(pairs["id"]).distinct())
 
 
 def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
