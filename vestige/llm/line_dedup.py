@@ -140,7 +140,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     shut = spread(distinct.join(settled, "id", "left_semi"), F.col("prefix"))
     within = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & could_be("x", "y", threshold)).select(*named)
     across = open_.alias("x").join(shut.alias("y"), (F.col("x.key") == F.col("y.key")) & could_be("x", "y", threshold)).select(*named)
-    met = directed(land(positioned(within.unionByName(across), threshold)))
+    # One after the other: each join's shuffle files go before the next one writes its own.
+    met = directed(land(positioned(within, threshold)).unionByName(land(positioned(across, threshold))))
     turned = met.where("not later").join(settled.select(F.col("id").alias("shut")), met["with"] == F.col("shut"), "left_anti").select(F.col("with").alias("id"), F.col("id").alias("with"))
     turned = directed(turned).where("later").drop("later")
     more = verified(met.where("later").drop("later").unionByName(turned), lines, threshold)
