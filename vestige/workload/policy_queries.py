@@ -363,13 +363,13 @@ def pattern_diversity(spark, sf):
 
 @query(
     "pattern_leakage",
-    o.with_views(_PATTERNS, """, needle AS (SELECT DISTINCT split_part(host, '.', 1) AS needle FROM u WHERE page_id % 10 = 0)
+    o.with_views(_PATTERNS, """, needle AS (SELECT DISTINCT split_part(host, '.', 1) AS needle FROM u)
   SELECT needle, count(DISTINCT pattern) AS n FROM pat JOIN needle ON contains(pattern, needle) WHERE pattern <> '' AND needle <> '' GROUP BY 1"""),
 )
 def pattern_leakage(spark, sf):
     """Which patterns contain a sentinel text anywhere?"""
     p = _patterns(spark, sf)
-    needles = p.filter("field = 'label' AND page_id % 10 = 0").select(F.col("pattern").alias("needle"))
+    needles = p.filter("field = 'label'").select(F.col("pattern").alias("needle"))
     hits = audit.leakage(p, needles, "page_id")
     return hits.groupBy("needle").agg(F.count_distinct("pattern").alias("n"))
 

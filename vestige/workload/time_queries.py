@@ -96,14 +96,14 @@ def window_overlap_pairs(spark, sf):
 
 @query(
     "window_occupancy",
-    o.with_views(o.SPANS + ", ", """s AS (SELECT * FROM spans WHERE k < 20), h AS (SELECT e.pid, e.seq, bool_or(s.use_id IS NOT NULL) AS hit FROM ev e
+    o.with_views(o.SPANS + ", ", """s AS (SELECT * FROM spans), h AS (SELECT e.pid, e.seq, bool_or(s.use_id IS NOT NULL) AS hit FROM ev e
       LEFT JOIN s ON s.pid = e.pid AND e.ts_ns BETWEEN s.lo AND s.hi WHERE e.event_type IN ('click', 'error') GROUP BY 1, 2)
   SELECT pid, count(*) AS n, count(CASE WHEN hit THEN 1 END) AS inside, round(count(CASE WHEN hit THEN 1 END) * 1.0 / count(*), 6) AS share FROM h GROUP BY 1"""),
 )
 def window_occupancy(spark, sf):
-    """Share of a user's events inside any short window."""
+    """Share of a user's events inside any window."""
     e = v.ev(spark, sf).filter("event_type IN ('click', 'error')").select("pid", "ts_ns", "seq")
-    out = analyst.occupancy(e, v.spans(spark, sf).filter("k < 20 AND hi > 0"), ["pid"], "use_id")
+    out = analyst.occupancy(e, v.spans(spark, sf).filter("hi > 0"), ["pid"], "use_id")
     return out.withColumn("share", F.round("share", 6))
 
 
