@@ -126,8 +126,8 @@ def window_keys(events: DataFrame, windows: DataFrame, by: list[str], clock: str
 
 def consecutive_overlap(events: DataFrame, windows: DataFrame, by: list[str], key: str = "tid") -> DataFrame:
     """Per group: consecutive window pairs with activity on both sides, and how many of
-    them share no thread."""
-    named = ordinal(windows.filter("hi > lo"), by, ["lo", "hi", "use_id"], "ord")
+    them share no thread.  A window without length counts as a neighbour, not as a pair."""
+    named = ordinal(windows, by, ["lo", "hi", "use_id"], "ord").filter("hi > lo")
     used = window_keys(events, named, by, "ts_ns", "lo", "hi", "ord", key)
     active = used.select(*by, "ord").distinct()
     nxt = active.select(*by, (F.col("ord") - 1).alias("ord"))

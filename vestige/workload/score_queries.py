@@ -382,14 +382,14 @@ def stress_concat_counts(spark, sf):
 
 @query(
     "call_ambiguity",
-    o.with_views(o.SPANS + ", ", """w AS (SELECT * FROM spans WHERE k BETWEEN 1 AND 15),
+    o.with_views(o.SPANS + ", ", """w AS (SELECT * FROM spans),
   x AS (SELECT w.trace_id, w.use_id, count(DISTINCT e.pid) AS n_host_pids, count(DISTINCT CASE WHEN e.pid % 3 = 0 THEN e.pid END) AS n_server_pids FROM w LEFT JOIN ev e ON e.trace_id = w.trace_id AND e.ts_ns BETWEEN w.lo AND w.hi GROUP BY 1, 2)
   SELECT trace_id, count(*) AS n_calls, round(avg(CASE WHEN n_server_pids > 1 THEN 1.0 ELSE 0.0 END), 6) AS ambiguous_share, round(avg(CASE WHEN n_server_pids = 0 THEN 1.0 ELSE 0.0 END), 6) AS no_server_share FROM x GROUP BY 1"""),
 )
 def call_ambiguity(spark, sf):
     """Calls whose window shows more than one server process, or none."""
     e = v.ev(spark, sf).select("trace_id", "pid", "ts_ns", (F.col("pid") * 10).alias("tid"))
-    w = v.spans(spark, sf).filter("k BETWEEN 1 AND 15")
+    w = v.spans(spark, sf)
     served = e.filter("pid % 3 = 0").select("trace_id", "pid").distinct()
     r = fidelity.ambiguity_rates(fidelity.call_ambiguity(e, w, served, ["trace_id"]), ["trace_id"])
     return r.withColumn("ambiguous_share", F.round("ambiguous_share", 6)).withColumn("no_server_share", F.round("no_server_share", 6))

@@ -162,8 +162,8 @@ def first_calls(spark, sf):
 
 @query(
     "thread_disjointness",
-    o.with_views(o.SPANS + ", ", """r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY lo, hi, use_id) AS p FROM spans WHERE k BETWEEN 1 AND 30),
-  t AS (SELECT DISTINCT r.pid, r.p, e.k % 7 AS tid FROM r JOIN ev e ON e.pid = r.pid AND e.ts_ns BETWEEN r.lo AND r.hi),
+    o.with_views(o.SPANS + ", ", """r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY lo, hi, use_id) AS p FROM spans),
+  t AS (SELECT DISTINCT r.pid, r.p, e.k % 7 AS tid FROM r JOIN ev e ON e.pid = r.pid AND e.ts_ns BETWEEN r.lo AND r.hi AND r.hi > r.lo),
   a AS (SELECT DISTINCT pid, p FROM t),
   pairs AS (SELECT a.pid, a.p FROM a JOIN a b ON a.pid = b.pid AND b.p = a.p + 1),
   sh AS (SELECT DISTINCT t.pid, t.p FROM t JOIN t u ON t.pid = u.pid AND u.p = t.p + 1 AND t.tid = u.tid)
@@ -172,7 +172,7 @@ def first_calls(spark, sf):
 def thread_disjointness(spark, sf):
     """Do consecutive calls use disjoint threads?"""
     e = v.ev(spark, sf).select("pid", "ts_ns", (F.col("k") % 7).alias("tid"))
-    return callwindows.consecutive_overlap(e, v.spans(spark, sf).filter("k BETWEEN 1 AND 30"), ["pid"])
+    return callwindows.consecutive_overlap(e, v.spans(spark, sf), ["pid"])
 
 
 @query(
