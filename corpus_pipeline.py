@@ -23,7 +23,7 @@ def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that were seen before go; a document that loses its last line goes with it."""
     worded = lambda c: F.coalesce(F.length(F.regexp_replace(c, r"[\x20\x09-\x0D]+", "")) > 0, F.lit(False))
     bare = docs.where(~worded(F.col("text")))
-    return line_dedup.dedup_lines(docs.where(worded(F.col("text")))).where(worded(F.col("text"))).unionByName(bare)
+    return line_dedup.dedup_lines(docs.where(worded(F.col("text"))), least=line_dedup.EVERY_LINE).where(worded(F.col("text"))).unionByName(bare)
 
 
 def by_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

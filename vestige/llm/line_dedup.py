@@ -17,8 +17,9 @@ from vestige.llm.common import land, lower_ascii, once
 
 BLANKS = r"[\x20\x09-\x0D]+"
 THRESHOLD = 0.8
-#: Lines of fewer different words are left alone, equal ones too: headings, single words.
-LEAST_WORDS = 5
+#: By default, lines of fewer different words are left alone, equal ones too: headings, single words.
+#: op7 and the pipeline pass EVERY_LINE: all lines that have a word take part.
+LEAST_WORDS, EVERY_LINE = 5, 1
 #: Rarity is counted in 2 ** RARITY_BITS hashed buckets; any order that all lines share gives the same result.
 RARITY_BITS = 20
 #: Line hashes that are broadcast at most; more are joined by a shuffle.
@@ -64,13 +65,13 @@ def bits(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def sketched(lines: DataFrame, rare: Column, threshold: float) -> DataFrame:
+def sketched(lines: DataFrame, rare: Column, threshold: float, least: int) -> DataFrame:
     """``lines`` without the text, with n (different words), map0 and map1 (a bitmap of 128 bits) and prefix.
 
     The prefix holds 31 bits of the hash of each of the first words in order of rarity; words
     that those bits confuse only bring pairs that fail later.
     """
-    sets = once(lines, set_=word_hashes(F.col("line"))).where(F.size("set_") >= LEAST_WORDS)
+    sets = once(lines, set_=word_hashes(F.col("line"))).where(F.size("set_") >= least)
     level = lambda h: F.get(rare, h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")).cast("long")
     ordered = F.sort_array(F.transform("set_", lambda h: F.shiftleft(level(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
     first = F.slice(ordered, F.lit(1), F.size("set_") - ceil_share(threshold, F.size("set_")) + 1)
@@ -106,16 +107,18 @@ def positioned(pairs: DataFrame, threshold: float) -> DataFrame:
     return counted.where(F.col("shared") + rest >= needed_overlap(F.col("n"), F.col("m"), threshold)).select("id", "with")
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, th, line_no): the lines that go; th is the hash of the row's text.
 
+    Lines of fewer than ``least`` different words stay; those without a word always do.
+
     Rows of one id are told apart by text; of rows that are equal throughout, the lines go in
     none or all.  A null id sorts first.  Null and empty texts have no lines.
     """
     where_ = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text_"), F.xxhash64(F.col(text_col)).alias("th"))
     lines = where_.select("doc_id", "th", F.posexplode(F.split("text_", "\n")).alias("line_no", "line"))
     rare = rarity(where_)
-    found = sketched(lines.select(F.xxhash64("line").alias("id"), F.struct("doc_id", "line_no").alias("first"), "line"), rare, threshold)
+    found = sketched(lines.select(F.xxhash64("line").alias("id"), F.struct("doc_id", "line_no").alias("first"), "line"), rare, threshold, max(least, 1))
     content = F.struct("n", "map0", "map1", "prefix")
     distinct = land(found.groupBy("id").agg(F.min("first").alias("first"), F.first(content).alias("c"), F.count(F.lit(1)).alias("times")).select("id", "first", "times", "c.*"))
     firsts = distinct.select("id", "first")
@@ -164,9 +167,9 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     return land(both.select(pairs["id"]).distinct())
 
 
-def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def line_report(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines, n_removed and the removed lines' numbers, comma-joined."""
-    gone = removed_lines(docs, threshold).distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
+    gone = removed_lines(docs, threshold, least=least).distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line_no")).alias("lines"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     out = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["th"] == gone["th"]), "left")
     none = F.array().cast("array<int>")
@@ -174,9 +177,9 @@ def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                       F.array_join(F.coalesce("lines", none).cast("array<string>"), ",").alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the removed lines taken out of their texts; a text of which nothing is left becomes empty."""
-    gone = removed_lines(docs, threshold, id_col, text_col).distinct().groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines"))
+    gone = removed_lines(docs, threshold, id_col, text_col, least).distinct().groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines"))
     rows = docs.select(F.struct("*").alias("row_"), F.col(id_col).alias("k_"), F.col(text_col).alias("t_"), F.xxhash64(F.col(text_col)).alias("h_"))
     met = rows.join(gone, rows["k_"].eqNullSafe(gone["doc_id"]) & (rows["h_"] == gone["th"]), "left")
     kept = F.array_join(F.filter(F.split("t_", "\n"), lambda line, i: ~F.array_contains("lines", i)), "\n")
