@@ -3,7 +3,7 @@
 import brute
 import corpus_pipeline
 
-from vestige.llm import line_dedup, queries
+from vestige.llm import line_dedup, ngram_jaccard, queries
 
 
 def test_every_line_with_a_word_takes_part(spark, tmp_path):
@@ -27,3 +27,19 @@ def test_short_lines_of_many_texts(spark):
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], int(x)) for r in line_dedup.line_report(df, least=line_dedup.EVERY_LINE).collect() for x in r["removed_lines"].split(",") if x}
     assert got == brute.removed_lines(made, least=1)
+
+
+def near_copies():
+    base = [f"t{i}" for i in range(60)]
+    return [" ".join(base + [f"end{k}"]) for k in range(4)]
+
+
+def test_null_ids_link_like_others(spark):
+    """A group of near copies for each place of the null id, so that it is the group's head in one of them."""
+    made = [(None if i == k else 10 * k + i, f"g{k} " + t.replace("t", f"g{k}t")) for k in range(4) for i, t in enumerate(near_copies())]
+    made += [(None, "alone " * 9), (None, "only null ids " + near_copies()[0]), (None, "only null ids " + near_copies()[1])]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    got = [(r["th"], r["doc_id"], r["component_id"]) for r in ngram_jaccard.near_duplicates(df).collect()]
+    groups = {k: min(10 * k + i for i in range(4) if i != k) for k in range(4)}
+    assert sorted(c for _, _, c in got if c is not None) == sorted(groups[k] for k in range(4) for _ in range(4))
+    assert sum(c is None for _, _, c in got) == 3

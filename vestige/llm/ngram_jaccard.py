@@ -318,18 +318,27 @@ def links_of(docs: DataFrame, facts: DataFrame, frequent: DataFrame, id_col: str
     maps = facts.where("class is not null").groupBy("class").agg(F.min("map").alias("map"))
     near = in_tiles(dealt(shares).join(maps, "class").select("tile", "side", "class", "n", "map"), lambda rows: forest(rows["n"], rows["map"], rows["side"], None))
     groups = smallest_reachable(near).select(F.col("node").alias("class"), F.col("root").alias("grp"))
-    first = facts.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(groups, "class").select(F.col("class").alias("want"), F.col("doc_id").alias("key_"), "grp")
-    texts_of = docs.select(F.col(id_col).cast("long").alias("own_"), F.col(text_col).cast("string").alias("text_"))
-    met = texts_of.join(wanted, texts_of["own_"] == wanted["key_"]).select("want", "grp", "text_")
+    # One row stands for a class, known by id and text: an id may be null or have other texts.
+    first = facts.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("row"))
+    wanted = first.join(groups, "class").select(F.col("class").alias("want"), F.col("row.doc_id").alias("key_"), F.col("row.th").alias("hash_"), "grp")
+    texts_of = docs.select(F.col(id_col).cast("long").alias("own_"), F.xxhash64(F.col(text_col)).alias("th_"), F.col(text_col).cast("string").alias("text_"))
+    met = texts_of.join(wanted, texts_of["own_"].eqNullSafe(wanted["key_"]) & (texts_of["th_"] == wanted["hash_"])).select("want", "grp", "text_")
 
     def rebuilt(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            rows = [(w, g, shingle_set(t, hashes)) for w, g, t in zip(*(c.to_pylist() for c in batch.columns))]
-            rows = [r for r in rows if class_of(r[2]) == r[0]]  # an id may have other texts
+            rows = []
+            for w, g, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if w in seen:  # a row that is there more than once
+                    continue
+                made = shingle_set(t, hashes)
+                if class_of(made) == w:
+                    rows.append((w, g, made))
+                    if len(seen) >= 1_000_000:
+                        seen.clear()
+                    seen.add(w)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int32()),
                                               pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["class", "grp", "n", "set"])
 
@@ -365,15 +374,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links: 100 * intersection >= 75 * union of the sets of five-word shingles (the whole text if
     it has fewer words).  Null, empty and wordless texts link with nothing and are components of
-    their own.  Rows that share an id are told apart by text.  Null ids take part through the
-    rows that have the same set; a class with null ids only stands alone.
+    their own.  Rows that share an id are told apart by text.  Rows with a null id link like
+    others; they come last, and a component has a null id if it has no other.
     """
     facts, frequent = described(docs, id_col, text_col)
     roots = smallest_reachable(links_of(docs, facts, frequent, id_col, text_col))
     least = facts.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     named = least.join(roots, least["class"] == roots["node"], "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    best = named.groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("first"))
-    known = named.join(best, "root").select(F.col("class").alias("class_"), "first")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("first"))
+    known = named.join(best, "root").select(F.col("class").alias("class_"), F.struct("first.doc_id", "first.class").alias("first"))
     out = facts.join(known, facts["class"] == known["class_"], "left")
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "class", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
 
