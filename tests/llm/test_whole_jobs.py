@@ -43,3 +43,13 @@ def test_null_ids_link_like_others(spark):
     groups = {k: min(10 * k + i for i in range(4) if i != k) for k in range(4)}
     assert sorted(c for _, _, c in got if c is not None) == sorted(groups[k] for k in range(4) for _ in range(4))
     assert sum(c is None for _, _, c in got) == 3
+
+
+def test_one_of_each_component_stays(spark):
+    a, b, c, d = near_copies()
+    other = "quite another text of many words that has nothing to do with the rest of them"
+    made = [(1, a), (1, other), (2, b), (None, c), (None, "null and unlike " * 5), (None, "null and unlike " * 5), (None, "a second null with its own words only"), (3, "own " + other), (1, d)]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_jaccard.keep_one(spark.createDataFrame(made, "doc_id long, text string")).collect()]
+    near = [x for x in kept if x[1] in near_copies()]
+    assert len(near) == 1 and near[0][0] == 1
+    assert sorted((str(i), t) for i, t in kept if (i, t) not in near) == sorted([("1", other), ("None", "null and unlike " * 5), ("None", "a second null with its own words only")])
