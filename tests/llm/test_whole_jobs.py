@@ -2,8 +2,9 @@
 
 import brute
 import corpus_pipeline
+from pyspark.sql import functions as F
 
-from vestige.llm import line_dedup, ngram_jaccard, queries
+from vestige.llm import line_dedup, ngram_jaccard, queries, toxicity
 
 
 def test_every_line_with_a_word_takes_part(spark, tmp_path):
@@ -53,3 +54,18 @@ def test_one_of_each_component_stays(spark):
     near = [x for x in kept if x[1] in near_copies()]
     assert len(near) == 1 and near[0][0] == 1
     assert sorted((str(i), t) for i, t in kept if (i, t) not in near) == sorted([("1", other), ("None", "null and unlike " * 5), ("None", "a second null with its own words only")])
+
+
+def test_words_that_are_toxic_only_together(spark):
+    """Each of the two is as often in toxic texts as any text is toxic."""
+    made = []
+    for i in range(1600):
+        q, k = i % 4, i // 4
+        toxic = k % 8 == 0 if q < 2 else k % 3 == 0
+        told = (("alpha beta", "alpha beta", "insult", "insult") if toxic else ("alpha", "beta", "hello", "hello"))[q]
+        made.append((i, f"w{k % 17} u{k % 13} v{k % 7} {told}", int(toxic)))
+    train = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    machine = toxicity.train(train.drop("toxic"), train.select("doc_id", "toxic"), F.lit(True))
+    asked = spark.createDataFrame([(0, "alpha"), (1, "beta"), (2, "alpha beta"), (3, "insult"), (4, "hello")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(asked, machine).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: False}

@@ -19,7 +19,7 @@ FACTORS = 4
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 12_000
 #: Buckets weigh nothing that are in fewer texts of the sample, or whose share of toxic texts is
-#: within so many standard errors of the whole sample's.
+#: within so many standard errors of the whole sample's, alone and in every pair (see telling_pairs).
 LEAST_TEXTS = 3
 LEAST_ERRORS = 3.0
 EPOCHS = 30
@@ -51,6 +51,37 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def telling_pairs(flat, owner, labels, shares, alone):
+    """Which terms tell in a pair though not ``alone``: the texts with both are toxic more or less often than those with either.
+
+    The standard errors asked for grow with the number of pairs, so that chance alone keeps about none.
+    flat: terms from 0, by text; shares: each term's share of toxic texts.
+    """
+    import numpy as np
+
+    size = len(shares)
+    tells = np.zeros(size, bool)
+    errors = max(LEAST_ERRORS, np.sqrt(2 * np.log(max(size, 2) ** 2)))
+    order = np.argsort(flat, kind="stable")
+    texts_of = np.split(owner[order], np.cumsum(np.bincount(flat, minlength=size))[:-1])
+    terms_of = np.split(flat, np.cumsum(np.bincount(owner, minlength=len(labels)))[:-1])
+    p = np.clip(shares, 1e-3, 1 - 1e-3)
+    for t in np.flatnonzero(~alone):
+        met = texts_of[t]
+        others = np.concatenate([terms_of[i] for i in met])
+        both = np.bincount(others, minlength=size)
+        toxic = np.bincount(others, np.repeat(labels[met], [len(terms_of[i]) for i in met]), size)
+        some = np.flatnonzero(both >= LEAST_TEXTS)
+        some = some[some != t]
+        far = np.ones(len(some), bool)
+        for q in (p[some], p[t]):
+            far &= np.abs(toxic[some] - q * both[some]) >= errors * np.sqrt(q * (1 - q) * both[some])
+        if far.any():
+            tells[t] = True
+            tells[some[far]] = True
+    return tells
+
+
 def fit(flat, sizes, labels) -> Machine:
     """Adam on the logistic loss over the buckets that tell toxic texts from others."""
     import numpy as np
@@ -61,7 +92,13 @@ def fit(flat, sizes, labels) -> Machine:
     share = np.clip(np.mean(labels), 1e-3, 1 - 1e-3)
     texts = np.bincount(flat, minlength=size)
     toxic = np.bincount(flat, labels[owner], size)
-    often = (texts >= LEAST_TEXTS) & (np.abs(toxic - share * texts) >= LEAST_ERRORS * np.sqrt(share * (1 - share) * np.maximum(texts, 1)))
+    often = texts >= LEAST_TEXTS
+    alone = often & (np.abs(toxic - share * texts) >= LEAST_ERRORS * np.sqrt(share * (1 - share) * np.maximum(texts, 1)))
+    if often.any():
+        number = np.cumsum(often) - 1
+        paired = telling_pairs(number[flat[often[flat]]], owner[often[flat]], labels, (toxic / np.maximum(texts, 1))[often], alone[often])
+        alone[np.flatnonzero(often)[paired]] = True
+    often = alone
     keep = often[flat]
     flat, owner = flat[keep], owner[keep]
     sizes = np.bincount(owner, minlength=len(sizes))
