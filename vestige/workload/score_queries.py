@@ -366,7 +366,7 @@ def labelled_merge_scores(spark, sf):
     """Truth labels, merge into trials, predictions, scores per level: the whole pipeline."""
     h = v.host(spark, sf)
     meta = h.select("trace_id").distinct().selectExpr("trace_id", "concat('cap_', trace_id) AS session_id", "concat('m_', trace_id) AS mcp")
-    windows = v.spans(spark, sf).filter("k BETWEEN 1 AND 20").selectExpr("trace_id", "concat('u', use_id) AS use_id", "lo", "hi")
+    windows = v.spans(spark, sf).selectExpr("trace_id", "concat('u', use_id) AS use_id", "lo", "hi")
     labelled = corpora.label(h, meta, windows)
     return scoring.run_trials(labelled, mode="compat")
 
