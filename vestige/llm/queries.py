@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestige.llm import bpe, decontamination, langid, licenses, line_dedup, ngram_jaccard, quality_ordinal, quality_rules, sharding, toxicity
+from vestige.llm import bpe, decontamination, langid, licenses, line_dedup, lm_scoring, ngram_jaccard, quality_ordinal, quality_rules, sharding, toxicity
 from vestige.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op8_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), langid.held_out(7, 2))
