@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestige.llm import bpe, decontamination, langid, licenses, line_dedup, lm_scoring, ngram_jaccard, quality_ordinal, quality_rules, sharding, toxicity
+from vestige.llm import bpe, decontamination, divergence, langid, licenses, line_dedup, lm_scoring, ngram_jaccard, quality_ordinal, quality_rules, sharding, toxicity, vector_codes
 from vestige.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,19 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"), langid.held_out(7, 2))
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = divergence.SQL
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_vector_codes"] = vector_codes.sql()
