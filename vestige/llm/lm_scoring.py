@@ -24,11 +24,9 @@ from vestige.llm.common import land, text_batches
 from vestige.llm.recurrent import END, Net
 
 #: At most so many words are held by a task.
-SHARE = 400_000
+SHARE = 1_000_000
 #: Learned words, the end among them; words of one class; size of the state.
-WORDS, WIDTH, HIDDEN = 1024, 64, 16
-#: A count's binary digits: the classes of words that are not learned.
-LEVELS = 64
+WORDS, WIDTH, HIDDEN = 512, 32, 16
 #: Distinct words that a task counts before it hands the counts on; tokens a task reads side by side.
 HELD_WORDS, HELD_TOKENS = 300_000, 4_000_000
 #: Words of more bytes are known by their digest; a word has no blank, so the two are never confused.
@@ -79,6 +77,14 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("key").agg(F.sum("n").alias("c"))
 
 
+def lists(arrays, kind):
+    """Arrow lists from numpy arrays."""
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]) if arrays else [0]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
 class Lexicon:
     """What every task knows: the words of at least 1 / SHARE of the tokens, and the classes' masses."""
 
@@ -92,7 +98,9 @@ class Lexicon:
         for _, c in learned:
             if c:
                 mass[c.bit_length()] -= c + 1
-        self.level_mass = np.array([max(mass.get(k, 0), 0) for k in range(LEVELS)], np.float64)
+        # Up to the highest digit that occurs; a row of learned words alone still has the unknown word's class.
+        self.levels = 1 + max(k for k in mass if k == 0 or mass[k] > 0)
+        self.level_mass = np.array([max(mass.get(k, 0), 0) for k in range(self.levels)], np.float64)
         every = [*learned, *ranked[WORDS - 1 :]]
         self.index = {key: i for i, (key, _) in enumerate(every)}
         self.counts = np.array([c for _, c in every], np.int64)
@@ -103,17 +111,18 @@ class Lexicon:
         classes = np.bincount(np.arange(self.words) // WIDTH, weights=shares)
         self.log_word = np.log(shares) - np.log(classes[np.arange(self.words) // WIDTH])
         every_class = np.concatenate([classes, self.level_mass])
-        self.log_class = np.log(np.maximum(every_class, 1e-26 * every_class.sum())) - np.log(every_class.sum())
+        self.log_class = np.log(np.maximum(every_class, 1e-24 * every_class.sum())) - np.log(every_class.sum())
 
     def rare(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots and log shares in their classes of words that are not learned, from their counts."""
         digits = np.frexp(counts.astype(np.float64))[1]
         # From 2 ** 53 on a float may round up to the next power.
         digits -= (counts > 0) & (counts >> np.maximum(digits - 1, 0).clip(0, 62) == 0)
+        digits = np.minimum(digits, self.levels - 1)
         return (self.words + digits).astype(np.int16), np.log(counts + 1.0) - np.log(np.maximum(self.level_mass[digits], 1.0))
 
     def fresh(self) -> Net:
-        return Net.fresh(self.words, self.words + LEVELS, self.log_word, self.log_class, WIDTH, HIDDEN)
+        return Net.fresh(self.words, self.words + self.levels, self.log_word, self.log_class, WIDTH, HIDDEN)
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
@@ -135,6 +144,8 @@ def encoded(docs: DataFrame, counts: DataFrame, known, keep: list[str]) -> DataF
     fields = "slots array<short>, places array<int>, rare array<binary>, n_known int, inner double, base double"
 
     def look_up(batches):
+        from itertools import compress, count, repeat
+
         import pyarrow as pa
 
         own = known.value
@@ -143,19 +154,21 @@ def encoded(docs: DataFrame, counts: DataFrame, known, keep: list[str]) -> DataF
             made = []
             for data in batch.column(batch.num_columns - 1):
                 words = words_of(data.as_py())
-                found = np.fromiter(map(index.get, words, [-1] * len(words)), np.int32, len(words))
-                found = np.append(found, np.int32(index[END_KEY]))
+                words.append(END_KEY)
+                found = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
                 there = found >= 0
-                rare: dict[bytes, int] = {}
-                places = [rare.setdefault(key_of(words[i]), len(rare)) for i in np.flatnonzero(~there).tolist()]
+                missed = list(compress(words, (~there).tolist()))
+                if missed and max(map(len, missed)) > LONGEST:
+                    missed = list(map(key_of, missed))
+                rare = dict(zip(dict.fromkeys(missed), count()))
                 hit = found[there]
                 slots = np.full(len(found), -1, np.int16)
                 slots[there] = own.slots[hit]
-                made.append((slots, places, list(rare), int((own.counts[hit] > 0).sum()), float(own.inner[hit].sum()), float(plus[hit].sum())))
-            columns = list(zip(*made)) if made else [[]] * 6
-            kinds = [pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.int32(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(list(c), k) for c, k in zip(columns, kinds)]],
-                                             names=[*batch.schema.names[:-1], "slots", "places", "rare", "n_known", "inner", "base"])
+                made.append((slots, np.fromiter(map(rare.__getitem__, missed), np.int32, len(missed)), list(rare), int((own.counts[hit] > 0).sum()), float(own.inner[hit].sum()), float(plus[hit].sum())))
+            slots, places, rare, *sums = zip(*made) if made else [()] * 6
+            columns = [lists(slots, pa.int16()), lists(places, pa.int32()), pa.array(rare, pa.list_(pa.binary()))]
+            columns += [pa.array(c, k) for c, k in zip(sums, (pa.int32(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "slots", "places", "rare", "n_known", "inner", "base"])
 
     def fill(batches):
         import pyarrow as pa
@@ -174,9 +187,9 @@ def encoded(docs: DataFrame, counts: DataFrame, known, keep: list[str]) -> DataF
                     slots[slots < 0] = rare_slots[spots]
                     n, i, b = n + int((c > 0)[spots].sum()), i + float(rare_inner[spots].sum()), b + float(np.log(c + 1.0)[spots].sum())
                 made.append((slots, len(slots), n, i, b))
-            columns = list(zip(*made)) if made else [[]] * 5
-            kinds = [pa.list_(pa.int16()), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(list(c), k) for c, k in zip(columns, kinds)]],
+            slots, *sums = zip(*made) if made else [()] * 5
+            columns = [lists(slots, pa.int16()), *[pa.array(c, k) for c, k in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns],
                                              names=[*batch.schema.names[:at], "slots", "n_tokens", "n_known", "inner", "base"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)

@@ -13,15 +13,24 @@ import numpy as np
 
 END = 0
 #: Lanes read side by side and steps of one window of truncated backpropagation.
-LANES, STEPS = 128, 16
+LANES, STEPS = 256, 16
 #: Lanes and steps of one scoring window.
-SCORE_LANES, SCORE_STEPS = 256, 32
+SCORE_LANES, SCORE_STEPS = 512, 32
 RATE = 0.004
 
 
-def held(logits: np.ndarray) -> np.ndarray:
-    """Within the range whose exponentials float32 can add up."""
-    return np.clip(logits, -60, 60, out=logits)
+def spread(states: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and those's sums by row.
+
+    States lie between -1 and 1, so the weights bound the logits; where the bound is beyond what
+    float32 can add up, logits are held within it.
+    """
+    logits = states @ out
+    logits += bias
+    if np.abs(out).sum(axis=0).max() + np.abs(bias).max() > 60:
+        np.clip(logits, -60, 60, out=logits)
+    share = np.exp(logits)
+    return logits, share, share @ np.ones(share.shape[1], share.dtype)
 
 
 class Net:
@@ -63,10 +72,19 @@ class Net:
         """One step: the new state and what backpropagation needs."""
         h = state.shape[1]
         u = state @ self.w["again"]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * h] + u[:, : 2 * h])))
+        zr = a[:, : 2 * h] + u[:, : 2 * h]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r, un = zr[:, :h], zr[:, h:], u[:, 2 * h :]
-        n = np.tanh(a[:, 2 * h :] + r * un)
-        return n + z * (state - n), z, r, un, n
+        n = r * un
+        n += a[:, 2 * h :]
+        np.tanh(n, out=n)
+        after = state - n
+        after *= z
+        after += n
+        return after, z, r, un, n
 
     def outputs(self, states, targets, learn: bool = False):
         """Log probability of each target slot; with ``learn`` also the gradients of its negative sum.
@@ -75,32 +93,29 @@ class Net:
         one matrix product.
         """
         w = self.w
-        logits = held(states @ w["class_out"] + w["class_bias"])
-        share = np.exp(logits)
-        total = share.sum(axis=1, keepdims=True)
-        classes, rows = self.class_of(targets), np.arange(len(targets))
-        said = logits[rows, classes] - np.log(total[:, 0])
+        logits, share, total = spread(states, w["class_out"], w["class_bias"])
+        classes = self.class_of(targets)
+        spots = np.arange(len(targets)) * logits.shape[1] + classes
+        said = logits.ravel()[spots] - np.log(total)
         grads, back = {}, None
         if learn:
-            share /= total
-            share[rows, classes] -= 1
+            share /= total[:, None]
+            share.ravel()[spots] -= 1
             grads = {"class_out": states.T @ share, "class_bias": share.sum(axis=0), "word_out": np.zeros_like(w["word_out"]), "word_bias": np.zeros_like(w["word_bias"])}
             back = share @ w["class_out"].T
         order = np.argsort(classes.astype(np.int16), kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(self.word_classes + 1))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(classes, minlength=self.word_classes)[: self.word_classes])])
         order = order[: ends[-1]]
         near, at, more = states[order], targets[order] % self.width, np.empty(len(order), np.float32)
         back_near = np.empty_like(near) if learn else None
         for c in np.flatnonzero(np.diff(ends)):
             own = slice(ends[c], ends[c + 1])
             low, high = c * self.width, min((c + 1) * self.width, self.words)
-            inner = held(near[own] @ w["word_out"][low:high].T + w["word_bias"][low:high])
-            part = np.exp(inner)
-            whole = part.sum(axis=1, keepdims=True)
+            inner, part, whole = spread(near[own], w["word_out"][low:high].T, w["word_bias"][low:high])
             spots = np.arange(len(inner)) * (high - low) + at[own]
-            more[own] = inner.ravel()[spots] - np.log(whole[:, 0])
+            more[own] = inner.ravel()[spots] - np.log(whole)
             if learn:
-                part /= whole
+                part /= whole[:, None]
                 part.ravel()[spots] -= 1
                 grads["word_out"][low:high] = part.T @ near[own]
                 grads["word_bias"][low:high] = part.sum(axis=0)
@@ -119,32 +134,31 @@ class Net:
         w, (steps, lanes), h = self.w, read.shape, state.shape[1]
         x = w["embed"][read]
         a = x @ w["into"] + w["bias"]
-        kept, before, states = [], [], np.empty((steps, lanes, h), np.float32)
+        empty = [np.flatnonzero(row) for row in read == END]
+        before, z, r, un, n, states = (np.empty((steps, lanes, h), a.dtype) for _ in range(6))
         for t in range(steps):
-            state = np.where((read[t] == END)[:, None], np.float32(0), state)
-            before.append(state)
-            state, *rest = self.gates(a[t], state)
-            kept.append(rest)
-            states[t] = state
+            before[t] = state
+            before[t, empty[t]] = 0
+            states[t], z[t], r[t], un[t], n[t] = self.gates(a[t], before[t])
+            state = states[t]
         said, grads, back = self.outputs(states.reshape(-1, h), targets.ravel(), learn=True)
         back = back.reshape(steps, lanes, h)
-        da, again = np.empty_like(a), np.zeros_like(w["again"])
-        carried = np.zeros((lanes, h), np.float32)
+        # What does not depend on later steps, for all steps at once.
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
+        da, du = np.empty_like(a), np.empty_like(a)
+        carried = np.zeros((lanes, h), a.dtype)
         for t in range(steps - 1, -1, -1):
             d = back[t] + carried
-            z, r, un, n = kept[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before[t] - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            again += before[t].T @ du
-            carried = np.where((read[t] == END)[:, None], np.float32(0), d * z + du @ w["again"].T)
+            dn = d * by_n[t]
+            da[t, :, :h], da[t, :, h : 2 * h], da[t, :, 2 * h :] = d * by_z[t], dn * by_r[t], dn
+            du[t, :, : 2 * h], du[t, :, 2 * h :] = da[t, :, : 2 * h], dn * r[t]
+            carried = d * z[t] + du[t] @ w["again"].T
+            carried[empty[t]] = 0
         slots = read.ravel().astype(np.int16)
         order = np.argsort(slots, kind="stable")
         there, first = np.unique(slots[order], return_index=True)
         flat = da.reshape(-1, 3 * h)
-        grads["again"], grads["bias"] = again, flat.sum(axis=0)
+        grads["again"], grads["bias"] = before.reshape(-1, h).T @ du.reshape(-1, 3 * h), flat.sum(axis=0)
         grads["into"] = x.reshape(-1, x.shape[2]).T @ flat
         grads["embed"] = np.zeros_like(w["embed"])
         grads["embed"][there] = np.add.reduceat((flat @ w["into"].T)[order], first, axis=0)
