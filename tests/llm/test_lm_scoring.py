@@ -79,17 +79,14 @@ def test_it_learns_what_follows(spark):
 
 
 def example(hidden=5):
-    counts = [(b"", 30), *[(b"w%d" % i, 40 - i) for i in range(30)]]
-    rare = {3: 25, 1: 8}
-    levels = dict(rare)
-    for _, c in counts:
-        levels[c.bit_length()] = levels.get(c.bit_length(), 0) + c + 1
-    was, lm_scoring.WIDTH = lm_scoring.WIDTH, 8
+    counts = [(b"", 30), *[(b"w%d" % i, 40 - i) for i in range(30)], *[(b"v%d" % i, 3 + i % 3) for i in range(9)]]
+    was, most = lm_scoring.WIDTH, lm_scoring.WORDS
+    lm_scoring.WIDTH, lm_scoring.WORDS = 8, 31
     try:
-        own = lm_scoring.Lexicon(counts, levels, 1000, 60)
+        own = lm_scoring.Lexicon(counts, 1000, 60)
     finally:
-        lm_scoring.WIDTH = was
-    net = Net.fresh(own.words, own.words + own.levels, own.log_word, own.log_class, 8, hidden)
+        lm_scoring.WIDTH, lm_scoring.WORDS = was, most
+    net = Net.fresh(own.words, own.rare + 1, own.log_word, own.log_class, 8, hidden)
     draw = np.random.default_rng(1)
     net = Net({k: (a + draw.standard_normal(a.shape) * 0.3 * (k.endswith("out"))) for k, a in net.w.items()}, 8)
     return own, net
@@ -97,12 +94,11 @@ def example(hidden=5):
 
 def test_probabilities_add_up_to_one():
     own, net = example()
-    start = np.array([own.words + 3, 1, 5, 2])
-    every = np.concatenate([np.arange(own.words), [own.words, own.words + 1, own.words + 3]])
-    classes = net.class_of(every)
-    kept = np.unique(classes)
-    # Classes without words have no share.
-    net.w["class_bias"][np.setdiff1d(np.arange(len(net.w["class_bias"])), kept)] = -40.0
+    assert own.rare == own.words + 2 and own.rare_mass == 1000 + 60 + 1 - own.counts.sum() - 40
+    assert np.exp(own.log_class).sum() == pytest.approx(1)
+    for level in (own.words, own.words + 1):
+        assert np.exp(own.inner[own.slots == level]).sum() == pytest.approx(1)
+    start, every = np.array([own.words + 1, 1, 5, 2]), np.arange(own.rare + 1)
     ends = np.array([net.scores([np.append(start, s)])[0] for s in every])
     assert np.exp(ends - net.scores([start])[0]).sum() == pytest.approx(1, abs=1e-6)
 

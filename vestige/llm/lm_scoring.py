@@ -1,13 +1,15 @@
 """Scores of whole texts by a gated recurrent language model, beside the add-one unigram score.
 
 Every training token of the corpus is counted, and every training document is read once by the
-network.  The most frequent words are learned by the network one by one; every other word belongs
-to the class of words whose counts have the same number of binary digits, and has in that class
-the share of its count plus one.  A word that was never counted is a class of its own.  So the
-model's probabilities of all counted words and one unknown word add up to one in every state.
+network.  Words that make at least 1 / SHARE of all tokens, which are at most SHARE words, are held
+by every task.  The most frequent of them are learned by the network one by one; the others belong
+to classes of words whose counts have the same number of binary digits.  All other words, and the
+one that was never counted, are one more class.  A word that is not learned has in its class the
+share of its count plus one.  So the model's probabilities of all counted words and one unknown
+word add up to one in every state.
 
-Words that make at least 1 / SHARE of all tokens, which are at most SHARE words, are held by every
-task; the others meet their counts in a join of (document, word) rows.
+The network needs no counts of the words that tasks do not hold; only sums over a document do, and
+they come from a join of (document, word) rows.
 
 Training is local descent in rounds: tasks start at the round's weights, read their documents of
 the round in windows of truncated backpropagation, and the weights are averaged by tokens read.
@@ -77,74 +79,59 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("key").agg(F.sum("n").alias("c"))
 
 
-def lists(arrays, kind):
-    """Arrow lists from numpy arrays."""
-    import pyarrow as pa
-
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]) if arrays else [0]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
-
-
 class Lexicon:
     """What every task knows: the words of at least 1 / SHARE of the tokens, and the classes' masses."""
 
-    def __init__(self, frequent: list[tuple[bytes, int]], levels: dict[int, int], tokens: int, distinct: int):
-        """frequent: (key, count); levels: binary digits to the sum of (count + 1) over all counted words."""
+    def __init__(self, frequent: list[tuple[bytes, int]], tokens: int, distinct: int):
+        """frequent: (key, count); tokens, distinct: of all counted words."""
         ends = dict(frequent).get(END_KEY, 0)
         ranked = sorted((x for x in frequent if x[0] != END_KEY), key=lambda x: (-x[1], x[0]))
-        learned = [(END_KEY, ends), *ranked[: WORDS - 1]]
-        self.tokens, self.distinct, self.words = tokens, distinct, len(learned)
-        mass = {0: 1} | levels
-        for _, c in learned:
-            if c:
-                mass[c.bit_length()] -= c + 1
-        # Up to the highest digit that occurs; a row of learned words alone still has the unknown word's class.
-        self.levels = 1 + max(k for k in mass if k == 0 or mass[k] > 0)
-        self.level_mass = np.array([max(mass.get(k, 0), 0) for k in range(self.levels)], np.float64)
-        every = [*learned, *ranked[WORDS - 1 :]]
+        every = [(END_KEY, ends), *ranked]
+        self.tokens, self.distinct, self.words = tokens, distinct, min(len(every), WORDS)
         self.index = {key: i for i, (key, _) in enumerate(every)}
         self.counts = np.array([c for _, c in every], np.int64)
-        self.slots, self.inner = self.rare(self.counts)
-        self.slots[: self.words] = np.arange(self.words)
-        self.inner[: self.words] = 0.0
-        shares = self.counts[: self.words] + 1.0
-        classes = np.bincount(np.arange(self.words) // WIDTH, weights=shares)
-        self.log_word = np.log(shares) - np.log(classes[np.arange(self.words) // WIDTH])
-        every_class = np.concatenate([classes, self.level_mass])
-        self.log_class = np.log(np.maximum(every_class, 1e-24 * every_class.sum())) - np.log(every_class.sum())
-
-    def rare(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots and log shares in their classes of words that are not learned, from their counts."""
-        digits = np.frexp(counts.astype(np.float64))[1]
-        # From 2 ** 53 on a float may round up to the next power.
-        digits -= (counts > 0) & (counts >> np.maximum(digits - 1, 0).clip(0, 62) == 0)
-        digits = np.minimum(digits, self.levels - 1)
-        return (self.words + digits).astype(np.int16), np.log(counts + 1.0) - np.log(np.maximum(self.level_mass[digits], 1.0))
+        shares = self.counts + 1.0
+        digits = np.array([c.bit_length() for _, c in every[self.words :]], np.int64)
+        levels = np.unique(digits)
+        level_of = np.searchsorted(levels, digits)
+        level_mass = np.bincount(level_of, weights=shares[self.words :], minlength=len(levels))
+        self.rare = self.words + len(levels)
+        # One for the word that was never counted; the end is a word also where it was not.
+        counted = len(every) if ends else len(every) - 1
+        self.rare_mass = float(tokens + distinct + 1 - int(self.counts.sum()) - counted)
+        self.slots = np.concatenate([np.arange(self.words), self.words + level_of]).astype(np.int16)
+        self.inner = np.zeros(len(every))
+        self.inner[self.words :] = np.log(shares[self.words :]) - np.log(level_mass[level_of])
+        classes = np.bincount(np.arange(self.words) // WIDTH, weights=shares[: self.words])
+        self.log_word = np.log(shares[: self.words]) - np.log(classes[np.arange(self.words) // WIDTH])
+        masses = np.concatenate([classes, level_mass, [self.rare_mass]])
+        self.log_class = np.log(masses) - np.log(masses.sum())
 
     def fresh(self) -> Net:
-        return Net.fresh(self.words, self.words + self.levels, self.log_word, self.log_class, WIDTH, HIDDEN)
+        return Net.fresh(self.words, self.rare + 1, self.log_word, self.log_class, WIDTH, HIDDEN)
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """From the landed (key, c).  To the driver come 64 level sums at most, and SHARE words at most."""
+    """From the landed (key, c).  At most SHARE words come to the driver."""
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     tokens, distinct = int(total[0] or 0), int(total[1])
-    levels = counts.groupBy(F.length(F.bin("c")).alias("level")).agg(F.sum(F.col("c") + 1).alias("mass")).collect()
     often = (F.col("key") == F.lit(END_KEY)) | (F.col("c").cast("decimal(38,0)") * SHARE >= tokens)
     frequent = [(bytes(r["key"]), int(r["c"])) for r in counts.where(often).collect()]
-    return Lexicon(frequent, {int(r["level"]): int(r["mass"]) for r in levels}, tokens, distinct)
+    return Lexicon(frequent, tokens, distinct)
 
 
-def encoded(docs: DataFrame, counts: DataFrame, known, keep: list[str]) -> DataFrame:
-    """Per row of ``docs`` (keep columns, text_): slots, n_tokens, n_known, inner and base.
+def encoded(docs: DataFrame, known, keep: list[str]) -> DataFrame:
+    """Per row of ``docs`` (keep columns, text_): slots (16 bits each, packed), n_tokens, rare and times, n_known, inner, plus.
 
-    inner: the log shares of the words that are not learned, in their classes; base: the sum of
+    rare, times: the words that tasks do not hold, and how often they occur.  Of the others come
+    n_known, their number; inner, the sum of the log shares in their classes; and plus, the sum of
     ln(count + 1).  ``known`` is the broadcast Lexicon.
     """
-    fields = "slots array<short>, places array<int>, rare array<binary>, n_known int, inner double, base double"
+    fields = "slots binary, n_tokens long, rare array<binary>, times array<int>, n_known long, inner double, plus double"
 
     def look_up(batches):
-        from itertools import compress, count, repeat
+        from collections import Counter
+        from itertools import compress, repeat
 
         import pyarrow as pa
 
@@ -157,50 +144,26 @@ def encoded(docs: DataFrame, counts: DataFrame, known, keep: list[str]) -> DataF
                 words.append(END_KEY)
                 found = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
                 there = found >= 0
-                missed = list(compress(words, (~there).tolist()))
-                if missed and max(map(len, missed)) > LONGEST:
-                    missed = list(map(key_of, missed))
-                rare = dict(zip(dict.fromkeys(missed), count()))
+                rare = Counter(compress(words, (~there).tolist()))
+                if rare and max(map(len, rare)) > LONGEST:
+                    rare = {key_of(w): n for w, n in rare.items()}
                 hit = found[there]
-                slots = np.full(len(found), -1, np.int16)
+                slots = np.full(len(found), own.rare, np.int16)
                 slots[there] = own.slots[hit]
-                made.append((slots, np.fromiter(map(rare.__getitem__, missed), np.int32, len(missed)), list(rare), int((own.counts[hit] > 0).sum()), float(own.inner[hit].sum()), float(plus[hit].sum())))
-            slots, places, rare, *sums = zip(*made) if made else [()] * 6
-            columns = [lists(slots, pa.int16()), lists(places, pa.int32()), pa.array(rare, pa.list_(pa.binary()))]
-            columns += [pa.array(c, k) for c, k in zip(sums, (pa.int32(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "slots", "places", "rare", "n_known", "inner", "base"])
+                made.append((slots.tobytes(), len(found), list(rare), list(rare.values()), int((own.counts[hit] > 0).sum()), float(own.inner[hit].sum()), float(plus[hit].sum())))
+            columns = zip(*made) if made else [()] * 7
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                                             names=[*batch.schema.names[:-1], "slots", "n_tokens", "rare", "times", "n_known", "inner", "plus"])
 
-    def fill(batches):
-        import pyarrow as pa
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    return text_batches(docs.select(*keep, F.col("text_").cast("binary"))).mapInArrow(look_up, f"{kept}, {fields}")
 
-        own = known.value
-        for batch in batches:
-            at = batch.schema.get_field_index("slots")
-            every, places, met, n_known, inner, base = (batch.column(at + k) for k in range(6))
-            made = []
-            for slots, spots, seen, n, i, b in zip(every, places, met, n_known, inner, base):
-                slots, spots = np.array(slots.values), np.asarray(spots.values)
-                n, i, b = n.as_py(), i.as_py(), b.as_py()
-                if len(spots):
-                    c = np.asarray(seen.values)
-                    rare_slots, rare_inner = own.rare(c)
-                    slots[slots < 0] = rare_slots[spots]
-                    n, i, b = n + int((c > 0)[spots].sum()), i + float(rare_inner[spots].sum()), b + float(np.log(c + 1.0)[spots].sum())
-                made.append((slots, len(slots), n, i, b))
-            slots, *sums = zip(*made) if made else [()] * 5
-            columns = [lists(slots, pa.int16()), *[pa.array(c, k) for c, k in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns],
-                                             names=[*batch.schema.names[:at], "slots", "n_tokens", "n_known", "inner", "base"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    looked = text_batches(docs.select(*keep, F.col("text_").cast("binary"))).mapInArrow(look_up, f"{kept}, {fields}")
-    looked = land(looked.withColumn("row_id_", F.monotonically_increasing_id()))
-    asked = looked.select("row_id_", F.posexplode("rare").alias("at", "key"))
-    met = asked.join(counts, "key", "left").groupBy("row_id_").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).cast("long").alias("c")))).alias("met"))
-    both = looked.drop("rare").join(met, "row_id_", "left")
-    none = F.array().cast("array<bigint>")
-    ready = both.select(*keep, "slots", "places", F.coalesce(F.col("met.c"), none).alias("met"), "n_known", "inner", "base")
-    return ready.mapInArrow(fill, f"{kept}, slots array<short>, n_tokens long, n_known long, inner double, base double")
+def rare_sums(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row_id_, met, met_plus): of each row's rare words, how many were counted, and the sum of ln(count + 1)."""
+    asked = coded.select("row_id_", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row_id_", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    return asked.join(counts, "key").groupBy("row_id_").agg(F.sum("times").alias("met"), F.sum(F.col("times") * F.log(F.col("c") + 1)).alias("met_plus"))
 
 
 def runs(batches, column: int):
@@ -208,7 +171,7 @@ def runs(batches, column: int):
     held, size = [], 0
     for batch in batches:
         for row, slots in enumerate(batch.column(column)):
-            held.append((batch, row, np.asarray(slots.values)))
+            held.append((batch, row, np.frombuffer(slots.as_buffer(), np.int16)))
             size += len(held[-1][2])
             if size >= HELD_TOKENS:
                 yield held
@@ -282,13 +245,18 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     counts = land(token_counts(rows.where(~F.col("out_")), "text_"))
     own = lexicon(counts)
     known = spark.sparkContext.broadcast(own)
-    coded = encoded(rows, counts, known, ["id_", "out_"])
     # Chosen by what is read, so that the rounds do not depend on how the table is dealt out.
-    draw = F.pmod(F.xxhash64("id_", "n_tokens", "base"), F.lit(16)).cast("int")
-    coded = land(coded.withColumn("draw", draw))
+    draw = F.pmod(F.xxhash64("id_", "n_tokens", "slots"), F.lit(16)).cast("int")
+    coded = land(encoded(rows, known, ["id_", "out_"]).withColumns({"draw": draw, "row_id_": F.monotonically_increasing_id()}))
+    met = land(rare_sums(coded, counts))
     net = trained(coded.where(~F.col("out_")).select("slots", "draw"), own.fresh())
-    told = scored(coded, net, ["id_", "out_", "n_tokens", "n_known", "inner", "base"])
+    coded = coded.withColumn("n_rare", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x))
+    told = scored(coded, net, ["row_id_", "id_", "out_", "n_tokens", "n_known", "inner", "plus", "n_rare"])
+    both = told.join(met, "row_id_", "left")
     ln10 = float(np.log(10))
-    each = float(np.log(own.tokens + own.distinct + 1))
-    return told.select(F.col("id_").alias(id_col), F.col("out_").alias("held_out"), "n_tokens", "n_known", F.lit(own.tokens).cast("long").alias("train_tokens"),
-                       ((F.col("base") - F.col("n_tokens") * each) / ln10).alias("base_score"), ((F.col("net_score") + F.col("inner")) / ln10).alias("score"))
+    each, share = float(np.log(own.tokens + own.distinct + 1)), float(np.log(own.rare_mass))
+    more = F.coalesce("met_plus", F.lit(0.0))
+    base = (F.col("plus") + more - F.col("n_tokens") * each) / ln10
+    score = (F.col("net_score") + F.col("inner") + more - F.col("n_rare") * share) / ln10
+    return both.select(F.col("id_").alias(id_col), F.col("out_").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"),
+                       F.lit(own.tokens).cast("long").alias("train_tokens"), F.round(base, 6).alias("base_score"), F.round(score, 6).alias("score"))
