@@ -4,9 +4,10 @@ import random
 
 import model
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vestige.operators import binding, graph, matching, metrics, segments, timejoin
+from vestige.operators import binding, callwindows, graph, matching, metrics, segments, timejoin
 from vestige.schema import CANONICAL
 
 DDL = ", ".join(f"{n} {k}" for n, k in CANONICAL.items())
@@ -71,7 +72,7 @@ def test_nearest_matching_equals_sequential_greedy(spark, seed):
     marks = [(100 + i, rng.randrange(0, 900), i, rng.choice(names)) for i in range(30)]
     h = spark.createDataFrame([("t", *x) for x in hosts], "g string, h int, ts_ns bigint, seq int, k array<string>")
     m = spark.createDataFrame([("t", *x) for x in marks], "g string, m int, ts_ns bigint, seq int, k array<string>")
-    got = matching.nearest_one_to_one(h, m, ["g"], "h", "m", 60, host_keys="k", mark_keys="k", width=100).collect()
+    got = matching.nearest_one_to_one(h, m, ["g"], "h", "m", 60, host_keys="k", mark_keys="k").collect()
     assert {r.h: r.m for r in got} == model.nearest_greedy(hosts, marks, 60)
 
 
@@ -100,16 +101,17 @@ def test_strict_scores_do_not_reward_empty_predictions(spark):
     assert metrics.cluster_scores(none, [], "t", "p", mode="compat").first().ari == 1.0
 
 
-def test_scans_agree_for_every_segment_width(spark):
+def test_scans_agree_however_groups_are_split(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), rng.randrange(0, 50), i, rng.choice([None, rng.randrange(9)])) for i in range(120)]
     df = spark.createDataFrame(rows, "g string, ts bigint, i int, v int")
     results = []
-    for width in (1, 7, 1000):
-        a = segments.scan_last(df, ["g"], ["ts", "i"], F.col("v"), "prev", width=width)
-        a = segments.scan_next(a, ["g"], ["ts", "i"], F.col("v"), "nxt", width=width)
-        a = segments.ordinal(a, ["g"], ["ts", "i"], "n", width=width)
-        a = segments.scan_max(a, ["g"], ["ts", "i"], "v", "top", width=width)
+    for most in (4, 25, 1000):
+        monkeypatch.setattr(segments, "SPLIT_ROWS", most)
+        a = segments.scan_last(df, ["g"], ["ts", "i"], F.col("v"), "prev")
+        a = segments.scan_next(a, ["g"], ["ts", "i"], F.col("v"), "nxt")
+        a = segments.ordinal(a, ["g"], ["ts", "i"], "n")
+        a = segments.scan_max(a, ["g"], ["ts", "i"], "v", "top")
         results.append(sorted((r.i, r.prev, r.nxt, r.n, r.top) for r in a.collect()))
     assert results[0] == results[1] == results[2]
     order = sorted(rows, key=lambda r: (r[1], r[2]))
@@ -128,7 +130,7 @@ def test_interval_first_match_with_nested_windows(spark):
     wins = [(i, lo, lo + d if d > 0 else -1) for i, lo, d in wins]
     w = spark.createDataFrame([("g", *x) for x in wins], "g string, id int, lo bigint, hi bigint")
     e = spark.range(0, 120).selectExpr("'g' AS g", "id AS ts")
-    got = {r.ts: r.id for r in timejoin.in_window(e, w, ["g"], "ts", "lo", "hi", "id", width=9).collect()}
+    got = {r.ts: r.id for r in timejoin.in_window(e, w, ["g"], "ts", "lo", "hi", "id").collect()}
     for ts in range(120):
         fit = sorted((lo, i) for i, lo, hi in wins if lo <= ts and (hi <= 0 or ts <= hi))
         assert got[ts] == (fit[0][1] if fit else None)
@@ -167,3 +169,68 @@ def test_exact_ranks_on_skewed_values(spark):
     row = metrics.exact_ranks(df, [], "v", {"p50": metrics.percentile_floor(0.5), "p95": metrics.percentile_of_count(0.95)}).first()
     s = sorted(values)
     assert (row.n, row.p50, row.p95) == (len(s), s[int(0.5 * (len(s) - 1))], s[int(0.95 * len(s))])
+
+
+def test_a_hot_key_is_cut_by_rows_whatever_its_clock(spark, monkeypatch):
+    monkeypatch.setattr(segments, "SPLIT_ROWS", 500)
+    clocks = {"dense": "id % 3", "sparse": "id * 86400000000000", "lines": "id", "bursts": "floor(id / 1000) * 1000000000 + id % 1000"}
+    for name, clock in clocks.items():
+        df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'cold' || id % 200 ELSE 'hot' END AS g", f"CAST({clock} AS BIGINT) AS ts", "id AS i", "CASE WHEN id % 7 = 0 THEN id END AS v")
+        cut = segments._with_segment(df, ["g"], ["ts", "i"], None)
+        sizes = [r["count"] for r in cut.groupBy("g", segments._SEG).count().collect()]
+        assert max(sizes) <= 4 * 500, (name, max(sizes))
+        got = segments.ordinal(segments.scan_last(df, ["g"], ["ts", "i"], F.col("v"), "prev"), ["g"], ["ts", "i"], "n")
+        w = Window.partitionBy("g").orderBy("ts", "i")
+        want = df.withColumn("prev", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.row_number().over(w).cast("bigint"))
+        cols = ["g", "ts", "i", "prev", "n"]
+        assert got.select(*cols).exceptAll(want.select(*cols)).isEmpty() and want.select(*cols).exceptAll(got.select(*cols)).isEmpty()
+
+
+def test_an_asof_of_null_keys_and_large_groups(spark, monkeypatch):
+    left = spark.createDataFrame([(k, t) for k in ("a", "b", None) for t in range(0, 60, 3)], "k string, t bigint")
+    right = spark.createDataFrame([(k, t, t * 10) for k in ("a", None) for t in range(0, 60, 7)], "k string, rt bigint, x bigint")
+    results = []
+    for most in (5, 1000):
+        monkeypatch.setattr(segments, "SPLIT_ROWS", most)
+        results.append(sorted(((r.k or "~", r.t, r.x) for r in timejoin.asof(left, right, ["k"], "t", "rt", ["x"]).collect()), key=str))
+    assert results[0] == results[1] == sorted(((k, t, t // 7 * 70 if k == "a" else None) for k in ("a", "b", "~") for t in range(0, 60, 3)), key=str)
+
+
+def odd_windows(seed):
+    rng = random.Random(seed)
+    wins = []
+    for g in "ab":
+        for i in range(25):
+            lo = rng.randrange(0, 200)
+            wins.append((g, i, lo, lo + rng.choice([-3, 0, 1, 4, 15, 60])))
+    wins += [("a", 90, 50, 50), ("a", 91, 50, 70), ("a", 92, 50, 70), ("only", 1, 0, 9)]
+    events = [(rng.choice("ab"), rng.randrange(0, 260), rng.choice([None, 1, 2, 3, 4, 5, 6])) for _ in range(300)]
+    return wins, events
+
+
+def test_distinct_keys_inside_windows(spark, monkeypatch):
+    for seed, most in ((1, 1000), (2, 20)):
+        monkeypatch.setattr(segments, "SPLIT_ROWS", most)
+        wins, events = odd_windows(seed)
+        w = spark.createDataFrame(wins, "g string, id int, lo bigint, hi bigint")
+        e = spark.createDataFrame(events, "g string, ts bigint, key int")
+        got = {(r.g, r.id): r.n for r in timejoin.distinct_inside(e, w, ["g"], "ts", "lo", "hi", "id", "key", "n").collect()}
+        want = {(g, i): len({k for eg, t, k in events if eg == g and k is not None and lo <= t <= hi}) for g, i, lo, hi in wins if hi >= lo}
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_consecutive_windows_without_a_shared_key(spark, monkeypatch):
+    for seed, most in ((3, 1000), (4, 1000), (5, 20)):
+        monkeypatch.setattr(segments, "SPLIT_ROWS", most)
+        wins, events = odd_windows(seed)
+        w = spark.createDataFrame(wins, "g string, use_id int, lo bigint, hi bigint")
+        e = spark.createDataFrame(events, "g string, ts_ns bigint, tid int")
+        got = {r.g: (r.pairs, r.disjoint) for r in callwindows.consecutive_overlap(e, w, ["g"]).collect()}
+        want = {}
+        for g in {x[0] for x in wins}:
+            ranked = sorted((lo, hi, i) for eg, i, lo, hi in wins if eg == g)
+            used = [{k for eg, t, k in events if eg == g and k is not None and lo <= t <= hi} if hi > lo else set() for lo, hi, _ in ranked]
+            both = [(a, b) for a, b in zip(used, used[1:]) if a and b]
+            if both:
+                want[g] = (len(both), sum(not a & b for a, b in both))
+        assert got == want

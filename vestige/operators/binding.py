@@ -1,24 +1,35 @@
 """Which session and tool server each process belongs to, over time.
 
 Every state change of a pid comes from one of four operations: a session root, a server
-start, a reported fork, or an event shortly after a clone.  The table of changes is the
-fixpoint of one rule that looks up, for each operation, the states of the pid and of the
-would-be parent just before it.  Each round recomputes the whole table from the previous
-one, so a state inherited too early disappears again.
+start, a reported fork, or an event shortly after a clone.  An operation's outcome depends on
+its pid's state and its parent's state just before it.  Which earlier operation of the parent
+that is never changes, so it is looked up once, by an as-of join.
+
+The states are the fixpoint of a semi-naive iteration.  Given what its operations last heard from
+their parents, a pid's whole history follows from ordered scans.  A round evaluates only pids
+whose operations heard something new; only operations whose outcome changed are told on, to the
+operations that look at them.  All others are settled and are not read again.  Rounds follow the
+depth of the process tree, and the rows of a round fall to none (logged).
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vestige.functions import rpc
 from vestige.operators import detect
-from vestige.operators.graph import CLONE_WINDOW_NS, clone_candidates, digest, fork_edges
-from vestige.operators.segments import first_rows, ordinal, scan_next
+from vestige.operators.graph import CLONE_WINDOW_NS, clone_candidates, fork_edges, nearest_marked, with_last_clone
+from vestige.operators.segments import first_rows, has_large, ordinal, scan_first, scan_last, scan_next, scan_sums
 from vestige.operators.timejoin import asof, in_window
 from vestige.session import settle
 
+log = logging.getLogger(__name__)
+
 STEP = {"clone": 0, "root": 1, "server": 2, "fork": 3}
 
 
@@ -74,53 +85,51 @@ def operations(
     )
 
 
-def _round(ops: DataFrame, states: DataFrame, before: DataFrame | None) -> DataFrame:
-    """One application of the rule to every operation."""
+def _linked(ops: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``ops`` with ``op``, a number of their own, and ``link``, the parent's latest operation before each.
+
+    States that held ``before`` are operations of kind "given".
+    """
+    ops = ops.withColumn("given_server", F.lit(None).cast("string"))
     if before is not None:
-        states = states.unionByName(before, allowMissingColumns=True)
-    known = states.select("trace_id", F.col("pid").alias("who"), "ts_ns", "seq", "step", "session", "server")
-    # Each operation asks for its own pid's state and for its parent's in one scan.
-    asks = ops.withColumn(
-        "ask",
-        F.explode(
-            F.filter(
-                F.array(
-                    F.struct(F.lit("own").alias("side"), F.col("pid").alias("who")),
-                    F.struct(F.lit("par").alias("side"), F.col("parent").alias("who")),
-                ),
-                lambda a: a.who.isNotNull(),
-            )
-        ),
-    ).select("*", "ask.side", "ask.who").drop("ask")
-    seen = asof(
-        asks, known, ["trace_id", "who"], "ts_ns", "ts_ns", ["session", "server"],
+        ops = ops.unionByName(before.select(
+            "trace_id", "pid", "ts_ns", "seq", "step", F.lit("given").alias("kind"), F.col("session").alias("label"), F.col("server").alias("given_server"),
+        ), allowMissingColumns=True)
+    ops = settle(ops.withColumn("op", F.monotonically_increasing_id()))
+    known = ops.select("trace_id", F.col("pid").alias("parent"), "ts_ns", "seq", "step", F.col("op").alias("link"))
+    return settle(asof(
+        ops, known, ["trace_id", "parent"], "ts_ns", "ts_ns", ["link"],
         ties=["seq", "step"], right_ties=["seq", "step"], same_instant=False,
-    )
-    cols = ["trace_id", "ts_ns", "seq", "step", "kind", "pid", "parent", "clone_ts", "label", "layer"]
-    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}")
-    rows = seen.groupBy(*cols).agg(*[at(side, c) for side in ("own", "par") for c in ("session", "server")])
-    kind = F.col("kind")
-    server_name = F.concat_ws("|", F.col("pid").cast("string"), F.col("seq").cast("string"), F.col("label"))
-    inherits = (kind == "clone") & F.col("own_session").isNull() & F.col("par_session").isNotNull()
-    opens = (kind == "server") & F.col("own_session").isNotNull() & F.col("own_server").isNull()
-    given = (kind == "fork") & F.col("par_session").isNotNull()
-    session = (
-        F.when(kind == "root", F.col("label"))
-        .when(inherits | given, F.col("par_session"))
-        .otherwise(F.col("own_session"))
-    )
-    server = (
-        F.when(kind == "root", F.lit(None).cast("string"))
-        .when(inherits, F.col("par_server"))
-        .when(opens, server_name)
-        .when(given, F.coalesce("par_server", "own_server"))
-        .otherwise(F.col("own_server"))
-    )
-    after = rows.withColumn("session", session).withColumn("server", server)
-    changed = ~F.col("session").eqNullSafe(F.col("own_session")) | ~F.col("server").eqNullSafe(F.col("own_server"))
-    return after.filter((kind == "root") | changed).select(
-        "trace_id", "pid", "ts_ns", "seq", "step", "kind", "session", "server", "parent", "clone_ts", "label", "layer"
-    )
+    ))
+
+
+def _evaluate(rows: DataFrame, large: bool) -> DataFrame:
+    """The state before and after each operation, from what it heard (par_session, par_server).
+
+    Sessions: a root or a fork of a bound parent sets one at any time, a clone only where none is
+    set, so the first clone that heard of one holds until the first of the others.  Servers, since
+    the latest root: a fork of a served parent sets one at any time; a server start in a session,
+    or the clone that set the session, only where none is set.
+    """
+    key, order = ["trace_id", "pid"], ["ts_ns", "seq", "step"]
+    kind, heard = F.col("kind"), F.col("par_session").isNotNull()
+    reset = kind.isin("root", "given")
+    sets = F.when(reset, F.col("label")).when((kind == "fork") & heard, F.col("par_session"))
+    rows = scan_last(rows, key, order, sets, "set_before", large=large)
+    cloned = F.when((kind == "clone") & heard, F.struct(*order, "par_session"))
+    rows = scan_first(rows, key, order, cloned, "cloned", large=large)
+    rows = scan_sums(rows, key, order, {"era": F.when(reset, 1).otherwise(0)}, large=large)
+    earlier = F.struct("cloned.ts_ns", "cloned.seq", "cloned.step") < F.struct(*order)
+    rows = rows.withColumn("own", F.coalesce("set_before", F.when(earlier, F.col("cloned.par_session"))))
+    rows = rows.withColumn("session", F.coalesce(sets, F.col("set_before"), F.col("cloned.par_session")))
+    name = F.concat_ws("|", F.col("pid").cast("string"), F.col("seq").cast("string"), F.col("label"))
+    serves = F.when((kind == "fork") & heard, F.col("par_server")).when(kind == "given", F.col("given_server"))
+    may_serve = F.when((kind == "server") & F.col("own").isNotNull(), name).when((kind == "clone") & F.col("own").isNull(), F.col("par_server"))
+    rows = scan_last(rows, [*key, "era"], order, serves, "served", inclusive=True, large=large)
+    rows = scan_first(rows, [*key, "era"], order, may_serve, "may_serve", large=large)
+    rows = rows.withColumn("server", F.coalesce("served", "may_serve"))
+    rows = scan_last(rows, key, order, F.struct("session", "server"), "was", large=large)
+    return rows.drop("set_before", "cloned", "era", "own", "served", "may_serve")
 
 
 def bind(events: DataFrame, **options) -> DataFrame:
@@ -128,21 +137,45 @@ def bind(events: DataFrame, **options) -> DataFrame:
     return fixpoint(settle(operations(events, **options)))
 
 
+def _no_state():
+    return F.struct(F.lit(None).cast("string").alias("session"), F.lit(None).cast("string").alias("server"))
+
+
 def fixpoint(ops: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """State changes caused by ``ops``, given the states that held ``before`` them."""
-    states = settle(
-        ops.filter("kind = 'root'").select(
-            "trace_id", "pid", "ts_ns", "seq", "step", "kind", F.col("label").alias("session"),
-            F.lit(None).cast("string").alias("server"), "parent", "clone_ts", "label", "layer",
-        )
-    )
-    mark = digest(states)
-    while True:
-        states = settle(_round(ops, states, before))
-        now = digest(states)
-        if now == mark:
-            return states
-        mark = now
+    who = ["trace_id", "pid"]
+    linked = _linked(ops, before)
+    large = has_large(linked, who)
+    newest = lambda logs, value: functools.reduce(DataFrame.unionByName, logs).groupBy("op").agg(F.max_by(value, "round").alias("newest"))
+    active = linked.filter("kind IN ('root', 'given')").select(*who).distinct()
+    heard, told = [], []
+    for turn in itertools.count():
+        rows = linked.join(active, who, "left_semi")
+        if heard:
+            rows = rows.join(newest(heard, F.struct("par_session", "par_server")), "op", "left").select(*linked.columns, "newest.par_session", "newest.par_server")
+        else:
+            rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("par_session", "par_server")})
+        now = _evaluate(rows, large).withColumn("round", F.lit(turn))
+        state = F.struct("session", "server")
+        if told:
+            now = now.join(newest(told, state), "op", "left").withColumn("changed", ~state.eqNullSafe(F.coalesce("newest", _no_state()))).drop("newest")
+        else:
+            now = now.withColumn("changed", ~state.eqNullSafe(_no_state()))
+        told.append(settle(now))
+        fresh = told[-1].filter("changed").select(F.col("op").alias("link"), F.col("session").alias("par_session"), F.col("server").alias("par_server"))
+        asked = settle(linked.select("op", *who, "link").join(fresh, "link").withColumn("round", F.lit(turn)))
+        again = asked.count()
+        log.info("binding round %d: %d operations hear something new", turn, again)
+        if not again:
+            break
+        heard.append(asked)
+        active = asked.select(*who).distinct()
+    last = functools.reduce(DataFrame.unionByName, told).groupBy("op").agg(F.max("round").alias("round"))
+    rows = functools.reduce(DataFrame.unionByName, told).join(last, ["op", "round"], "left_semi") if len(told) > 1 else told[0]
+    moved = ~F.col("session").eqNullSafe(F.col("was.session")) | ~F.col("server").eqNullSafe(F.col("was.server"))
+    return settle(rows.filter((F.col("kind") == "root") | ((F.col("kind") != "given") & moved)).select(
+        *who, "ts_ns", "seq", "step", "kind", "session", "server", "parent", "clone_ts", "label", "layer"
+    ))
 
 
 def servers(states: DataFrame, events: DataFrame | None = None) -> DataFrame:
@@ -228,7 +261,8 @@ def tool_calls(events: DataFrame, states: DataFrame, server_rows: DataFrame, *,
     ).unionByName(
         replies.select("trace_id", "pid", "ts_ns", "seq", F.lit(True).alias("reply")), allowMissingColumns=True
     )
-    nxt = scan_next(marks, ["trace_id", "pid"], ["ts_ns", "seq"], F.struct("reply", "ts_ns"), "after")
+    # A loose reply may be the request itself, which then closes its own call.
+    nxt = scan_next(marks, ["trace_id", "pid"], ["ts_ns", "seq", "reply"], F.struct("reply", "ts_ns"), "after")
     closes = nxt.filter("NOT reply").select(
         "trace_id", "tool_call_id",
         F.when(F.col("after.reply"), F.col("after.ts_ns")).otherwise(-1).alias("t_close_ns"),
@@ -291,33 +325,29 @@ def partition_by_agent(events: DataFrame) -> DataFrame:
     roots = ordinal(e.filter(root), ["trace_id"], ["ts_ns", "seq"], "n").select(
         "trace_id", "pid", "ts_ns", "seq", F.concat(F.lit("session_"), F.col("n") - 1).alias("label")
     )
-    from vestige.operators.graph import with_last_clone
-
     first = first_rows(with_last_clone(e), ["trace_id", "pid"], [F.col("ts_ns"), F.col("seq")])
     first = settle(first.withColumn("is_root", root).select(
         "trace_id", "pid", "ts_ns", "seq", "is_root",
         F.when(F.col("event").isin("clone", "clone3"), F.col("pid")).otherwise(F.col("clone.pid")).alias("caller"),
     ))
     roots = settle(roots)
-    # A pid's label history: its first sighting (inherited) and its own roots.
+    # A pid's label history is its first sighting (inherited) and its own roots.  A sighting points
+    # at its caller's latest point before it, and takes the label of the root that its chain ends in.
     inherited = first.filter("NOT is_root")
-    labels = settle(roots)
-    mark = digest(labels)
-    while True:
-        known = labels.select("trace_id", F.col("pid").alias("caller"), F.col("ts_ns").alias("at"), F.col("seq").alias("at_seq"), F.col("label").alias("from_caller"))
-        got = asof(
-            inherited.filter("caller IS NOT NULL AND caller <> pid"), known, ["trace_id", "caller"], "ts_ns", "at",
-            ["from_caller"], ties=["seq"], right_ties=["at_seq"], same_instant=False,
-        ).unionByName(inherited.filter("caller IS NULL OR caller = pid"), allowMissingColumns=True)
-        labels = settle(
-            roots.unionByName(
-                got.select("trace_id", "pid", "ts_ns", "seq", F.coalesce("from_caller", F.lit("preroot")).alias("label"))
-            )
-        )
-        now = digest(labels)
-        if now == mark:
-            break
-        mark = now
+    points = inherited.select("trace_id", "pid", "ts_ns", "seq").unionByName(roots.select("trace_id", "pid", "ts_ns", "seq"))
+    known = points.select("trace_id", F.col("pid").alias("caller"), F.col("ts_ns").alias("at"), F.col("seq").alias("up"))
+    asked = asof(
+        inherited.filter("caller IS NOT NULL AND caller <> pid"), known, ["trace_id", "caller"], "ts_ns", "at",
+        ["up"], ties=["seq"], right_ties=["up"], same_instant=False,
+    )
+    edges = settle(asked.filter("up IS NOT NULL").select("trace_id", F.col("seq").alias("child"), F.col("up").alias("parent")))
+    chains = nearest_marked(edges, roots.select("trace_id", F.col("seq").alias("node")))
+    by_root = roots.select("trace_id", F.col("seq").alias("found"), "label")
+    took = chains.join(by_root, ["trace_id", "found"]).select("trace_id", F.col("node").alias("seq"), "label")
+    labels = settle(roots.unionByName(
+        inherited.select("trace_id", "pid", "ts_ns", "seq").join(took, ["trace_id", "seq"], "left")
+        .select("trace_id", "pid", "ts_ns", "seq", F.coalesce("label", F.lit("preroot")).alias("label"))
+    ))
     at = labels.select("trace_id", "pid", F.col("ts_ns").alias("at"), F.col("seq").alias("at_seq"), F.col("label").alias("session"))
     return asof(
         events.select("trace_id", "seq", "ts_ns", "pid"), at, ["trace_id", "pid"], "ts_ns", "at", ["session"],

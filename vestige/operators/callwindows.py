@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestige.functions import naming
-from vestige.operators.segments import first_rows, ordinal, scan_last
-from vestige.operators.timejoin import window_totals
+from vestige.operators.segments import first_rows, ordinal, scan_last, scan_next
+from vestige.operators.timejoin import asof, window_totals
+from vestige.session import settle
 
 FIRST_CALL_NS = 10_000_000_000
-LINES = 1 << 20
 
 
 def content_rows(transcript: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
@@ -54,7 +54,7 @@ def loose_windows(content: DataFrame, by: list[str], start_of: DataFrame | None
     moves = paired.select(*by, F.col("end_rec").alias("rec"), F.col("end_pos").alias("pos"), F.col("end_ns").alias("moved_to"))
     asks = paired.select(*by, "rec", "pos", "use_id", "name", "end_ns", "end_error")
     both = asks.unionByName(moves, allowMissingColumns=True)
-    seen = scan_last(both, by, ["rec", "pos"], F.col("moved_to"), "lower", width=LINES).filter("use_id IS NOT NULL")
+    seen = scan_last(both, by, ["rec", "pos"], F.col("moved_to"), "lower").filter("use_id IS NOT NULL")
     first = F.col("end_ns") - FIRST_CALL_NS
     if start_of is not None:
         seen = seen.join(start_of, by, "left")
@@ -105,38 +105,33 @@ def window_activity(edges: DataFrame, calls: DataFrame, by: list[str], measures:
     return calls.join(counts, [*by, "tool_call_id"], "left")
 
 
-def window_keys(events: DataFrame, windows: DataFrame, by: list[str], clock: str, lo: str, hi: str,
-                ident: str, key: str, width: int = 60_000_000_000) -> DataFrame:
-    """Distinct ``key`` values of the events inside each closed window.
-
-    Both sides are cut into time slots; a key's events inside one slot shrink to their
-    first and last plus, for window edges, the exact rows of the two edge slots.
-    """
-    slot = F.floor(F.col(clock) / width).cast("bigint")
-    ev = events.filter(F.col(key).isNotNull()).select(*by, F.col(clock).alias("__t"), key, slot.alias("__slot"))
-    full = ev.select(*by, "__slot", key).distinct()
-    a, b = F.floor(F.col(lo) / width).cast("bigint"), F.floor(F.col(hi) / width).cast("bigint")
-    w = windows.select(*by, ident, F.col(lo).alias("__lo"), F.col(hi).alias("__hi"), a.alias("__a"), b.alias("__b"))
-    edge = w.withColumn("__slot", F.explode(F.array_distinct(F.array("__a", "__b"))))
-    at_edge = ev.join(edge, [*by, "__slot"]).filter("__t BETWEEN __lo AND __hi").select(*by, ident, key)
-    inner = w.filter("__b > __a + 1").withColumn("__slot", F.explode(F.sequence(F.col("__a") + 1, F.col("__b") - 1)))
-    inside = full.join(inner, [*by, "__slot"]).select(*by, ident, key)
-    return at_edge.unionByName(inside).distinct()
-
-
 def consecutive_overlap(events: DataFrame, windows: DataFrame, by: list[str], key: str = "tid") -> DataFrame:
     """Per group: consecutive window pairs with activity on both sides, and how many of
-    them share no thread.  A window without length counts as a neighbour, not as a pair."""
-    named = ordinal(windows, by, ["lo", "hi", "use_id"], "ord").filter("hi > lo")
-    used = window_keys(events, named, by, "ts_ns", "lo", "hi", "ord", key)
-    active = used.select(*by, "ord").distinct()
-    nxt = active.select(*by, (F.col("ord") - 1).alias("ord"))
-    pairs = active.join(nxt, [*by, "ord"])
-    later = used.select(*by, (F.col("ord") - 1).alias("ord"), key)
-    shared = used.join(later, [*by, "ord", key], "left_semi").select(*by, "ord").distinct().withColumn("shared", F.lit(1))
-    return pairs.join(shared, [*by, "ord"], "left").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("shared").isNull()).alias("disjoint")
-    )
+    them share no thread.  A window without length counts as a neighbour, not as a pair.
+
+    Every event belongs to the stretch between one window's opening and the next one's.  Two
+    consecutive windows share a key if an event lies in both, or if a key seen in the first
+    window's own stretch is next seen, after the second one's opening, before that one's end:
+    then the first window's other events lie in the overlap, where there are none.  So each
+    (key, stretch) is looked at once, with the key's next stretch, and no window lists its keys.
+    """
+    named = settle(ordinal(windows, by, ["lo", "hi", "use_id"], "ord").select(*by, "lo", "hi", F.col("ord").cast("bigint").alias("ord")))
+    points = events.filter(F.col(key).isNotNull()).select(*by, F.col("ts_ns").alias("t"), key)
+    held = asof(points, named, by, "t", "lo", ["ord", "hi"], right_ties=["ord"]).filter("ord IS NOT NULL")
+    stretches = held.groupBy(*by, key, "ord").agg(F.min("t").alias("first_t"), F.bool_or(F.col("t") <= F.col("hi")).alias("inside"))
+    linked = scan_next(stretches, [*by, key], ["ord"], F.col("first_t"), "next_t")
+    reach = linked.filter("inside").groupBy(*by, "ord").agg(F.min("next_t").alias("next_t"))
+    nxt = named.select(*by, (F.col("ord") - 1).alias("ord"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = named.join(nxt, [*by, "ord"]).filter("hi > lo AND hi2 > lo2")
+    # Three ranges of each pair, counted by running totals: the two windows and what they have in common.
+    ranges = F.array(*[F.struct(F.lit(n).alias("which"), lo.alias("from"), hi.alias("to")) for n, lo, hi in (
+        (0, F.col("lo"), F.col("hi")), (1, F.col("lo2"), F.col("hi2")), (2, F.col("lo2"), F.least("hi", "hi2")))])
+    asked = pairs.select(*by, "ord", F.explode(ranges).alias("r")).select(*by, "ord", "r.*").filter("from <= to")
+    counts = window_totals(points, asked, by, "t", "from", "to", ["ord", "which"], {"n": F.lit(1)})
+    seen = counts.groupBy(*by, "ord").agg(*[F.max(F.when(F.col("which") == k, F.col("n"))).alias(f"n{k}") for k in range(3)]).filter("n0 > 0 AND n1 > 0")
+    told = seen.join(pairs, [*by, "ord"]).join(reach, [*by, "ord"], "left")
+    shared = (F.coalesce("n2", F.lit(0)) > 0) | F.coalesce(F.col("next_t") <= F.col("hi2"), F.lit(False))
+    return told.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~shared).alias("disjoint"))
 
 
 def call_chains(calls: DataFrame, by: list[str], order: list[str], ident: str) -> tuple[DataFrame, DataFrame]:

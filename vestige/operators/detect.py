@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestige.functions.paths import basename
-from vestige.operators.segments import MINUTE_NS
 from vestige.operators.timejoin import asof
 
 # Agent binary and its per-session switches.
@@ -101,7 +100,7 @@ def registration(argv: Column) -> Column:
 
 
 def layered_servers(
-    execs: DataFrame, *, registry: bool = True, width: int = MINUTE_NS
+    execs: DataFrame, *, registry: bool = True, large: bool | None = None
 ) -> DataFrame:
     """Execs (trace_id, seq, ts_ns, path, argv) plus ``server_label, server_layer``.
 
@@ -157,7 +156,7 @@ def layered_servers(
     ).select("trace_id", "__at", "__seq", "__name", "q.*").filter("more IS NOT NULL")
     found = asof(
         asks, answers, ["trace_id", "how", "key", "more"], "ts_ns", "__at", ["__name"],
-        ties=["seq"], right_ties=["__seq"], width=width,
+        ties=["seq"], right_ties=["__seq"], large=large,
     ).filter("__name IS NOT NULL")
     wide = found.groupBy("trace_id", "seq").agg(
         *[F.max(F.when(F.col("how") == how, F.col("__name"))).alias(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.operators.segments import MINUTE_NS, first_rows
+from vestige.operators.segments import first_rows
 from vestige.operators.timejoin import asof
 from vestige.session import settle
 
@@ -43,7 +43,7 @@ def nearest_one_to_one(
     *,
     host_keys: str | None = None,
     mark_keys: str | None = None,
-    width: int = MINUTE_NS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Match each host, in (ts_ns, seq) order, to the nearest free mark within ``tol_ns``.
 
@@ -69,9 +69,9 @@ def nearest_one_to_one(
         m = m.withColumn("m_at", F.struct("m_ts", "m_seq", mark_id))
         key = [*by, "__key"]
         near = asof(h, m.select(*key, "m_ts", "__back", F.col("m_at").alias("c")), key, "ts_ns", "m_ts",
-                    ["c"], right_ties=["__back"], width=width).unionByName(
+                    ["c"], right_ties=["__back"], large=large).unionByName(
                asof(h, m.select(*key, "m_ts", "m_seq", F.col("m_at").alias("c")), key, "ts_ns", "m_ts",
-                    ["c"], right_ties=["m_seq"], forward=True, width=width))
+                    ["c"], right_ties=["m_seq"], forward=True, large=large))
         gap = F.abs(F.col("c.m_ts") - F.col("ts_ns"))
         named = near.filter(F.col("c").isNotNull() & (gap <= tol_ns)).withColumn("gap", gap)
         named = named.groupBy(*by, host_id, "ts_ns", "seq").agg(F.min(F.struct("gap", "c")).alias("best"))
@@ -90,7 +90,7 @@ def nearest_one_to_one(
         ahead = still.withColumn("__key", F.explode("__keys")).select(
             *key, "ts_ns", "seq", F.struct("ts_ns", "seq", host_id).alias("front")
         )
-        front = asof(reach, ahead, key, "reach_from", "ts_ns", ["front"], right_ties=["seq"], forward=True, width=width)
+        front = asof(reach, ahead, key, "reach_from", "ts_ns", ["front"], right_ties=["seq"], forward=True, large=large)
         front = front.groupBy(*by, mark_id).agg(F.min("front").alias("front"))
         final = settle(
             named.join(front, [*by, mark_id])

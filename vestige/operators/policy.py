@@ -370,10 +370,10 @@ def denial_summary(lines: DataFrame, by: list[str], value: str = "value") -> Dat
 
 
 def misaligned(policies: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Give each key another key's policy: the next one in a seeded hash order, the last
+    """Give each key another key's policy: the next one in a seeded digest order, the last
     one taking the first.  ``donor`` names the key whose policy it is."""
-    ring = policies.select(key).withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("__one", F.lit(1))
-    nxt = scan_next(ring, ["__one"], ["__h", key], F.struct(key), "__next", width=1 << 54)
+    ring = policies.select(key).withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).withColumn("__one", F.lit(1))
+    nxt = scan_next(ring, ["__one"], ["__h", key], F.struct(key), "__next")
     first = ring.groupBy("__one").agg(F.min_by(key, F.struct("__h", key)).alias("__first"))
     pairs = nxt.join(first, "__one").select(key, F.coalesce(F.col(f"__next.{key}"), F.col("__first")).alias("donor"))
     donors = policies.withColumnRenamed(key, "donor")

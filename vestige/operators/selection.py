@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestige.functions import naming
+from vestige.operators import needles
 from vestige.operators.segments import first_rows
+from vestige.session import settle
 
 # Fixed value: the server name of sessions that use built-in tools only.
 BUILTIN_SERVER = "builtin/claude-code"
 
 
 def trial_sample(sessions: DataFrame, trials: int, n: int, seed: int = 42, mcp: str = "mcp", ident: str = "session_id") -> DataFrame:
-    """Per trial, ``n`` distinct servers and one session of each, by seeded hash order."""
+    """Per trial, ``n`` distinct servers and one session of each, by seeded digest order."""
+    drawn = lambda what, name: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.lit(what), F.col(name).cast("string")))
     draws = sessions.select(mcp, ident).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    one = first_rows(draws, ["trial", mcp], [F.xxhash64(F.lit(seed), "trial", F.lit("s"), ident), F.col(ident)])
-    return first_rows(one, ["trial"], [F.xxhash64(F.lit(seed), "trial", F.lit("m"), mcp), F.col(mcp)], n)
+    one = first_rows(draws, ["trial", mcp], [drawn("s", ident), F.col(ident)])
+    return first_rows(one, ["trial"], [drawn("m", mcp), F.col(mcp)], n)
 
 
 def strength(hits: Column, sentinel_hits: Column, is_ace_bi: Column) -> Column:
@@ -110,8 +113,16 @@ def sentinel_counts(text: DataFrame, sentinels: DataFrame, by: list[str], value:
 
 
 def raw_line_hits(lines: DataFrame, predicates: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Lines per group that contain a predicate's call name and path text."""
-    p = predicates.select(*by, "syscall", F.coalesce("path_contains", "path_starts_with").alias("needle"))
-    v = F.col(value)
-    fits = v.contains(F.col("syscall")) & (F.col("needle").isNull() | v.contains(F.col("needle")))
-    return lines.join(p, by).filter(fits).groupBy(*by).agg(F.count_distinct("seq").alias("n_hits"))
+    """Lines per group that contain a predicate's call name and path text.
+
+    Lines are searched for the path text, the rarer of the two, or for the call name where a
+    predicate has none; only lines that hold it are compared with the predicate.
+    """
+    text = F.coalesce("path_contains", "path_starts_with")
+    p = settle(predicates.select(*by, "syscall", text.alias("needle"), F.when(F.length(text) > 0, text).otherwise(F.col("syscall")).alias("anchor")).filter("syscall IS NOT NULL").distinct())
+    # An empty call name and an empty path text are in every line.
+    always = p.filter("anchor = ''").select(*by).distinct()
+    met = needles.find(lines, p, by, "seq", value, "anchor").join(p, [*by, "anchor"]).join(lines.select(*by, "seq", value), [*by, "seq"])
+    hits = met.filter(F.col(value).contains(F.col("syscall"))).select(*by, "seq")
+    every = lines.filter(F.col(value).isNotNull()).join(always, by, "left_semi").select(*by, "seq")
+    return hits.unionByName(every).groupBy(*by).agg(F.count_distinct("seq").alias("n_hits"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.operators.segments import MINUTE_NS, ordinal, scan_last, scan_max, scan_next, scan_sums
+from vestige.operators.segments import ordinal, scan_last, scan_max, scan_next, scan_sums
 from vestige.session import settle
 
 OPEN_END = 1 << 62
@@ -25,7 +25,7 @@ def asof(
     right_ties: Sequence[str] = (),
     same_instant: bool = True,
     forward: bool = False,
-    width: int = MINUTE_NS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Each left row with the ``take`` columns of the latest right row at or before it
     (earliest at or after it when ``forward``).
@@ -59,14 +59,14 @@ def asof(
     tie_names = [f"__tie{i}" for i in range(len(right_ties))]
     order = ["__clock", *tie_names, "__side"] if shared else ["__clock", "__side", *tie_names]
     scan = scan_next if forward else scan_last
-    done = scan(both, by, order, F.col(payload), "__found", width=width)
+    done = scan(both, by, order, F.col(payload), "__found", large=large)
     return done.filter("__is_left").select(
         *left.columns, *[F.col(f"__found.{c}").alias(c) for c in take]
     )
 
 
 def first_wins(
-    windows: DataFrame, by: Sequence[str], lo: str, hi: str, ident: str, *, width: int = MINUTE_NS
+    windows: DataFrame, by: Sequence[str], lo: str, hi: str, ident: str, *, large: bool | None = None
 ) -> DataFrame:
     """Trim overlapping closed windows to disjoint ones, earlier-opened windows first.
 
@@ -77,7 +77,7 @@ def first_wins(
     w = windows.withColumn(
         "__hi", F.when(F.coalesce(F.col(hi), F.lit(0)) <= 0, F.lit(OPEN_END)).otherwise(F.col(hi))
     )
-    w = scan_max(w, by, [lo, ident], "__hi", "__covered", width=width)
+    w = scan_max(w, by, [lo, ident], "__hi", "__covered", large=large)
     start = F.greatest(F.col(lo), F.coalesce(F.col("__covered") + 1, F.col(lo)))
     return w.withColumn("__lo", start).filter("__lo <= __hi").drop("__covered")
 
@@ -92,18 +92,18 @@ def in_window(
     ident: str,
     take: Sequence[str] = (),
     *,
-    width: int = MINUTE_NS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Each event with the first window (by opening time, then id) that contains it.
 
     ``hi`` NULL or <= 0 means still open.  Windows are made disjoint first, which
     turns the interval join into one as-of lookup plus an end check.
     """
-    cut = first_wins(windows, by, lo, hi, ident, width=width).select(
+    cut = first_wins(windows, by, lo, hi, ident, large=large).select(
         *by, "__lo", "__hi", ident, *[c for c in take if c != ident]
     )
     cols = ["__hi", ident, *[c for c in take if c != ident]]
-    found = asof(events, cut, by, clock, "__lo", cols, width=width)
+    found = asof(events, cut, by, clock, "__lo", cols, large=large)
     inside = F.col(clock) <= F.col("__hi")
     return found.select(
         *events.columns, *[F.when(inside, F.col(c)).alias(c) for c in cols if c != "__hi"]
@@ -120,7 +120,7 @@ def window_totals(
     ident: Sequence[str],
     measures: dict,
     *,
-    width: int = MINUTE_NS,
+    large: bool | None = None,
 ) -> DataFrame:
     """Sum ``measures`` (name -> Column over events) inside each closed window.
 
@@ -151,7 +151,7 @@ def window_totals(
         by,
         ["__clock", "__side"],
         {f"__run_{n}": F.coalesce(F.col(n), F.lit(0)) for n in names},
-        width=width,
+        large=large,
     )
     per_window = (
         run.filter("__side <> 0")
@@ -161,19 +161,61 @@ def window_totals(
     return per_window
 
 
+def distinct_inside(
+    events: DataFrame, windows: DataFrame, by: Sequence[str], clock: str, lo: str, hi: str, ident: str, key: str, out: str
+) -> DataFrame:
+    """(by.., ident, out): the number of different ``key`` values inside each closed window.
+
+    A key counts by its first occurrence in the window: an event at or before the window's end
+    whose key was last seen before the window's start.  Events before the start all fulfil the
+    latter, so the count is (events with rank up to the end and link before the start) - (events
+    before the start).  The first term is counted without pairs: ranks are read as octal numbers;
+    on each digit, events and windows that agree on the digits before it meet in one group,
+    ordered by link and start, and a window reads the running totals of the lower digits.  Each
+    event and window takes part once a digit, that is (events + windows) * log8(events) rows.
+    """
+    points = events.filter(F.col(key).isNotNull()).select(*by, F.col(clock).cast("bigint").alias("__t"), F.col(key).alias("__key")).distinct()
+    linked = settle(scan_last(points, [*by, "__key"], ["__t"], F.col("__t"), "__before"))
+    edges = windows.filter(F.col(hi) >= F.col(lo)).select(
+        *by, ident, F.col(lo).cast("bigint").alias("__lo"),
+        F.explode(F.array(F.struct(F.col(lo).cast("bigint").alias("at"), F.lit(-1).alias("side")), F.struct(F.col(hi).cast("bigint").alias("at"), F.lit(1).alias("side")))).alias("__e"),
+    ).select(*by, ident, "__lo", F.col("__e.at").alias("__t"), F.col("__e.side").alias("__side"))
+    both = linked.withColumn("__side", F.lit(0)).unionByName(edges, allowMissingColumns=True)
+    ranked = settle(scan_sums(both, by, ["__t", "__side", "__key"], {"__rank": F.when(F.col("__side") == 0, 1).otherwise(0)}))
+    top = ranked.agg(F.max("__rank")).first()[0] or 0
+    digits = max(1, -(-int(top).bit_length() // 3))
+    level = F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("__level")
+    # An event's own rank counts from 0; a window's is the number of events up to its end.
+    place = F.when(F.col("__side") == 0, F.col("__rank") - 1).otherwise(F.col("__rank"))
+    asked = ranked.filter("__side >= 0").select(
+        *by, ident, "__side", place.alias("__place"),
+        F.when(F.col("__side") == 0, F.coalesce("__before", F.lit(-(1 << 62)))).otherwise(F.col("__lo")).alias("__link"), level)
+    cut = asked.select(
+        *by, ident, "__side", "__link", "__level",
+        F.expr("shiftright(__place, 3 * (__level + 1))").alias("__node"), F.expr("shiftright(__place, 3 * __level) & 7").alias("__digit"))
+    # A window sorts before events of its own start: their link is not before it.
+    cut = cut.withColumn("__order", 1 - F.col("__side"))
+    lower = {f"__d{d}": F.when((F.col("__side") == 0) & (F.col("__digit") < d), 1).otherwise(0) for d in range(1, 8)}
+    run = scan_sums(cut, [*by, "__level", "__node"], ["__link", "__order"], lower).filter("__side = 1")
+    picked = F.element_at(F.array(F.lit(0).cast("bigint"), *[F.col(f"__d{d}") for d in range(1, 8)]), (F.col("__digit") + 1).cast("int"))
+    reached = run.groupBy(*by, ident).agg(F.sum(picked).alias("__reached"))
+    starts = ranked.filter("__side = -1").groupBy(*by, ident).agg(F.max("__rank").alias("__started"))
+    return reached.join(starts, [*by, ident]).select(*by, ident, (F.col("__reached") - F.col("__started")).alias(out))
+
+
 def overlap_pairs(
-    windows: DataFrame, by: Sequence[str], lo: str, hi: str, ident: str, *, width: int = MINUTE_NS
+    windows: DataFrame, by: Sequence[str], lo: str, hi: str, ident: str, *, large: bool | None = None
 ) -> DataFrame:
     """Per group: number of window pairs and of overlapping pairs, counted not listed.
 
     Sorted by opening, window i overlaps every later window that opens by i's end:
     (openings up to hi_i) - (position of i).
     """
-    ranked = settle(ordinal(windows.select(*by, lo, hi, ident), by, [lo, ident], "__pos", width=width))
+    ranked = settle(ordinal(windows.select(*by, lo, hi, ident), by, [lo, ident], "__pos", large=large))
     tagged = ranked.withColumn("__opens", F.lit(1))
     opened = window_totals(
         tagged, ranked.withColumn("__start", F.lit(-(1 << 62)).cast("bigint")),
-        by, lo, "__start", hi, [ident, "__pos"], {"__upto": F.col("__opens")}, width=width,
+        by, lo, "__start", hi, [ident, "__pos"], {"__upto": F.col("__opens")}, large=large,
     )
     n = F.count(F.lit(1))
     return opened.groupBy(*by).agg(

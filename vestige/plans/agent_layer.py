@@ -11,7 +11,6 @@ from vestige.operators import callwindows
 from vestige.operators.segments import first_rows, scan_last
 from vestige.session import settle
 
-LINES = 1 << 20
 
 
 def _iter_id(prefix: str):
@@ -100,7 +99,7 @@ def from_transcript(sessions: DataFrame, transcript: DataFrame) -> dict[str, Dat
     content = settle(callwindows.content_rows(transcript, ["session_id"]))
     # Every record with content and a time moves the clock for itself and what follows.
     clocked = scan_last(
-        content, ["session_id"], ["rec", "pos"], F.col("rec_ns"), "now_ns", inclusive=True, width=LINES
+        content, ["session_id"], ["rec", "pos"], F.col("rec_ns"), "now_ns", inclusive=True
     )
     clocked = settle(clocked)
     uses = clocked.filter("kind = 'tool_use' AND rec_type = 'assistant'")

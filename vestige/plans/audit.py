@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vestige.operators.needles import find
 from vestige.operators.segments import first_rows, scan_next
+from vestige.session import settle
 
 
 def field_diversity(patterns: DataFrame, key: str) -> DataFrame:
@@ -33,7 +35,7 @@ def document_diversity(policies: DataFrame, body: list[str]) -> DataFrame:
 
 
 def neighbour_jaccard(sets: DataFrame, key: str, item: str, group: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """Jaccard of random pairs: every key with the next one in a seeded hash order
+    """Jaccard of random pairs: every key with the next one in a seeded digest order
     (within its group, if given).
 
     ``sets`` (key, item[, group..]).  A seeded ring samples as many pairs as there are keys
@@ -42,8 +44,8 @@ def neighbour_jaccard(sets: DataFrame, key: str, item: str, group: list[str] | N
     by = group or ["__one"]
     rows = sets if group else sets.withColumn("__one", F.lit(1))
     rows = rows.select(*by, key, item).distinct()
-    ring = rows.select(*by, key).distinct().withColumn("__h", F.xxhash64(F.lit(seed), F.col(key)))
-    ring = scan_next(ring, by, ["__h", key], F.struct(key), "__next", width=1 << 54)
+    ring = rows.select(*by, key).distinct().withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))))
+    ring = scan_next(ring, by, ["__h", key], F.struct(key), "__next")
     pairs = ring.filter("__next IS NOT NULL").select(*by, key, F.col(f"__next.{key}").alias("other"))
     size = rows.groupBy(*by, key).agg(F.count(F.lit(1)).alias("n"))
     mine = pairs.join(rows, [*by, key])
@@ -56,20 +58,11 @@ def neighbour_jaccard(sets: DataFrame, key: str, item: str, group: list[str] | N
     return out.select(*(group or []), key, "other", "n_both", j.alias("jaccard"))
 
 
-def leakage(patterns: DataFrame, needles: DataFrame, key: str, width: int = 6) -> DataFrame:
-    """Policy patterns that contain a sentinel text: (key, pattern, needle).
-
-    A pattern that contains a needle contains the needle's first ``width`` letters; both
-    sides meet on those letters, so no pattern is compared with every needle.  Shorter
-    needles meet on all of their letters.
-    """
-    n = needles.filter(F.length("needle") > 0).select("needle").distinct().withColumn("w", F.least(F.length("needle"), F.lit(width)))
-    n = n.withColumn("gram", F.substring("needle", F.lit(1), F.col("w")))
-    sizes = F.sequence(F.lit(1), F.lit(width))
-    spots = F.sequence(F.lit(1), F.length("pattern"))
-    grams = F.array_distinct(F.flatten(F.transform(sizes, lambda s: F.transform(spots, lambda i: F.substring("pattern", i, s)))))
-    p = patterns.filter(F.length("pattern") > 0).select(key, "pattern").distinct().withColumn("gram", F.explode(grams))
-    return p.join(n, "gram").filter(F.col("pattern").contains(F.col("needle"))).select(key, "pattern", "needle").distinct()
+def leakage(patterns: DataFrame, needles: DataFrame, key: str) -> DataFrame:
+    """Policy patterns that contain a sentinel text: (key, pattern, needle)."""
+    p = settle(patterns.filter(F.length("pattern") > 0).select(key, "pattern").distinct())
+    texts = p.select("pattern", F.col("pattern").alias("text")).distinct()
+    return p.join(find(texts, needles, [], "pattern", "text"), "pattern").select(key, "pattern", "needle")
 
 
 def coverage_distribution(scores: DataFrame, by: list[str], value: str = "coverage", thresholds=(0.75, 0.9, 0.95, 1.0)) -> DataFrame:

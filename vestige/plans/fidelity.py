@@ -10,6 +10,7 @@ from vestige.operators import graph, matching, metrics
 from vestige.operators.detect import AGENT, arg
 from vestige.operators.segments import first_rows
 from vestige.operators.subtree import drop_tracer
+from vestige.operators.timejoin import distinct_inside
 
 BY_TIME_NS = 50_000_000
 BY_NAME_NS = 100_000_000
@@ -159,9 +160,7 @@ def one_sided_names(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def call_ambiguity(events: DataFrame, windows: DataFrame, server_pids: DataFrame, by: list[str]) -> DataFrame:
     """Per tool call: distinct pids, threads, server-subtree pids active in its window."""
-    from vestige.operators.callwindows import window_keys
-
-    count = lambda col, name, df=events: window_keys(df, windows, by, "ts_ns", "lo", "hi", "use_id", col).groupBy(*by, "use_id").agg(F.count(F.lit(1)).alias(name))
+    count = lambda col, name, df=events: distinct_inside(df, windows, by, "ts_ns", "lo", "hi", "use_id", col, name)
     served = events.join(server_pids, [*by, "pid"], "left_semi")
     out = windows.select(*by, "use_id")
     for part in (count("pid", "n_host_pids"), count("tid", "n_host_tids"), count("pid", "n_server_pids", served)):

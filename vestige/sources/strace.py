@@ -19,7 +19,6 @@ _CUT = _HEAD + r"([a-z][a-z_0-9]*)\((.*)<unfinished\s*\.\.\.>\s*$"
 _WHOLE = _HEAD + r"([a-zA-Z0-9_]+)\((.*)\)\s*=\s*(-?\d+|\?|-1\s+\S+.*)$"
 _START = _HEAD + r"([a-zA-Z0-9_]+)\((.*)\s+<unfinished\s+\.\.\.>\s*$"
 _END = _HEAD + r"<\.\.\.\s+(\S+)\s+resumed>\s*(.*)\)\s*=\s*(-?\d+|\?)"
-LINES_PER_SEGMENT = 1 << 24
 _SIGNAL = r"^\d+\s+\d+\.\d+\s+(?:---\s+SIG|\+\+\+)"
 
 
@@ -77,7 +76,7 @@ def pair_calls(lines: DataFrame, by: list[str], value: str = "value", order: str
     # File order decides which start is the latest, so the line number is the clock.
     start = F.when(F.col("kind") == "start", F.struct(order, "clock", "epoch", "event", "args"))
     ends = (
-        scan_last(parts, [*by, "pid"], [order], start, "opened", width=LINES_PER_SEGMENT)
+        scan_last(parts, [*by, "pid"], [order], start, "opened")
         .filter("kind = 'end' AND opened.event = event")
     )
     # The first fitting end consumes the start.

@@ -13,8 +13,10 @@ from vestige.workload.registry import query
 
 # Fork edges closed over from the server starts (every listed fork, last one per child).
 _SERVED = o.FORKS + """, last_fork AS (SELECT trace_id, child AS c, arg_max(parent, (ts_ns, seq)) AS p FROM forks GROUP BY 1, 2)
-, roots AS (SELECT DISTINCT trace_id, pid, arg_min(split_part(argv[1], '/', -1), (ts_ns, seq)) OVER (PARTITION BY trace_id, pid) AS name
-   FROM host WHERE event = 'execve' AND regexp_matches(lower(split_part(argv[1], '/', -1)), '^mcp[-_]server[-_]'))
+, starts AS (SELECT trace_id, pid, ts_ns, seq, lower(split_part(argv[1], '/', -1)) AS base, lower(split_part(argv[2], '/', -1)) AS script FROM host WHERE event = 'execve')
+, named AS (SELECT *, CASE WHEN regexp_matches(base, '^mcp[-_]server[-_]') THEN base
+   WHEN base IN ('node', 'python', 'python3', 'uv', 'uvx') AND contains(script, 'mcp') AND (contains(script, 'server') OR starts_with(script, 'mcp-')) THEN script END AS name FROM starts)
+, roots AS (SELECT trace_id, pid, arg_min(name, (ts_ns, seq)) AS name FROM named WHERE name IS NOT NULL GROUP BY 1, 2)
 , up AS (
   SELECT trace_id, pid AS node, pid AS cur, 0 AS d FROM host GROUP BY 1, 2
   UNION
@@ -25,12 +27,11 @@ _SERVED = o.FORKS + """, last_fork AS (SELECT trace_id, child AS c, arg_max(pare
 , served AS (SELECT up.trace_id, up.node AS pid, r.name, d FROM up JOIN roots r ON r.trace_id = up.trace_id AND r.pid = up.cur)"""
 
 
-def _served(spark, sf):
+def _served(h):
     """(trace_id, pid, mcp): the server subtrees over reported forks, nearest server first."""
-    h = v.host(spark, sf)
     forks = graph.fork_edges(h).groupBy("trace_id", "child").agg(F.max_by("parent", F.struct("ts_ns", "seq")).alias("parent"))
     name = detect.strict_server(F.col("event"), F.col("path"), F.col("argv"))
-    starts = h.withColumn("mcp", name).filter("mcp IS NOT NULL AND mcp LIKE 'mcp-server-%'")
+    starts = h.withColumn("mcp", name).filter("mcp IS NOT NULL")
     roots = starts.groupBy("trace_id", F.col("pid").alias("node")).agg(F.min_by("mcp", F.struct("ts_ns", "seq")).alias("mcp"))
     roots = settle(roots)
     below = graph.descendants(settle(forks), roots.select("trace_id", "node"))
@@ -45,11 +46,11 @@ def _served(spark, sf):
 )
 def server_touch_set(spark, sf):
     """Files and sockets touched below each tool server: start, closure, edges, counts."""
-    h = v.host(spark, sf)
+    h = settle(v.host(spark, sf))
     files = graph_tables.file_edges(h).select("trace_id", "pid", F.lit("file").alias("kind"), F.col("path").alias("target"))
     socks = graph_tables.socket_edges(h).select("trace_id", "pid", F.lit("socket").alias("kind"), F.col("sock_key").alias("target"))
     edges = files.unionByName(socks).groupBy("trace_id", "pid", "kind", "target").agg(F.count(F.lit(1)).alias("n"))
-    return edges.join(_served(spark, sf), ["trace_id", "pid"]).groupBy("mcp", "kind", "target").agg(F.sum("n").alias("n_ops"))
+    return edges.join(_served(h), ["trace_id", "pid"]).groupBy("mcp", "kind", "target").agg(F.sum("n").alias("n_ops"))
 
 
 @query(
@@ -57,7 +58,7 @@ def server_touch_set(spark, sf):
     o.with_views(_SERVED, "SELECT trace_id, name AS mcp, d AS depth, count(*) AS n FROM served GROUP BY 1, 2, 3", recursive=True),
 )
 def server_subtree_depths(spark, sf):
-    return _served(spark, sf).groupBy("trace_id", "mcp", "depth").agg(F.count(F.lit(1)).alias("n"))
+    return _served(settle(v.host(spark, sf))).groupBy("trace_id", "mcp", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -134,14 +135,15 @@ def projected_edges(spark, sf):
 
 @query(
     "time_forward_subtree",
-    o.with_views(o.FORKS + ", ", """hop AS (SELECT trace_id, pid AS node, CAST(-1 AS BIGINT) AS at_ns, CAST(-1 AS BIGINT) AS at_seq FROM host WHERE pid < 20 GROUP BY 1, 2
+    o.with_views(o.FORKS + ", ", """hop AS (SELECT trace_id, pid AS node, CAST(-1 AS BIGINT) AS at_ns, CAST(-1 AS BIGINT) AS at_seq FROM host
+      WHERE event = 'execve' AND split_part(argv[1], '/', -1) = 'claude' AND list_contains(argv, '-p') GROUP BY 1, 2
     UNION SELECT f.trace_id, f.child, f.ts_ns, f.seq FROM hop JOIN forks f ON f.trace_id = hop.trace_id AND f.parent = hop.node AND (f.ts_ns, f.seq) > (hop.at_ns, hop.at_seq))
   SELECT trace_id, node, min(at_ns) AS at_ns FROM hop GROUP BY 1, 2""", recursive=True),
 )
 def time_forward_subtree(spark, sf):
-    """Processes adopted by forks of processes already inside."""
-    h = v.host(spark, sf)
-    roots = h.filter("pid < 20").select("trace_id", F.col("pid").alias("node")).distinct()
+    """Processes adopted by forks of processes already inside, from every agent start."""
+    h = settle(v.host(spark, sf))
+    roots = h.filter(detect.session_root(F.col("event"), F.col("path"), F.col("argv"))).select("trace_id", F.col("pid").alias("node")).distinct()
     got = graph.adopted(settle(graph.fork_edges(h)), roots)
     return got.select("trace_id", "node", F.greatest("at_ns", F.lit(-1)).alias("at_ns"))
 
@@ -181,39 +183,76 @@ def comm_subtree(spark, sf):
     return subtree.comm_subtree(v.host(spark, sf), ["trace_id"])
 
 
-@query("session_and_server_bindings")
+@query(
+    "session_and_server_bindings",
+    o.with_views(o.STATES, "SELECT trace_id, pid, ts_ns, kind, session, server FROM states", recursive=True),
+)
 def session_and_server_bindings(spark, sf):
-    """The binding fixpoint over whole traces (checked against brute force in the tests)."""
-    states = binding.bind(v.host(spark, sf))
+    """The binding fixpoint over whole traces."""
+    states = binding.bind(settle(v.host(spark, sf)))
     return states.select("trace_id", "pid", "ts_ns", "kind", "session", "server")
 
 
-@query("attributed_events")
+@query(
+    "attributed_events",
+    o.with_views(o.ATTRIBUTED, """, spans AS (SELECT c.trace_id, c.server_key, c.tool_call_id, c.ts_ns AS lo, x.t_close_ns AS hi FROM calls c JOIN closes x USING (trace_id, tool_call_id))
+  , told AS (SELECT h.trace_id, h.seq, coalesce(h.session, '') AS session, coalesce(m.mcp_id, '') AS mcp,
+      coalesce((SELECT arg_min(s.tool_call_id, (s.lo, s.tool_call_id)) FROM spans s WHERE s.trace_id = h.trace_id AND s.server_key = h.server AND h.ts_ns >= s.lo AND (s.hi <= 0 OR h.ts_ns <= s.hi)), '') AS tool_call
+    FROM here h LEFT JOIN mcps m ON m.trace_id = h.trace_id AND m.server_key = h.server)
+  SELECT trace_id, session, mcp, tool_call, count(*) AS n FROM told GROUP BY 1, 2, 3, 4""", recursive=True),
+)
 def attributed_events(spark, sf):
     """Events per session, server and tool call."""
-    p = binding.predictions(v.host(spark, sf), detector="layered", loose_reply=False)
+    p = binding.predictions(settle(v.host(spark, sf)), detector="layered", loose_reply=False)
     return p.groupBy("trace_id", "session", "mcp", "tool_call").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("graph_session_overview")
+@query(
+    "graph_session_overview",
+    o.with_views(o.STATES, """SELECT r.trace_id, r.label AS session, r.pid AS anchor_pid, r.ts_ns AS t_start_ns,
+    (SELECT count(*) FROM mcps m WHERE m.trace_id = r.trace_id AND m.session_id = r.label) AS n_mcps, (SELECT count(*) FROM in_session i WHERE i.trace_id = r.trace_id AND i.session_id = r.label) AS n_descendants
+    FROM ops r WHERE r.kind = 'root'""", recursive=True),
+)
 def graph_session_overview(spark, sf):
-    return analyst.session_overview(graph_tables.build(v.host(spark, sf)))
+    return analyst.session_overview(graph_tables.build(settle(v.host(spark, sf))))
 
 
-@query("graph_touch_set")
+@query(
+    "graph_touch_set",
+    o.with_views(o.STATES + ", " + o.FILES.split("FROM ev)", 1)[1].lstrip(", "), """SELECT m.name AS mcp, e.kind, e.target, count(*) AS n_ops FROM (
+    SELECT trace_id, pid, 'file' AS kind, path AS target FROM files UNION ALL SELECT trace_id, pid, 'socket', sock_key FROM socks) e
+    JOIN in_mcp i USING (trace_id, pid) JOIN mcps m USING (trace_id, mcp_id) GROUP BY 1, 2, 3""", recursive=True),
+)
 def graph_touch_set(spark, sf):
-    return analyst.touch_set(graph_tables.build(v.host(spark, sf)))
+    return analyst.touch_set(graph_tables.build(settle(v.host(spark, sf))))
 
 
-@query("graph_call_activity")
+@query(
+    "graph_call_activity",
+    o.with_views(o.ATTRIBUTED + ", " + o.FILES.split("FROM ev)", 1)[1].lstrip(", "), """, edges AS (SELECT i.trace_id, i.mcp_id, kind, ts_ns FROM (
+    SELECT trace_id, pid, 'file' AS kind, ts_ns FROM files WHERE op <> 'unlink' UNION ALL SELECT trace_id, pid, 'socket', ts_ns FROM socks) e JOIN in_mcp i USING (trace_id, pid))
+  SELECT c.trace_id, c.tool_call_id AS tool_call, c.name AS tool_name, c.mcp_id, (x.t_close_ns - c.ts_ns) // 1000000 - CASE WHEN (x.t_close_ns - c.ts_ns) % 1000000 < 0 THEN 1 ELSE 0 END AS dur_ms,
+    count(CASE WHEN e.kind = 'file' THEN 1 END) AS n_file_ops, count(CASE WHEN e.kind = 'socket' THEN 1 END) AS n_socket_ops
+  FROM calls c JOIN closes x USING (trace_id, tool_call_id) LEFT JOIN edges e ON e.trace_id = c.trace_id AND e.mcp_id = c.mcp_id AND c.ts_ns > 0 AND e.ts_ns >= c.ts_ns AND (x.t_close_ns < 0 OR e.ts_ns <= x.t_close_ns)
+  GROUP BY 1, 2, 3, 4, 5""", recursive=True),
+)
 def graph_call_activity(spark, sf):
-    return analyst.call_activity(graph_tables.build(v.host(spark, sf)))
+    return analyst.call_activity(graph_tables.build(settle(v.host(spark, sf))))
 
 
-@query("graph_orphans_and_cohesion")
+@query(
+    "graph_orphans_and_cohesion",
+    o.with_views(o.STATES + ", " + o.FILES.split("FROM ev)", 1)[1].lstrip(", "), """, seen AS (SELECT trace_id, pid FROM host UNION SELECT trace_id, unnest([parent, child]) FROM forks)
+  , touch AS (SELECT DISTINCT i.trace_id, i.session_id, i.pid, target FROM (SELECT trace_id, pid, 'file:' || path AS target FROM files UNION SELECT trace_id, pid, 'socket:' || sock_key FROM socks) t JOIN in_session i USING (trace_id, pid))
+  , both_ AS (SELECT trace_id, session_id, target FROM touch GROUP BY 1, 2, 3 HAVING count(*) > 1)
+  , score AS (SELECT t.trace_id, t.session_id, t.pid, count(b.target) * 1.0 / count(*) AS score FROM touch t LEFT JOIN both_ b USING (trace_id, session_id, target) GROUP BY 1, 2, 3)
+  , exempt AS (SELECT trace_id, session_id, pid FROM in_session SEMI JOIN in_mcp USING (trace_id, pid) UNION SELECT trace_id, label, pid FROM ops WHERE kind = 'root')
+  SELECT trace_id, pid, 'orphan' AS why FROM seen ANTI JOIN in_session USING (trace_id, pid)
+  UNION ALL SELECT DISTINCT trace_id, pid, 'low_cohesion' FROM score ANTI JOIN exempt USING (trace_id, session_id, pid) WHERE score < 0.1""", recursive=True),
+)
 def graph_orphans_and_cohesion(spark, sf):
     """Orphan processes, and members with a low cohesion score, per trace."""
-    t = graph_tables.build(v.host(spark, sf))
+    t = graph_tables.build(settle(v.host(spark, sf)))
     orphans = analyst.orphan_processes(t).select("trace_id", "pid", F.lit("orphan").alias("why"))
     low = cohesion.from_graph(t).filter("demoted").select("trace_id", "pid", F.lit("low_cohesion").alias("why")).distinct()
     return orphans.unionByName(low)
@@ -221,10 +260,22 @@ def graph_orphans_and_cohesion(spark, sf):
 
 @query(
     "agent_partition_sizes",
+    o.with_views(o.HOST + """, roots AS (SELECT trace_id, pid, ts_ns, seq, 'session_' || (row_number() OVER (PARTITION BY trace_id ORDER BY ts_ns, seq) - 1) AS label FROM host
+     WHERE event = 'execve' AND split_part(argv[1], '/', -1) = 'claude' AND list_contains(argv, '-p'))
+  , cl AS (SELECT *, last_value(CASE WHEN event = 'clone' THEN pid END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_caller,
+       row_number() OVER (PARTITION BY trace_id, pid ORDER BY ts_ns, seq) AS rn FROM host)
+  , firsts AS (SELECT trace_id, pid, ts_ns, seq, CASE WHEN event = 'clone' THEN pid ELSE last_caller END AS caller FROM cl WHERE rn = 1 AND seq NOT IN (SELECT seq FROM roots))
+  , points AS (SELECT trace_id, pid, ts_ns, seq FROM roots UNION ALL SELECT trace_id, pid, ts_ns, seq FROM firsts)
+  , up AS MATERIALIZED (SELECT f.trace_id, f.seq, (SELECT arg_max(p.seq, (p.ts_ns, p.seq)) FROM points p WHERE p.trace_id = f.trace_id AND p.pid = f.caller AND f.caller <> f.pid AND (p.ts_ns, p.seq) < (f.ts_ns, f.seq)) AS up FROM firsts f)
+  , chain AS (SELECT seq, up FROM up UNION ALL SELECT c.seq, u.up FROM chain c JOIN up u ON u.seq = c.up)
+  , named AS (SELECT trace_id, pid, ts_ns, seq, label FROM roots UNION ALL
+       SELECT f.trace_id, f.pid, f.ts_ns, f.seq, coalesce((SELECT max(r.label) FROM chain c JOIN roots r ON r.seq = c.up WHERE c.seq = f.seq), 'preroot') FROM firsts f)
+  , now_ AS (SELECT e.trace_id, n.label FROM host e ASOF LEFT JOIN (SELECT *, ts_ns::HUGEINT * 10000000 + seq AS at FROM named) n ON n.trace_id = e.trace_id AND n.pid = e.pid AND n.at <= e.ts_ns::HUGEINT * 10000000 + e.seq)""",
+                 "SELECT trace_id, label AS session, count(*) AS n FROM now_ GROUP BY 1, 2", recursive=True),
 )
 def agent_partition_sizes(spark, sf):
     """Events per agent-root partition."""
-    return binding.partition_by_agent(v.host(spark, sf)).groupBy("trace_id", "session").agg(F.count(F.lit(1)).alias("n"))
+    return binding.partition_by_agent(settle(v.host(spark, sf))).groupBy("trace_id", "session").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -310,17 +361,19 @@ def touch_counts(spark, sf):
 
 @query(
     "orphan_processes",
-    "SELECT s_suppkey AS pid FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_linenumber = 7 AND l_orderkey % 50 < 2)",
+    o.with_views(o.FORKS + """, last_fork AS (SELECT trace_id, child AS c, arg_max(parent, (ts_ns, seq)) AS p FROM forks GROUP BY 1, 2)
+, roots AS (SELECT DISTINCT trace_id, pid FROM host WHERE event = 'execve' AND split_part(argv[1], '/', -1) = 'claude' AND list_contains(argv, '-p'))
+, inside AS (SELECT trace_id, pid FROM roots UNION SELECT i.trace_id, f.c FROM inside i JOIN last_fork f ON f.trace_id = i.trace_id AND f.p = i.pid)
+, seen AS (SELECT trace_id, pid FROM host UNION SELECT trace_id, unnest([parent, child]) FROM forks)""", "SELECT trace_id, pid FROM seen ANTI JOIN inside USING (trace_id, pid)", recursive=True),
 )
 def orphan_processes(spark, sf):
-    """Suppliers without an urgent returned seventh line in two of fifty orders."""
-    t = v.touches(spark, sf).filter("o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_linenumber = 7 AND l_orderkey % 50 < 2")
-    one = F.lit("t").alias("trace_id")
-    tables = {
-        "Process": v.table(spark, sf, "supplier").select(one, F.col("s_suppkey").alias("pid"), F.col("s_name").alias("first_comm"), F.lit("").alias("first_argv"), F.lit(0).alias("t_first_seen_ns")),
-        "member_of_session": t.select(one, F.col("l_suppkey").alias("pid")).distinct(),
-    }
-    return analyst.orphan_processes(tables).select("pid")
+    """Processes below no agent start: every vertex against the whole closure of the starts."""
+    h = settle(v.host(spark, sf))
+    forks = graph.fork_edges(h).groupBy("trace_id", "child").agg(F.max_by("parent", F.struct("ts_ns", "seq")).alias("parent"))
+    roots = h.filter(detect.session_root(F.col("event"), F.col("path"), F.col("argv"))).select("trace_id", F.col("pid").alias("node")).distinct()
+    inside = graph.descendants(settle(forks), roots).select("trace_id", F.col("node").alias("pid"))
+    tables = {"Process": graph_tables.process_rows(h), "member_of_session": inside}
+    return analyst.orphan_processes(tables).select("trace_id", "pid")
 
 
 @query(
@@ -335,12 +388,12 @@ def cohesion_scores(spark, sf):
     t = v.touches(spark, sf)
     one = F.lit("t").alias("trace_id")
     # A supplier acts once per customer here, so its touches are keyed by both.
-    pid = F.col("o_custkey") * 1_000_000 + F.col("l_suppkey")
+    pid = F.struct(F.col("o_custkey").alias("session"), F.col("l_suppkey").alias("pid"))
     touch = t.select(one, pid.alias("pid"), F.col("l_partkey").alias("target"))
     member = t.select(one, F.col("o_custkey").alias("session_id"), pid.alias("pid"))
-    exempt = member.filter("pid % 10 = 0").distinct()
+    exempt = member.filter("pid.pid % 10 = 0").distinct()
     c = cohesion.cohesion(touch, member, exempt, ["trace_id"])
-    return c.select(F.col("session_id").alias("session"), (F.col("pid") % 1_000_000).alias("pid"), "n_targets", "n_shared", F.round("score", 6).alias("score"))
+    return c.select(F.col("session_id").alias("session"), "pid.pid", "n_targets", "n_shared", F.round("score", 6).alias("score"))
 
 
 @query(

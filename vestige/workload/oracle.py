@@ -137,3 +137,63 @@ OK_REASON = "(reason LIKE '%\\_ok%' ESCAPE '\\' OR reason LIKE '%\\_pass' ESCAPE
 
 def with_views(views: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{views}\n{body}"
+
+
+# The binding rule as one ordered walk: what every operation finds and leaves, a map from pid
+# to session and server carried from operation to operation of a trace.
+STATES = FORKS + """, first_fork AS (SELECT trace_id, child, min((ts_ns, seq)) AS at FROM forks GROUP BY 1, 2)
+, near AS (SELECT *, last_value(CASE WHEN event = 'clone' THEN {'pid': pid, 'ts': ts_ns, 'cg': cgroup_id} END IGNORE NULLS)
+     OVER (PARTITION BY trace_id ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cl FROM host)
+, reg AS (SELECT trace_id, ts_ns, seq, argv[4] AS name FROM host WHERE event = 'execve' AND argv[2] = 'mcp')
+, ex AS (SELECT h.*, (SELECT arg_max(name, (r.ts_ns, r.seq)) FROM reg r WHERE r.trace_id = h.trace_id AND (r.ts_ns, r.seq) <= (h.ts_ns, h.seq)) AS known FROM host h WHERE event = 'execve')
+, served AS (SELECT *, CASE WHEN argv[1] = '/opt/fs-tool' AND known IS NOT NULL THEN known WHEN argv[1] LIKE '%/mcp-server-%' THEN split_part(argv[1], '/', -1) WHEN argv[1] = 'node' THEN 'chroma-mcp-server.js' END AS label FROM ex)
+, ops AS (
+  SELECT n.trace_id, n.ts_ns, n.seq, 0 AS step, 'clone' AS kind, n.pid, n.cl.pid AS parent, NULL AS label FROM near n LEFT JOIN first_fork f ON f.trace_id = n.trace_id AND f.child = n.pid
+    WHERE n.cl IS NOT NULL AND n.ts_ns - n.cl.ts BETWEEN 0 AND 199999999 AND (n.cl.cg IS NULL OR n.cgroup_id IS NULL OR n.cl.cg = n.cgroup_id) AND n.cl.pid <> n.pid AND (f.at IS NULL OR (n.ts_ns, n.seq) < f.at)
+  UNION ALL SELECT trace_id, ts_ns, seq, 1, 'root', pid, NULL, 'sess_' || (row_number() OVER (PARTITION BY trace_id ORDER BY ts_ns, seq) - 1) FROM host
+    WHERE event = 'execve' AND split_part(argv[1], '/', -1) = 'claude' AND list_contains(argv, '-p')
+  UNION ALL SELECT trace_id, ts_ns, seq, 2, 'server', pid, NULL, label FROM served WHERE label IS NOT NULL
+  UNION ALL SELECT trace_id, ts_ns, seq, 3, 'fork', child, parent, NULL FROM forks)
+, numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts_ns, seq, step) AS n FROM ops)
+, walk AS (
+  SELECT trace_id, 0::BIGINT AS n, MAP {}::MAP(BIGINT, VARCHAR) AS sessions, MAP {}::MAP(BIGINT, VARCHAR) AS servers, NULL::VARCHAR AS was_session, NULL::VARCHAR AS was_server, NULL::VARCHAR AS session, NULL::VARCHAR AS server
+  FROM (SELECT DISTINCT trace_id FROM ops)
+  UNION ALL
+  SELECT trace_id, n, map_concat(sessions, MAP {pid: s}), map_concat(servers, MAP {pid: CASE
+      WHEN kind = 'root' THEN NULL
+      WHEN kind = 'clone' AND was_s IS NULL AND par_s IS NOT NULL THEN par_v
+      WHEN kind = 'server' AND was_s IS NOT NULL AND was_v IS NULL THEN pid || '|' || seq || '|' || label
+      WHEN kind = 'fork' AND par_s IS NOT NULL THEN coalesce(par_v, was_v) ELSE was_v END}), was_s, was_v, s, CASE
+      WHEN kind = 'root' THEN NULL
+      WHEN kind = 'clone' AND was_s IS NULL AND par_s IS NOT NULL THEN par_v
+      WHEN kind = 'server' AND was_s IS NOT NULL AND was_v IS NULL THEN pid || '|' || seq || '|' || label
+      WHEN kind = 'fork' AND par_s IS NOT NULL THEN coalesce(par_v, was_v) ELSE was_v END
+  FROM (SELECT *, CASE WHEN kind = 'root' THEN label WHEN kind = 'clone' AND was_s IS NULL THEN par_s WHEN kind = 'fork' AND par_s IS NOT NULL THEN par_s ELSE was_s END AS s
+    FROM (SELECT o.*, w.sessions, w.servers, map_extract(w.sessions, o.pid)[1] AS was_s, map_extract(w.servers, o.pid)[1] AS was_v,
+            map_extract(w.sessions, o.parent)[1] AS par_s, map_extract(w.servers, o.parent)[1] AS par_v
+          FROM walk w JOIN numbered o ON o.trace_id = w.trace_id AND o.n = w.n + 1)))
+, states AS MATERIALIZED (
+  SELECT o.trace_id, o.pid, o.ts_ns, o.seq, o.step, o.kind, w.session, w.server, o.label FROM walk w JOIN numbered o USING (trace_id, n)
+  WHERE o.kind = 'root' OR w.session IS DISTINCT FROM w.was_session OR w.server IS DISTINCT FROM w.was_server)
+, mcps AS (SELECT trace_id, 'mcp_' || (row_number() OVER (PARTITION BY trace_id ORDER BY ts_ns, seq) - 1) || '_' || label AS mcp_id, server AS server_key, session AS session_id, pid AS anchor_pid, label AS name, ts_ns AS t_start_ns, seq
+  FROM states WHERE kind = 'server')
+, in_session AS (SELECT trace_id, pid, session AS session_id, min(ts_ns) AS bound_ns FROM states WHERE session IS NOT NULL GROUP BY 1, 2, 3)
+, in_mcp AS (SELECT DISTINCT s.trace_id, s.pid, m.mcp_id FROM states s JOIN mcps m ON m.trace_id = s.trace_id AND m.server_key = s.server)"""
+
+# Each host event with the state of its pid, and each call from its request to its server's reply.
+ATTRIBUTED = STATES + """, here AS MATERIALIZED (
+  SELECT e.trace_id, e.seq, e.ts_ns, e.pid, e.event, e.k, s.session, s.server FROM host e ASOF LEFT JOIN
+    (SELECT trace_id, pid, ts_ns::HUGEINT * 10000000 + seq AS at, arg_max(session, step) AS session, arg_max(server, step) AS server FROM states GROUP BY 1, 2, 3) s
+    ON s.trace_id = e.trace_id AND s.pid = e.pid AND s.at <= e.ts_ns::HUGEINT * 10000000 + e.seq)
+, asks AS (
+  SELECT h.trace_id, h.ts_ns, h.seq, h.pid, 't' || (h.k % 5) AS name, m.mcp_id, m.server_key, m.anchor_pid, h.session AS session_id
+  FROM here h ASOF JOIN (SELECT *, t_start_ns::HUGEINT * 10000000 + seq AS at FROM mcps) m ON m.trace_id = h.trace_id AND m.session_id = h.session AND m.at <= h.ts_ns::HUGEINT * 10000000 + h.seq
+  WHERE h.event = 'sendto' AND h.k % 2 = 0 AND h.k BETWEEN 40 AND 69 AND h.session IS NOT NULL)
+, calls AS MATERIALIZED (
+  SELECT *, 'tc_' || (row_number() OVER (PARTITION BY trace_id ORDER BY ts_ns, seq) - 1) AS tool_call_id FROM asks)
+, marks AS (
+  SELECT trace_id, anchor_pid AS pid, ts_ns, seq, false AS reply, tool_call_id FROM calls
+  UNION ALL SELECT trace_id, pid, ts_ns, seq, true, NULL FROM here WHERE event = 'sendto' AND k % 2 = 1 AND k BETWEEN 40 AND 69 AND server IS NOT NULL)
+, closes AS (
+  SELECT trace_id, tool_call_id, CASE WHEN next_reply THEN next_ts ELSE -1 END AS t_close_ns FROM (
+    SELECT *, lead(reply) OVER w AS next_reply, lead(ts_ns) OVER w AS next_ts FROM marks WINDOW w AS (PARTITION BY trace_id, pid ORDER BY ts_ns, seq, reply)) WHERE NOT reply)"""

@@ -382,10 +382,17 @@ def policy_shapes(spark, sf):
     return audit.shapes(v.policy_rows(spark, sf))
 
 
-@query("pattern_jaccard")
+@query(
+    "pattern_jaccard",
+    """WITH s AS (SELECT DISTINCT c_nationkey, o_custkey AS c_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey),
+  n AS (SELECT c_nationkey, c_custkey, count(*) AS n FROM s GROUP BY 1, 2),
+  r AS (SELECT *, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY md5('42|' || c_custkey), c_custkey) AS other FROM n),
+  b AS (SELECT r.c_nationkey, r.c_custkey, r.other, count(y.l_suppkey) AS n_both FROM r JOIN s x ON x.c_custkey = r.c_custkey LEFT JOIN s y ON y.c_custkey = r.other AND y.l_suppkey = x.l_suppkey
+    WHERE r.other IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT b.c_nationkey, b.c_custkey, b.other, n_both, n_both * 1.0 / (p.n + q.n - n_both) AS jaccard FROM b JOIN n p ON p.c_custkey = b.c_custkey JOIN n q ON q.c_custkey = b.other""",
+)
 def pattern_jaccard(spark, sf):
-    """Similarity of the supplier sets of customers, over a seeded ring inside each
-    nation (hash order differs between engines, so rows only; brute force in the tests)."""
+    """Similarity of the supplier sets of customers, over a seeded ring inside each nation."""
     t = v.touches(spark, sf).select(F.col("o_custkey").alias("c_custkey"), "l_suppkey")
     c = v.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     return audit.neighbour_jaccard(t.join(c, "c_custkey"), "c_custkey", "l_suppkey", ["c_nationkey"])
@@ -405,6 +412,8 @@ def masked_sentinel_shapes(spark, sf):
 
 @query(
     "misaligned_policies",
+    """WITH r AS (SELECT c_custkey AS key, c_mktsegment AS policy, row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) AS n, count(*) OVER () AS total FROM customer)
+  SELECT a.key, b.key AS donor, b.policy FROM r a JOIN r b ON b.n = a.n % a.total + 1 WHERE a.key <> b.key""",
 )
 def misaligned_policies(spark, sf):
     """Every customer key gets the next key's policy in a seeded order."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vestige.operators import callwindows, metrics, selection
 from vestige.plans import agent_layer, analyst, corpora, fidelity, scoring
+from vestige.session import settle
 from vestige.sources import sessions as src
 from vestige.workload import oracle as o
 from vestige.workload import views as v
@@ -50,6 +51,29 @@ _TWO_CLASS = """lab AS (SELECT doc_id % 5 AS g, 'q' || quality AS t, CASE WHEN d
     coalesce(sum(CASE WHEN p = '' OR mapped <> t THEN n END), 0) AS fn, sum(n) AS n_scored, count(DISTINCT t) AS n_classes_true, count(DISTINCT CASE WHEN p <> '' THEN p END) AS n_classes_pred FROM j GROUP BY 1)"""
 
 
+def _many_class_sql(views: str, table: str, by: str) -> str:
+    """Scores of any number of classes over ``table`` (by.., t, p, o), greedy choice by an ordered walk; '' may be mapped."""
+    return o.with_views(views, f""", x AS MATERIALIZED (SELECT {by}, t, p, count(*) AS n, min(o) AS first FROM ({table}) GROUP BY ALL),
+  g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, first, p, t) AS r FROM x WHERE t <> '' OR p <> ''),
+  pick AS (SELECT {by}, 0::BIGINT AS r, []::VARCHAR[] AS ps, []::VARCHAR[] AS ts, false AS took FROM (SELECT DISTINCT {by} FROM g)
+    UNION ALL SELECT {by}, g.r, CASE WHEN free THEN list_append(ps, p) ELSE ps END, CASE WHEN free THEN list_append(ts, t) ELSE ts END, free FROM
+      (SELECT k.ps, k.ts, g.*, NOT list_contains(k.ps, g.p) AND NOT list_contains(k.ts, g.t) AS free FROM pick k JOIN g USING ({by}) WHERE g.r = k.r + 1) g),
+  m AS (SELECT {by}, p, t AS mapped FROM g SEMI JOIN (SELECT * FROM pick WHERE took) USING ({by}, r)),
+  j AS (SELECT x.*, coalesce(mapped, '') AS mapped FROM x LEFT JOIN m USING ({by}, p)),
+  s AS (SELECT {by}, coalesce(sum(CASE WHEN t <> '' AND mapped = t THEN n END), 0)::BIGINT AS tp, coalesce(sum(CASE WHEN NOT (t <> '' AND mapped = t) AND p <> '' AND mapped <> t THEN n END), 0)::BIGINT AS fp,
+    coalesce(sum(CASE WHEN t <> '' AND (p = '' OR mapped <> t) THEN n END), 0)::BIGINT AS fn, coalesce(sum(CASE WHEN t <> '' THEN n END), 0)::BIGINT AS n_scored,
+    count(DISTINCT CASE WHEN t <> '' THEN t END) AS n_classes_true, count(DISTINCT CASE WHEN p <> '' THEN p END) AS n_classes_pred, sum(n)::BIGINT AS n_events, sum(n * (n - 1) / 2.0) AS c FROM j GROUP BY {by}),
+  a AS (SELECT {by}, sum(n * (n - 1) / 2.0) AS a FROM (SELECT {by}, t, sum(n) AS n FROM x GROUP BY ALL) GROUP BY {by}),
+  b AS (SELECT {by}, sum(n * (n - 1) / 2.0) AS b FROM (SELECT {by}, p, sum(n) AS n FROM x GROUP BY ALL) GROUP BY {by}),
+  q AS (SELECT *, coalesce(tp * 1.0 / nullif(tp + fp, 0), 0) AS pr, coalesce(tp * 1.0 / nullif(tp + fn, 0), 0) AS re, CASE WHEN n_events >= 2 THEN a * b / (n_events * (n_events - 1) / 2.0) ELSE 0.0 END AS e FROM s JOIN a USING ({by}) JOIN b USING ({by}))
+  SELECT {by}, tp, fp, fn, n_scored, n_classes_true, n_classes_pred, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1,
+    round(CASE WHEN (a + b) / 2 = e THEN 1.0 ELSE (c - e) / ((a + b) / 2 - e) END, 6) AS ari, n_events FROM q""", recursive=True)
+
+
+def _rounded(scores):
+    return scores.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "ari") if c in scores.columns})
+
+
 @query(
     "cluster_scores_labels",
     o.with_views(_TWO_CLASS, "SELECT g, tp, fp, fn, n_scored, n_classes_true, n_classes_pred, round(tp * 1.0 / (tp + fp), 6) AS precision, round(tp * 1.0 / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1 FROM r"),
@@ -78,11 +102,14 @@ def trial_summary(spark, sf):
     return t.select("half", "n_trials", *[F.round(c, 6).alias(c) for c in ("f1_mean", "f1_min", "f1_max")])
 
 
-@query("cluster_scores_sessions")
+@query(
+    "cluster_scores_sessions",
+    _many_class_sql(o.EV, "SELECT trace_id, CAST(pid AS VARCHAR) AS t, CAST(ts_ns // 60000000000 AS VARCHAR) AS p, seq AS o FROM ev", "trace_id"),
+)
 def cluster_scores_sessions(spark, sf):
     """Many classes: event users against minutes, per trace (greedy map in rounds)."""
     e = v.ev(spark, sf).select("trace_id", "seq", F.col("pid").cast("string").alias("t"), F.floor(F.col("ts_ns") / 60_000_000_000).cast("string").alias("p"))
-    return metrics.cluster_scores(e, ["trace_id"], "t", "p", order="seq", mode="compat")
+    return _rounded(metrics.cluster_scores(e, ["trace_id"], "t", "p", order="seq", mode="compat"))
 
 
 @query(
@@ -355,20 +382,53 @@ def first_paired_prompts(spark, sf):
     return selection.first_paired_prompt(_captures(spark, sf))
 
 
-@query("trial_sample")
+@query(
+    "trial_sample",
+    o.with_views(_CAP + ", ", """draws AS (SELECT mcp, session_id, unnest(range(10)) AS trial FROM cap),
+  one AS (SELECT *, row_number() OVER (PARTITION BY trial, mcp ORDER BY md5('42|' || trial || '|s|' || session_id), session_id) AS r FROM draws),
+  m AS (SELECT mcp, session_id, trial, row_number() OVER (PARTITION BY trial ORDER BY md5('42|' || trial || '|m|' || mcp), mcp) AS r FROM one WHERE r = 1)
+  SELECT mcp, session_id, trial FROM m WHERE r <= 3"""),
+)
 def trial_sample(spark, sf):
-    """Ten seeded trials of three distinct servers (hash order: rows only)."""
+    """Ten seeded trials of three distinct servers."""
     return selection.trial_sample(_captures(spark, sf), 10, 3)
 
 
-@query("labelled_merge_scores")
+# True classes from the forest of last forks and first clones, predicted ones from the ordered walk.
+_LABELLED = o.ATTRIBUTED.replace("CASE WHEN argv[1] = '/opt/fs-tool' AND known IS NOT NULL THEN known WHEN argv", "CASE WHEN argv").replace(
+    "event = 'sendto' AND k % 2 = 1 AND k BETWEEN 40", "event = 'sendto' AND k BETWEEN 40") + """
+, last_fork AS (SELECT trace_id, child, arg_max(parent, (ts_ns, seq)) AS parent FROM forks GROUP BY 1, 2)
+, near2 AS (SELECT *, last_value(CASE WHEN event = 'clone' THEN {'pid': pid, 'ts': ts_ns, 'cg': cgroup_id} END IGNORE NULLS)
+     OVER (PARTITION BY trace_id ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cl FROM host WHERE event <> 'sched_fork')
+, guess AS (SELECT trace_id, pid AS child, arg_min(cl.pid, (ts_ns, seq)) AS parent FROM near2 WHERE cl IS NOT NULL AND ts_ns - cl.ts BETWEEN 0 AND 199999999
+     AND (cl.cg IS NULL OR cgroup_id IS NULL OR cl.cg = cgroup_id) GROUP BY 1, 2)
+, parents AS MATERIALIZED (SELECT trace_id, child, parent FROM (SELECT * FROM last_fork UNION ALL SELECT * FROM guess ANTI JOIN last_fork USING (trace_id, child)) WHERE parent <> child)
+, true_session AS (SELECT DISTINCT trace_id, pid FROM ops WHERE kind = 'root' UNION SELECT i.trace_id, p.child FROM true_session i JOIN parents p ON p.trace_id = i.trace_id AND p.parent = i.pid)
+, true_server AS (SELECT DISTINCT trace_id, pid FROM ex WHERE (argv[1] = '/opt/fs-tool' AND known IS NOT NULL) OR argv[1] LIKE '%/mcp-server-%' OR argv[1] = 'node'
+    UNION SELECT i.trace_id, p.child FROM true_server i JOIN parents p ON p.trace_id = i.trace_id AND p.parent = i.pid)
+, true_windows AS MATERIALIZED (SELECT trace_id, 'u' || seq AS use_id, ts_ns AS lo, ts_ns + k * 1000000000 AS hi FROM ev WHERE event_type = 'purchase')
+, windows_of AS (SELECT c.trace_id, c.server_key, c.tool_call_id, c.ts_ns AS lo, x.t_close_ns AS hi FROM calls c JOIN closes x USING (trace_id, tool_call_id))
+, told AS MATERIALIZED (SELECT h.trace_id, h.ts_ns,
+    CASE WHEN s.pid IS NOT NULL THEN 'cap_' || h.trace_id ELSE '' END AS ts, CASE WHEN m.pid IS NOT NULL THEN 'm_' || h.trace_id ELSE '' END AS tm,
+    CASE WHEN m.pid IS NOT NULL THEN coalesce((SELECT arg_min(w.use_id, (w.lo, w.use_id)) FROM true_windows w WHERE w.trace_id = h.trace_id AND h.ts_ns >= w.lo AND (w.hi <= 0 OR h.ts_ns <= w.hi)), '') ELSE '' END AS tc,
+    coalesce(h.session, '') AS ps, coalesce(c.mcp_id, '') AS pm,
+    coalesce((SELECT arg_min(w.tool_call_id, (w.lo, w.tool_call_id)) FROM windows_of w WHERE w.trace_id = h.trace_id AND w.server_key = h.server AND h.ts_ns >= w.lo AND (w.hi <= 0 OR h.ts_ns <= w.hi)), '') AS pc
+  FROM here h LEFT JOIN mcps c ON c.trace_id = h.trace_id AND c.server_key = h.server
+  LEFT JOIN true_session s ON s.trace_id = h.trace_id AND s.pid = h.pid LEFT JOIN true_server m ON m.trace_id = h.trace_id AND m.pid = h.pid)"""
+
+
+@query(
+    "labelled_merge_scores",
+    _many_class_sql(_LABELLED, """SELECT trace_id, 'session' AS level, ts AS t, ps AS p, ts_ns AS o FROM told UNION ALL SELECT trace_id, 'mcp', tm, pm, ts_ns FROM told
+    UNION ALL SELECT trace_id, 'tool_call', tc, pc, ts_ns FROM told""", "trace_id, level"),
+)
 def labelled_merge_scores(spark, sf):
     """Truth labels, merge into trials, predictions, scores per level: the whole pipeline."""
-    h = v.host(spark, sf)
+    h = settle(v.host(spark, sf))
     meta = h.select("trace_id").distinct().selectExpr("trace_id", "concat('cap_', trace_id) AS session_id", "concat('m_', trace_id) AS mcp")
     windows = v.spans(spark, sf).selectExpr("trace_id", "concat('u', use_id) AS use_id", "lo", "hi")
     labelled = corpora.label(h, meta, windows)
-    return scoring.run_trials(labelled, mode="compat")
+    return _rounded(scoring.run_trials(labelled, mode="compat"))
 
 
 @query(

@@ -196,23 +196,73 @@ def call_cells(spark, sf):
     return r.withColumn("ratio", F.round("ratio", 6))
 
 
-@query("bridge_by_program")
+def _bridge_sql(tol_ns: int) -> str:
+    """Hosts in order choose the nearest free mark: h (trace_id, id, ts_ns, seq, names), m alike; gives bridge (trace_id, id, mark, gap, ts_ns, seq)."""
+    return f"""hn AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts_ns, seq) AS n FROM h),
+  near AS (SELECT h.trace_id, h.n, list({{'gap': abs(m.ts_ns - h.ts_ns), 'mark': m.id}} ORDER BY abs(m.ts_ns - h.ts_ns), m.ts_ns, m.seq) AS cands
+    FROM hn h JOIN m ON m.trace_id = h.trace_id AND abs(m.ts_ns - h.ts_ns) <= {tol_ns} AND list_has_any(m.names, h.names) GROUP BY 1, 2),
+  todo AS MATERIALIZED (SELECT hn.*, coalesce(cands, []) AS cands FROM hn LEFT JOIN near USING (trace_id, n)),
+  choose AS (SELECT trace_id, 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::VARCHAR AS mark, NULL::BIGINT AS gap FROM (SELECT DISTINCT trace_id FROM h)
+    UNION ALL SELECT trace_id, n, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.mark) END, best.mark, best.gap FROM
+      (SELECT t.trace_id, t.n, c.used, list_filter(t.cands, lambda x: NOT list_contains(c.used, x.mark))[1] AS best FROM choose c JOIN todo t ON t.trace_id = c.trace_id AND t.n = c.n + 1)),
+  bridge AS MATERIALIZED (SELECT hn.trace_id, hn.id, c.mark, c.gap, hn.ts_ns, hn.seq FROM choose c JOIN hn USING (trace_id, n) WHERE c.mark IS NOT NULL)"""
+
+
+_FIRST_EXECS = """first_execs AS (SELECT trace_id, pid, ts_ns, seq, [split_part(path, '/', -1), split_part(argv[1], '/', -1)] AS names FROM host WHERE event = 'execve'
+   QUALIFY row_number() OVER (PARTITION BY trace_id, pid ORDER BY ts_ns, seq) = 1)"""
+
+
+@query(
+    "bridge_by_program",
+    o.with_views(o.HOST + ", " + _FIRST_EXECS + """, h AS (SELECT trace_id, CAST(pid AS VARCHAR) AS id, ts_ns, seq, names FROM first_execs),
+  m AS (SELECT trace_id, CAST(pid + 1000000 AS VARCHAR) AS id, ts_ns + (pid % 120) * 1000000 AS ts_ns, seq, names FROM first_execs), """ + _bridge_sql(100_000_000),
+                 "SELECT trace_id, CAST(id AS BIGINT) AS pid, CAST(mark AS BIGINT) AS tid, gap FROM bridge", recursive=True),
+)
 def bridge_by_program(spark, sf):
-    """Host execs matched to shifted oracle execs (greedy 1:1; brute force in the tests)."""
+    """Host execs matched to shifted oracle execs (greedy 1:1)."""
     execs = v.host(spark, sf).filter("event = 'execve'").select("trace_id", "pid", "ts_ns", "seq", "path", "argv", "event")
     host = fidelity.host_execs(execs)
     orc = host.select("trace_id", (F.col("pid") + 1_000_000).alias("pid"), (F.col("ts_ns") + (F.col("pid") % 120) * 1_000_000).alias("ts_ns"), "seq", "image", "argv")
     return fidelity.bridge_by_name(orc, host)
 
 
-@query("bridge_by_time")
+@query(
+    "bridge_by_time",
+    o.with_views(o.HOST + """, h AS (SELECT trace_id, pid || ':' || seq AS id, ts_ns, seq, ['x'] AS names FROM host WHERE event = 'execve'),
+  m AS (SELECT trace_id, (pid + 1000000) || ':' || seq AS id, ts_ns + (pid % 60) * 1000000 AS ts_ns, seq, ['x'] AS names FROM host WHERE event = 'execve'), """ + _bridge_sql(50_000_000),
+                 "SELECT trace_id, CAST(split_part(id, ':', 1) AS BIGINT) AS pid, CAST(split_part(arg_max(mark, (ts_ns, seq)), ':', 1) AS BIGINT) AS tid FROM bridge GROUP BY 1, 2", recursive=True),
+)
 def bridge_by_time(spark, sf):
     e = v.host(spark, sf)
     orc = e.filter("event = 'execve'").selectExpr("trace_id", "pid + 1000000 AS pid", "ts_ns + (pid % 60) * 1000000 AS ts_ns", "seq", "'execve' AS syscall")
     return fidelity.bridge_by_time(orc, e)
 
 
-@query("process_fidelity")
+@query(
+    "process_fidelity",
+    o.with_views(o.HOST + ", " + _FIRST_EXECS + """, h AS (SELECT trace_id, CAST(pid AS VARCHAR) AS id, ts_ns, seq, names FROM first_execs),
+  m AS (SELECT trace_id, CAST(pid + 1000000 AS VARCHAR) AS id, ts_ns + 1000000 AS ts_ns, seq, names FROM first_execs), """ + _bridge_sql(100_000_000) + """,
+  pairs AS (SELECT trace_id, CAST(id AS BIGINT) AS pid, CAST(mark AS BIGINT) AS tid FROM bridge),
+  o_par AS (SELECT trace_id, child_pid + 1000000 AS child, arg_max(parent_pid, (ts_ns, seq)) + 1000000 AS parent FROM host WHERE event = 'sched_fork' GROUP BY 1, 2),
+  cl AS (SELECT *, last_value(CASE WHEN event = 'clone' THEN {'pid': pid, 'ts': ts_ns} END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cl,
+     row_number() OVER (PARTITION BY trace_id, pid ORDER BY ts_ns, seq) AS rn FROM host),
+  forest AS MATERIALIZED (SELECT trace_id, pid, CASE WHEN ts_ns - cl.ts <= 100000000 THEN cl.pid END AS parent FROM cl WHERE rn = 1),
+  o_up AS (SELECT e.trace_id, e.pid + 1000000 AS node, p.parent AS cur FROM first_execs e JOIN o_par p ON p.trace_id = e.trace_id AND p.child = e.pid + 1000000
+    UNION SELECT u.trace_id, u.node, p.parent FROM o_up u JOIN o_par p ON p.trace_id = u.trace_id AND p.child = u.cur WHERE NOT EXISTS (SELECT 1 FROM first_execs e WHERE e.trace_id = u.trace_id AND e.pid + 1000000 = u.cur)),
+  h_up AS (SELECT e.trace_id, e.pid AS node, f.parent AS cur FROM first_execs e JOIN forest f ON f.trace_id = e.trace_id AND f.pid = e.pid WHERE f.parent IS NOT NULL
+    UNION SELECT u.trace_id, u.node, f.parent FROM h_up u JOIN forest f ON f.trace_id = u.trace_id AND f.pid = u.cur WHERE f.parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM first_execs e WHERE e.trace_id = u.trace_id AND e.pid = u.cur)),
+  o_edges AS (SELECT DISTINCT u.trace_id, u.cur AS p, u.node AS c FROM o_up u JOIN first_execs e ON e.trace_id = u.trace_id AND e.pid + 1000000 = u.cur),
+  seen AS (SELECT DISTINCT u.trace_id, a.tid AS p, b.tid AS c FROM h_up u JOIN pairs a ON a.trace_id = u.trace_id AND a.pid = u.cur JOIN pairs b ON b.trace_id = u.trace_id AND b.pid = u.node),
+  kept AS (SELECT o.* FROM o_edges o WHERE EXISTS (SELECT 1 FROM pairs x WHERE x.trace_id = o.trace_id AND x.tid = o.p) AND EXISTS (SELECT 1 FROM pairs x WHERE x.trace_id = o.trace_id AND x.tid = o.c)),
+  edges AS (SELECT k.trace_id, count(*) AS edges_in_l1_subgraph, round(count(s.p) * 1.0 / count(*), 6) AS edge_recall FROM kept k LEFT JOIN seen s ON s.trace_id = k.trace_id AND s.p = k.p AND s.c = k.c GROUP BY 1),
+  subs AS (SELECT trace_id, count(*) AS n FROM first_execs GROUP BY 1), met AS (SELECT trace_id, count(*) AS n FROM pairs GROUP BY 1),
+  totals AS (SELECT trace_id, count(DISTINCT pid) AS host_pids_total, count(DISTINCT tid) AS host_tids_total, count(*) AS host_events FROM host GROUP BY 1),
+  last_exec AS (SELECT trace_id, pid, arg_max(argv, (ts_ns, seq)) AS argv FROM host WHERE event = 'execve' GROUP BY 1, 2),
+  roots AS (SELECT e.trace_id, bool_or(contains(argv[1], 'claude') AND f.parent IS NULL) AS host_saw_claude_root, bool_or(contains(argv[1], 'claude')) AS host_saw_claude_anywhere FROM last_exec e JOIN forest f USING (trace_id, pid) GROUP BY 1)""",
+                 """SELECT s.trace_id, s.n AS l1_subprocesses, s.n AS host_subprocesses, m.n AS bridged, e.edges_in_l1_subgraph, e.edge_recall, t.host_pids_total, t.host_tids_total, t.host_events,
+    r.host_saw_claude_root, r.host_saw_claude_anywhere, round(coalesce(m.n, 0) * 1.0 / s.n, 6) AS subprocess_recall, 1.0 AS subprocess_count_ratio
+  FROM subs s LEFT JOIN met m USING (trace_id) LEFT JOIN edges e USING (trace_id) LEFT JOIN totals t USING (trace_id) LEFT JOIN roots r USING (trace_id)""", recursive=True),
+)
 def process_fidelity(spark, sf):
     """Subprocess and edge recall of a host trace against its shifted copy as oracle."""
     h = v.host(spark, sf)
@@ -220,7 +270,8 @@ def process_fidelity(spark, sf):
     orc_ex = ex.select("trace_id", (F.col("pid") + 1_000_000).alias("pid"), (F.col("ts_ns") + 1_000_000).alias("ts_ns"), "seq", "image", "argv")
     orc = h.filter("event = 'sched_fork'").selectExpr(
         "trace_id", "ts_ns", "seq", "parent_pid + 1000000 AS pid", "'clone' AS syscall", "CAST(child_pid + 1000000 AS STRING) AS ret")
-    return fidelity.process_fidelity(orc, orc_ex, h)
+    f = fidelity.process_fidelity(orc, orc_ex, h)
+    return f.withColumn("edge_recall", F.round("edge_recall", 6)).withColumn("subprocess_recall", F.round("subprocess_recall", 6))
 
 
 # ---- names, frames, tokens -----------------------------------------------------------
@@ -293,19 +344,26 @@ def shell_command_tokens(spark, sf):
     return t.groupBy(F.get("h", F.lit(0)).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.get("p", F.lit(0))).alias("n_paths"))
 
 
+# What a word may hold besides letters: the engines' own word classes differ on accented letters.
+_LETTER = r"\p{L}\p{M}\p{N}\p{Pc}"
+
+
 @query(
     "document_host_tokens",
-    r"""WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '[\s"'']+')) AS w FROM documents),
-  h AS (SELECT DISTINCT doc_id, regexp_replace(w, '[,;]+$', '') AS h FROM w WHERE regexp_matches(w, '^[!-~]+$') AND NOT contains(w, '/')),
-  o AS (SELECT *, string_split(h, '.') AS p FROM h)
-  SELECT doc_id, h AS host FROM o WHERE (regexp_matches(h, '^([0-9]{1,3}\.){3}[0-9]{1,3}$') AND CAST(p[1] AS INT) < 256 AND CAST(p[2] AS INT) < 256 AND CAST(p[3] AS INT) < 256 AND CAST(p[4] AS INT) < 256)
-    OR (contains(h, '.') AND regexp_matches(h, '[a-zA-Z]') AND regexp_matches(h, '^[a-zA-Z0-9]([0-9A-Za-z_.\-]{0,251}[0-9A-Za-z_])?$'))""",
+    rf"""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(text, '[\x20\x09-\x0D"'']+')) AS w FROM documents),
+  u AS (SELECT doc_id, split_part(unnest(regexp_extract_all(w, '(?i)(?:^|[^{_LETTER}])(?:https?|ftps?|wss?|sftp)://([{_LETTER}.\-:]+)', 1)), ':', 1) AS host FROM w WHERE contains(w, '://')),
+  h AS (SELECT doc_id, regexp_replace(w, '[,;]+$', '') AS h FROM w WHERE contains(w, '.')),
+  o AS (SELECT *, string_split(h, '.') AS p FROM h WHERE contains(h, '.') AND NOT contains(h, '/'))
+  SELECT doc_id, host FROM u
+  UNION SELECT doc_id, h FROM o WHERE (regexp_matches(h, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$') AND len(list_filter(p, lambda x: try_cast(x AS INT) > 255)) = 0)
+    OR (regexp_matches(h, '\p{{L}}') AND regexp_matches(h, '^[a-zA-Z0-9]([{_LETTER}.\-]{{0,251}}[{_LETTER}])?$'))""",
 )
 def document_host_tokens(spark, sf):
-    """Addresses and host names among the words of whole texts (plain ASCII words, so both
-    engines agree on what a letter is)."""
-    words = F.filter(F.split("text", r"[\s\"']+"), lambda w: w.rlike("^[!-~]+$") & ~w.contains("/"))
-    return v.table(spark, sf, "documents").select("doc_id", F.explode(tokens.host_tokens(words)).alias("host"))
+    """Addresses and host names, of URLs too, among all words of whole texts."""
+    words = v.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"[\x20\x09-\x0D\"']+")).alias("word")).distinct()
+    # No host without a dot or a scheme, so other words need no patterns.
+    may = words.filter(F.col("word").contains(".") | F.col("word").contains("://"))
+    return may.select("doc_id", F.explode(tokens.host_tokens(F.array("word"))).alias("host")).distinct()
 
 
 @query(
