@@ -3,8 +3,10 @@
 A text is cut by the tokenizer's pattern into words.  A word that is itself a token is done.  The
 others become rows (word, position, token), one row a byte, in a DuckDB table, and one recursive
 query contracts them: neighbours join the merge table, the smallest rank of each word wins, its
-leftmost pair is replaced, until no word has a pair left.  Decoding unnests the ids, joins the
-token table and concatenates in position order.
+leftmost pair is replaced, until no word has a pair left.  A recursive query keeps all of its
+rounds, so words of over LONG_WORD bytes are contracted in a table that each round replaces, and
+many places of one word at once (see LONG_ROUND).  Decoding unnests the ids, joins the token table
+and concatenates in position order.
 
 Words recur, so a worker keeps the ids of words it has seen, up to a fixed number; the cache
 changes speed, never results.
@@ -26,10 +28,10 @@ from vestige.llm.common import text_batches
 CHUNK_BYTES = 2_000_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 250_000
-#: Bytes of words contracted by one recursive query.
-QUERY_BYTES = 500_000
-#: From this length on a word's pairs of one rank are contracted together.
-LONG_WORD = 256
+#: Words contracted by one recursive query have squared lengths of so much in sum: its rounds hold about half of that many tokens.
+QUERY_SQUARES = 12_000_000
+#: Longer words (bytes) are contracted round by round in a table; of those, so many bytes at once or one word.
+LONG_WORD, LONG_BYTES = 64, 500_000
 
 # One contraction a round: the tokens of each word stand as rows (word, position, token) beside
 # their right neighbours, join the merge table, and the leftmost pair of the smallest rank goes.
@@ -49,61 +51,82 @@ WITH RECURSIVE step(round, word, toks) AS (
 SELECT word, arg_max(toks, round) AS ids FROM step GROUP BY word
 """
 
-# The same for words of over LONG_WORD bytes, whose rounds would each copy a long list.  `spot` word * 2^32 + the token's first byte, so that its right neighbour stands at spot + len.  All places of that rank are contracted in one round, unless the new token could form a pair of
-# a lower rank with a neighbour (`early`); then only the leftmost place is.  In a run of one
-# repeated token every second pair counts.
-CONTRACT_LONG = """
-WITH RECURSIVE step(round, spot, len, tok) AS (
-    SELECT 0, spot, 1, tok FROM pieces
-  UNION ALL (
-    WITH near AS MATERIALIZED (
-      SELECT a.spot, a.len, b.len AS next_len, a.tok = b.tok AS same, (a.tok::BIGINT << 20) + b.tok AS pair
-      FROM step a JOIN step b ON b.spot = a.spot + a.len
-    ), pairs AS MATERIALIZED (
-      SELECT n.*, m.merged, m.early FROM near n JOIN merges_long m ON m.pair = n.pair
-    ), best AS MATERIALIZED (
-      SELECT spot >> 32 AS word, min(merged) AS merged FROM pairs GROUP BY spot >> 32
-    ), hits AS MATERIALIZED (
-      SELECT p.*, b.word FROM pairs p JOIN best b ON p.spot >> 32 = b.word AND p.merged = b.merged
-    ), taken AS MATERIALIZED (
-      SELECT spot, len, next_len, merged FROM hits WHERE NOT same AND NOT early
-      UNION ALL
-      SELECT min(spot), arg_min(len, spot), arg_min(next_len, spot), min(merged) FROM hits WHERE early GROUP BY word
-      UNION ALL
-      SELECT spot, len, next_len, merged FROM (
-        SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY spot) AS nth
-        FROM (SELECT *, spot - len * row_number() OVER (PARTITION BY word ORDER BY spot) AS run FROM hits WHERE same AND NOT early)
-      ) WHERE nth % 2 = 1
-    ), change AS MATERIALIZED (
-      SELECT spot, len + next_len AS len, merged AS tok FROM taken
-      UNION ALL
-      SELECT spot + len, 0, NULL FROM taken
-    )
-    SELECT s.round + 1, s.spot, coalesce(c.len, s.len), coalesce(c.tok, s.tok)
-    FROM step s JOIN best b ON s.spot >> 32 = b.word LEFT JOIN change c ON c.spot = s.spot
-    WHERE c.len IS NULL OR c.len > 0
-  )
+# One round over long words.  The leftmost pair of the smallest rank of each word goes, and with it
+# every pair that nothing can forestall.  Until its rank's turn its right token could only be taken
+# by a pair with its right neighbour, or with a token that the neighbour has grown into: one that
+# begins with the neighbour and the byte after it.  `after` holds the smallest rank of the latter for
+# (token, neighbour, byte); `before` the same for the left token.  Of a run of one repeated token,
+# whose pairs tie, every second one goes.
+LONG_ROUND = """
+CREATE OR REPLACE TABLE taken AS
+WITH seen AS (
+  SELECT spot, tok, len, first, lead(tok) OVER w AS nxt, lead(len) OVER w AS next_len, lead(last) OVER w AS next_last,
+    lead(tok, 2) OVER w AS beyond, lead(first, 3) OVER w AS beyond_byte, lag(tok) OVER w AS prv, lag(last, 2) OVER w AS prv_byte
+  FROM step WINDOW w AS (PARTITION BY spot >> 32 ORDER BY spot)
+), pairs AS (
+  SELECT p.*, m.merged, least(coalesce(n.merged, 1 << 30), coalesce(a.least, 1 << 30)) >= m.merged AS after_ok,
+    least(coalesce(l.merged, 1 << 30), coalesce(b.least, 1 << 30)) AS before_least
+  FROM seen p JOIN merges m ON m.pair = (p.tok::BIGINT << 20) + p.nxt
+  LEFT JOIN merges n ON n.pair = (p.nxt::BIGINT << 20) + p.beyond LEFT JOIN merges l ON l.pair = (p.prv::BIGINT << 20) + p.tok
+  LEFT JOIN after a ON a.key = (p.nxt::BIGINT << 28) + (p.beyond::BIGINT << 8) + p.beyond_byte
+  LEFT JOIN before b ON b.key = (p.prv::BIGINT << 28) + (p.tok::BIGINT << 8) + p.prv_byte
+), lowest AS (
+  SELECT arg_min(spot, (merged::BIGINT << 32) + (spot & 4294967295)) AS spot FROM pairs GROUP BY spot >> 32
+), runs AS (
+  SELECT *, row_number() OVER r AS nth, first_value(before_least > merged) OVER r AS starts FROM (
+    SELECT *, spot - len * row_number() OVER (PARTITION BY spot >> 32, tok ORDER BY spot) AS run
+    FROM pairs WHERE tok = nxt AND after_ok AND (before_least > merged OR (before_least = merged AND prv = tok))
+  ) WINDOW r AS (PARTITION BY spot >> 32, tok, run ORDER BY spot)
+), safe AS (
+  SELECT spot FROM pairs WHERE tok <> nxt AND after_ok AND before_least > merged
+  UNION SELECT spot FROM runs WHERE starts AND nth % 2 = 1
+  UNION SELECT spot FROM lowest
 )
-SELECT s.spot >> 32 AS word, list(s.tok ORDER BY s.spot) AS ids
-FROM step s JOIN (SELECT spot >> 32 AS word, max(round) AS last FROM step GROUP BY spot >> 32) l ON s.spot >> 32 = l.word AND s.round = l.last
-GROUP BY s.spot >> 32
+SELECT p.spot, p.spot + p.len AS gone, p.len + p.next_len AS len, p.next_last AS last, p.merged FROM pairs p SEMI JOIN safe s ON s.spot = p.spot
+"""
+LONG_STEP = """
+CREATE OR REPLACE TABLE step AS
+SELECT s.spot, coalesce(t.len, s.len) AS len, coalesce(t.merged, s.tok) AS tok, s.first, coalesce(t.last, s.last) AS last
+FROM step s LEFT JOIN taken t ON t.spot = s.spot ANTI JOIN taken g ON g.gone = s.spot
 """
 
-# One thread, so the aggregate meets the tokens in the order of the sort below it; tokenize()
-# holds every decoded text against its words.
+# tokenize() holds every decoded text against its words.
 DECODE = """
-SELECT spot >> 32 AS doc, unhex(string_agg(hex, '')) AS data, sha256(data) AS digest
-FROM (SELECT c.spot, v.hex FROM coded c JOIN vocabulary v ON v.tok = c.tok ORDER BY c.spot) GROUP BY spot >> 32
+SELECT c.spot >> 32 AS doc, unhex(string_agg(v.hex, '' ORDER BY c.spot)) AS data, sha256(data) AS digest
+FROM coded c JOIN vocabulary v ON v.tok = c.tok GROUP BY c.spot >> 32
 """
 
 _engines: dict[str, Engine] = {}
 
 
+class Held:
+    """Words that wait to be contracted together, until their costs reach a limit."""
+
+    def __init__(self, engine: Engine, contract, limit: int, cost):
+        self.engine, self.contract, self.limit, self.cost = engine, contract, limit, cost
+        self.words: list[str] = []
+        self.data: list[bytes] = []
+        self.sum = 0
+
+    def add(self, word: str, data: bytes) -> None:
+        if self.words and self.sum + self.cost(len(data)) > self.limit:
+            self.done()
+        self.words.append(word)
+        self.data.append(data)
+        self.sum += self.cost(len(data))
+
+    def done(self) -> None:
+        for word, ids in zip(self.words, self.contract(self.data) if self.words else ()):
+            self.engine.ids[word], self.engine.said[word] = ids, " ".join(map(str, ids))
+        self.words, self.data, self.sum = [], [], 0
+
+
 class Engine:
     """One DuckDB connection with the vocabulary and the merge table; one for each worker process."""
 
     def __init__(self, ranks_path: str):
         import duckdb
+        import numpy as np
         import pyarrow as pa
 
         with open(ranks_path, "rb") as lines:
@@ -119,6 +142,7 @@ class Engine:
                     merged.append(rank)
         self.fill("vocabulary", {"tok": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])})
         self.fill("merges", {"pair": pa.array([a << 20 | b for a, b in zip(left, right)], pa.int64()), "merged": pa.array(merged, pa.int32())})
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.ready_for_long = False
         self.ids: dict[str, list[int]] = {}
         self.said: dict[str, str] = {}
@@ -130,61 +154,70 @@ class Engine:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def mark_early(self) -> None:
-        """Adds `early` to the merges.
-
-        A pair (x, t) of a rank below t's can stand in a word only if its token is not what its
-        own bytes contract to: what stands at a token's borders was never merged across them.
-        """
-        self.fill("odd", {"merged": [rank for (_, rank), ids in zip(self.ranks.items(), self.contracted(list(self.ranks))) if ids != [rank]] or [-1]})
-        self.con.execute("""CREATE TABLE merges_long AS SELECT m.*, m.merged IN (
-            SELECT unnest([p.pair >> 20, p.pair & 1048575]) FROM merges p SEMI JOIN odd o ON p.merged = o.merged WHERE greatest(p.pair >> 20, p.pair & 1048575) >= p.merged) AS early
-            FROM merges m""")
+    def prepare_long(self) -> None:
+        """Fills `after` and `before` (see LONG_ROUND)."""
+        heads, tails = [], []
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                for part, byte, found in ((token[:cut], token[cut], heads), (token[-cut:], token[-cut - 1], tails)):
+                    other = self.ranks.get(part)
+                    if other is not None:
+                        found.append((rank, other, byte))
+        for name, found in (("heads", heads), ("tails", tails)):
+            self.fill(name, dict(zip(("tok", "part", "byte"), zip(*found))))
+        self.con.execute("CREATE TABLE after AS SELECT (m.pair >> 20 << 28) + (h.part::BIGINT << 8) + h.byte AS key, min(m.merged) AS least FROM merges m JOIN heads h ON h.tok = m.pair & 1048575 GROUP BY 1")
+        self.con.execute("CREATE TABLE before AS SELECT (t.part::BIGINT << 28) + ((m.pair & 1048575) << 8) + t.byte AS key, min(m.merged) AS least FROM merges m JOIN tails t ON t.tok = m.pair >> 20 GROUP BY 1")
+        self.con.execute("DROP TABLE heads")
+        self.con.execute("DROP TABLE tails")
         self.ready_for_long = True
 
-    def contracted(self, words: list[bytes], query: str = CONTRACT) -> list[list[int]]:
-        """The ids of each word by contraction from its bytes."""
+    def pieces(self, words: list[bytes]):
+        """Arrow table (spot, tok, byte): one row a byte, spot word * 2^32 + place."""
         import numpy as np
         import pyarrow as pa
 
-        one = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         sizes = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.con.register("pieces", pa.table({"spot": (np.repeat(np.arange(len(words), dtype=np.int64), sizes) << 32) + place, "tok": one[data]}))
-        got = self.con.execute(query).fetchall()
+        return pa.table({"spot": (np.repeat(np.arange(len(words), dtype=np.int64), sizes) << 32) + place, "tok": self.bytes[data], "byte": data})
+
+    def contracted(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word by contraction from its bytes."""
+        self.con.register("pieces", self.pieces(words))
+        got = self.con.execute(CONTRACT).fetchall()
         self.con.unregister("pieces")
         out: list[list[int]] = [[] for _ in words]
         for word, ids in got:
             out[word] = ids
         return out
 
+    def contracted_long(self, words: list[bytes]) -> list[list[int]]:
+        """The same in a table of which only the last round is kept."""
+        import numpy as np
+
+        if not self.ready_for_long:
+            self.prepare_long()
+        self.con.register("pieces", self.pieces(words))
+        self.con.execute("CREATE OR REPLACE TABLE step AS SELECT spot, 1::BIGINT AS len, tok, byte AS first, byte AS last FROM pieces")
+        self.con.unregister("pieces")
+        while self.con.execute(LONG_ROUND).fetchone()[0]:
+            self.con.execute(LONG_STEP)
+        last = self.con.execute("SELECT spot >> 32 AS word, tok FROM step ORDER BY spot").fetchnumpy()
+        ends = np.searchsorted(last["word"], np.arange(len(words) + 1))
+        return [last["tok"][a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
     def learn(self, words: list[str]) -> None:
         """Puts the ids of ``words`` into the cache."""
-        todo, long, held = [], [], 0
+        short, long = Held(self, self.contracted, QUERY_SQUARES, lambda n: n * n), Held(self, self.contracted_long, LONG_BYTES, lambda n: n)
         for word in words:
             data = word.encode()
             whole = self.ranks.get(data)
             if whole is not None:
                 self.ids[word], self.said[word] = [whole], str(whole)
-            elif len(data) > LONG_WORD:
-                long.append((word, data))
             else:
-                todo.append((word, data))
-                held += len(data)
-            if held >= QUERY_BYTES:
-                self.keep(todo, CONTRACT)
-                todo, held = [], 0
-        if todo:
-            self.keep(todo, CONTRACT)
-        if long:
-            if not self.ready_for_long:
-                self.mark_early()
-            self.keep(long, CONTRACT_LONG)
-
-    def keep(self, todo: list[tuple[str, bytes]], query: str) -> None:
-        for (word, _), ids in zip(todo, self.contracted([d for _, d in todo], query)):
-            self.ids[word], self.said[word] = ids, " ".join(map(str, ids))
+                (long if len(data) > LONG_WORD else short).add(word, data)
+        short.done()
+        long.done()
 
     def encode(self, words):
         """words: Arrow list<string>, the words of each text.  Ids of all texts in a row, their number by text, and the written ids by text."""
