@@ -282,12 +282,13 @@ def chunks(words) -> Iterator[tuple[int, int]]:
         yield int(first), int(last - first)
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True, keep: list[str] = ()) -> DataFrame:
     """Per row of ``docs``: the id, n_tokens, ids_sha256, decoded_sha256, and on demand the ids and the decoded bytes.
 
     Null text counts as empty: no tokens, the digests of nothing.  No special tokens; their
     strings are ordinary text.  Repeated rows give repeated rows; an empty table gives none.
-    Other columns are not read.  Texts are cut into words by Spark's own regular expressions
+    Of other columns those named in ``keep`` follow; they may not be called like the ones made here.
+    Texts are cut into words by Spark's own regular expressions
     (``(?U)`` gives \\s its Unicode meaning).  A decoded text that differs from its words fails
     the job.  A lost executor costs its partitions only, for there is no state beyond the cache.
     """
@@ -296,9 +297,10 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     fields = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
     fields += [("ids", "array<int>", pa.list_(pa.int32()))] * ids + [("decoded", "binary", pa.binary())] * decoded
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    picked = docs.select(docs[id_col].cast("long").alias(id_col), F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
-    schema = f"`{id_col}` long, " + ", ".join(f"{n} {t}" for n, t, _ in fields)
-    arrow = pa.schema([(id_col, pa.int64()), *[(n, t) for n, _, t in fields]])
+    kept = [f for f in docs.schema.fields if f.name in keep]
+    picked = docs.select(docs[id_col].cast("long").alias(id_col), *[F.col(f"`{f.name}`") for f in kept], F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)).alias("words"))
+    schema = f"`{id_col}` long, " + ", ".join([*[f"{n} {t}" for n, t, _ in fields], *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept]])
+    names = [id_col, *[n for n, _, _ in fields], *[f.name for f in kept]]
 
     def run(batches):
         import numpy as np
@@ -306,7 +308,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
         own = engine(ranks_path)
         for batch in batches:
-            keys, all_words = batch.column(0), batch.column(1)
+            keys, all_words = batch.column(0), batch.column(len(kept) + 1)
             for first, number in chunks(all_words) if len(keys) else ():
                 words = all_words.slice(first, number)
                 flat, counts, written = own.encode(words)
@@ -317,6 +319,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                            pa.array([hashlib.sha256(w.as_buffer()).hexdigest() for w in written]), pa.array(digests)]
                 columns += [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))] * ids
                 columns += [pa.array(data, pa.binary())] * decoded
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                columns += [batch.column(1 + i).slice(first, number) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return text_batches(picked).mapInArrow(run, schema)

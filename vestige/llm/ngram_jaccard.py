@@ -390,11 +390,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near duplicates: of each component the document of the smallest id stays, once; texts without words all stay.
 
-    Rows of one id, null ids too, that are in different components stay one for each.
+    Rows of one id, null ids too, that are in different components stay one for each; of rows that
+    are equal in id and text one stays.  Texts of any length are compared whole.  All columns are
+    returned as they are, whatever they are called.
     """
     found = near_duplicates(docs, id_col, text_col)
     keep = found.where("class is null or (doc_id <=> first.doc_id and class = first.class)").select(F.col("doc_id").alias("k_"), F.col("th").alias("t_"), F.col("class").alias("c_")).distinct()
-    rows = docs.withColumn("h_", F.xxhash64(F.col(text_col)))
-    met = rows.join(keep, rows[id_col].eqNullSafe(keep["k_"]) & (rows["h_"] == keep["t_"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id_"), F.xxhash64(F.col(f"`{text_col}`")).alias("h_"))
+    met = rows.join(keep, rows["id_"].eqNullSafe(keep["k_"]) & (rows["h_"] == keep["t_"]))
     single = met.where("c_ is not null").dropDuplicates(["k_", "c_"])  # of a component one class stays
-    return single.unionByName(met.where("c_ is null")).select(*docs.columns)
+    return single.unionByName(met.where("c_ is null")).select("row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestige.llm.common import land, with_columns
+from vestige.llm.common import land
 
 # Fixed numbers of coarse buckets; the tables of bucket counts have this many rows per group at most.
 SOURCE_BUCKETS = 4096
@@ -56,10 +56,9 @@ def interleave(rows: DataFrame, n_shards: int, source: Column, tie: list[Column]
     spread = spread.withColumn("part_bucket", F.least(F.floor(F.col("part") * FRACTION_BUCKETS), F.lit(FRACTION_BUCKETS - 1)).cast("int"))
     placed = positions(spread, [], "part_bucket", ["part", "stratum", "draw"])
     shard = F.expr(f"cast((before * {n_shards}L) div total as int)")
-    placed = placed.withColumn("shard_", shard)
-    slot = F.expr(f"before - (shard_ * total + {n_shards - 1}L) div {n_shards}L")
-    return with_columns(placed.select("row.*", F.col("shard_"), slot.alias("slot_")),
-                        shard=F.col("shard_"), slot=F.col("slot_").cast("long")).drop("shard_", "slot_")
+    slot = F.expr(f"before - (shard * total + {n_shards - 1}L) div {n_shards}L").cast("long")
+    kept = [F.col("row").getField(c).alias(c) for c in rows.columns if c.lower() not in ("shard", "slot")]
+    return placed.withColumn("shard", shard).select(*kept, "shard", slot.alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 17) -> DataFrame:
