@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +10,14 @@ from vestige.llm.common import land, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that could be told; those without a letter go."""
+    """Documents of a language that could be told; those without a letter go.
+
+    All stay where no document has a language to learn from.  Null texts have no letter; repeated
+    rows and columns of any name stay as they are; texts are read whole.
+    """
     known = langid.profiles(docs, ~langid.held_out(4, 2))
+    if not known:
+        return docs
     keep = [c for c in docs.columns if c != "doc_id"]
     plain = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"{c}_kept") for c in keep])
     found = langid.identify(plain, known, keep=[f"{c}_kept" for c in keep]).where(F.col("lang_pred") != langid.UNDETERMINED)
@@ -27,17 +32,23 @@ def by_line(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays; see keep_one."""
     return ngram_jaccard.keep_one(docs)
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; null and empty texts, repeated rows and columns of any name stay."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("k_"), F.col("th").alias("t_")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["k_"]) & (F.xxhash64(docs["text"]) == found["t_"]), "left_anti")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=False)
+    """Token ids and digests of whole texts, with the documents' other columns; null texts have no tokens."""
+    import public_tokenizers
+
+    made = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    keep = [c for c in docs.columns if c not in ("doc_id", "text") and c.lower() not in made]
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=False, keep=keep)
 
 
 STAGES = [("language ID", by_language), ("line dedup", by_line), ("n-gram Jaccard join", by_copy), ("benchmark decontamination", by_benchmark), ("byte-level BPE", to_tokens)]
