@@ -10,7 +10,7 @@ goes if it equals, or is similar to, an earlier line: one with a smaller (docume
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestige.llm.common import land, lower_ascii, once
@@ -39,19 +39,18 @@ def word_hashes(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Array literal: log2 of the number of words in each hashed bucket, over all texts.
+    """log2 of the number of words in each hashed bucket, over all texts: one array, as a scalar subquery.
 
-    A fixed number of buckets; they come to the driver as 1024 strings of digits and commas.
+    A fixed number of buckets, landed as one row.  A literal would stand in every plan the driver keeps.
     """
     spark, size = docs.sparkSession, 1 << RARITY_BITS
     words = docs.select(F.explode(F.split(lower_ascii(F.col("text_")), BLANKS)).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(size - 1)).alias("bucket")).count()
-    counts = counts.select("bucket", F.floor(F.log2("count")).cast("int").alias("level")).unionByName(spark.range(size).select(F.col("id").alias("bucket"), F.lit(0).alias("level")))
+    counts = counts.select("bucket", F.floor(F.log2("count")).cast("tinyint").alias("level")).unionByName(spark.range(size).select(F.col("id").alias("bucket"), F.lit(0).cast("tinyint").alias("level")))
     levels = counts.groupBy("bucket").agg(F.max("level").alias("level"))
     parts = levels.groupBy(F.shiftright("bucket", RARITY_BITS - 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("bucket", "level"))).alias("l"))
-    rows = parts.select("part", F.array_join(F.transform("l", lambda x: x["level"].cast("string")), ",").alias("text"))
-    rows = land(rows).collect()  # landed, so that its shuffle files go
-    return F.from_json(F.lit("[" + ",".join(r["text"] for r in sorted(rows, key=lambda r: r["part"])) + "]"), "array<tinyint>")
+    whole = land(parts.select("part", F.transform("l", lambda x: x["level"]).alias("l"))).agg(F.array_sort(F.collect_list(F.struct("part", "l"))).alias("p"))
+    return land(whole.select(F.flatten(F.transform("p", lambda x: x["l"])).alias("levels"))).scalar()
 
 
 def similar(a: str, b: str, threshold: float) -> Column:
@@ -71,8 +70,9 @@ def sketched(lines: DataFrame, rare: Column, threshold: float, least: int) -> Da
     The prefix holds 31 bits of the hash of each of the first words in order of rarity; words
     that those bits confuse only bring pairs that fail later.
     """
-    sets = once(lines, set_=word_hashes(F.col("line"))).where(F.size("set_") >= least)
-    level = lambda h: F.get(rare, h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")).cast("long")
+    # Subqueries may not stand in a lambda, but a column that does may be one; it is used once, so it is merged in.
+    sets = once(lines, set_=word_hashes(F.col("line"))).where(F.size("set_") >= least).withColumn("levels_", rare)
+    level = lambda h: F.get("levels_", h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")).cast("long")
     ordered = F.sort_array(F.transform("set_", lambda h: F.shiftleft(level(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
     first = F.slice(ordered, F.lit(1), F.size("set_") - ceil_share(threshold, F.size("set_")) + 1)
     return sets.select(*[c for c in lines.columns if c != "line"], F.size("set_").alias("n"), bits(F.filter("set_", lambda h: h < 0)).alias("map0"), bits(F.filter("set_", lambda h: h >= 0)).alias("map1"),
