@@ -64,8 +64,9 @@ def test_tool_calls_open_and_close(spark):
     assert p[3] == ("sess_0", "", "") and p[2] == ("sess_0", server, "")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_nearest_matching_equals_sequential_greedy(spark, seed):
+@pytest.mark.parametrize("seed,fold", [(1, 200), (2, 200), (1, 3), (2, 0)])
+def test_nearest_matching_equals_sequential_greedy(spark, monkeypatch, seed, fold):
+    monkeypatch.setattr(matching, "FOLD_ROWS", fold)
     rng = random.Random(seed)
     names = [["a"], ["b"], ["a", "b"], ["c"]]
     hosts = [(i, rng.randrange(0, 900), i, rng.choice(names)) for i in range(30)]
@@ -234,3 +235,20 @@ def test_consecutive_windows_without_a_shared_key(spark, monkeypatch):
             if both:
                 want[g] = (len(both), sum(not a & b for a, b in both))
         assert got == want
+
+
+def test_reachable_over_chains_and_shared_children(spark):
+    rng = random.Random(11)
+    edges = {("t", i, i + 1) for i in range(3000)} | {("t", 3000 + rng.randrange(60), 3000 + rng.randrange(60)) for _ in range(90)} | {("t", 500, 3010), ("t", 3010, 20), ("u", 1, 2), ("u", 2, 1), ("u", 5, 5)}
+    roots = {("t", 3), ("t", 3005), ("u", 2), ("u", 5)}
+    want, frontier, depth = {r: 0 for r in roots}, set(roots), 0
+    down = {}
+    for g, a, b in edges:
+        down.setdefault((g, a), set()).add((g, b))
+    while frontier:
+        depth += 1
+        frontier = {n for f in frontier for n in down.get(f, ())} - set(want)
+        want.update({n: depth for n in frontier})
+    e = spark.createDataFrame(sorted(edges), "trace_id string, parent int, child int")
+    r = spark.createDataFrame(sorted(roots), "trace_id string, node int")
+    assert {(x.trace_id, x.node): x.depth for x in graph.reachable(e, r).collect()} == want

@@ -46,8 +46,9 @@ def first_quoted(args: Column) -> Column:
 
 
 def argv_list(args: Column) -> Column:
-    """The bracketed word list of an execve."""
-    inside = F.regexp_extract(args, r"\[(.*?)\](?=,|$)", 1)
+    """The bracketed word list of an execve; brackets inside quotes are text."""
+    quoted = r'"(?:[^"\\]++|\\.)*+"'
+    inside = F.regexp_extract(args, rf'^(?:{quoted}|[^"\[]++)*+\[((?:{quoted}|[^"\]]++)*+)\]', 1)
     words = F.regexp_extract_all(inside, F.lit(_QUOTED), F.lit(1))
     return F.when(inside.contains("\\"), F.transform(words, unescape)).otherwise(words)
 

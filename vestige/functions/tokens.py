@@ -11,10 +11,10 @@ IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|0?\d?\d|00\d)\.){3}(?:25[0-5]|2[0-4]\d|1\
 HOSTNAME = r"^[a-zA-Z0-9]((?U)[\w.\-]{0,251}[\w])?$"
 SHELL_SIGNS = r"[|;><`]|&&|\$\(|\\n"
 SHELL_WORDS = (
-    "ls cat cp mv rm touch echo find grep awk sed curl wget nc bash sh chmod chown mkdir "
-    "rmdir tar gzip kubectl docker git"
-).split()
-SHELL_START = r"^(?:" + "|".join(SHELL_WORDS) + r"|python\d?)\s"
+    "ls", "cat", "cp", "mv", "rm", "touch", "echo", "find", "grep", "awk", "sed", "curl", "wget", "nc", r"python\d?",
+    "bash", "sh", "chmod", "chown", "mkdir", "rmdir", "tar", "gzip", "kubectl", "docker", "git",
+)
+SHELL_START = r"^(?:" + "|".join(SHELL_WORDS) + r")\s"
 
 
 def like_path(token: Column) -> Column:

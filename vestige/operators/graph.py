@@ -177,22 +177,34 @@ def descendants(parents: DataFrame, roots: DataFrame, by: tuple[str, ...] = ("tr
 
 
 def reachable(edges: DataFrame, roots: DataFrame, by: tuple[str, ...] = ("trace_id",)) -> DataFrame:
-    """Nodes reachable over edges that may give a node several parents (breadth first)."""
+    """Nodes reachable over edges that may give a node several parents: (by.., node, depth), the fewest steps.
+
+    A node with one parent can be reached through that parent only, so chains and trees of such
+    nodes are condensed by pointer doubling to the nearest root or node of several parents above
+    them.  Shortest paths are then relaxed among those few, from the nodes that came nearer in
+    the last round only.
+    """
     by = list(by)
-    seen = settle(roots.select(*by, "node", F.lit(0).cast("bigint").alias("depth")).dropDuplicates([*by, "node"]))
-    frontier, depth = seen, 0
+    e = settle(edges.filter("parent <> child").select(*by, "parent", "child").distinct())
+    start = settle(roots.select(*by, "node").distinct())
+    met = e.groupBy(*by, F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("__n"))
+    marked = settle(start.unionByName(met.filter("__n > 1").select(*by, "node")).distinct())
+    only = e.join(marked.withColumnRenamed("node", "child"), [*by, "child"], "left_anti")
+    above = settle(nearest_marked(only, marked, by=tuple(by)).filter("found IS NOT NULL"))
+    # From what a chain hangs on to the nodes of several parents that its members lead to.
+    into = lookup(e.join(marked.withColumnRenamed("node", "child"), [*by, "child"], "left_semi").withColumnRenamed("parent", "node"), above, [*by, "node"], "inner")
+    links = settle(into.groupBy(*by, F.col("found").alias("node"), "child").agg((F.min("hops") + 1).alias("step")))
+    nearest = settle(start.withColumn("depth", F.lit(0).cast("bigint")))
+    frontier = nearest
     while True:
-        depth += 1
-        step = lookup(
-            edges.select(*by, F.col("parent").alias("node"), "child"), frontier.select(*by, "node"), [*by, "node"], "inner"
-        ).select(*by, F.col("child").alias("node")).distinct()
-        fresh = settle(
-            step.join(seen, [*by, "node"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
-        )
-        if fresh.isEmpty():
-            return seen
-        seen = settle(seen.unionByName(fresh))
-        frontier = fresh
+        step = lookup(links, frontier, [*by, "node"], "inner").groupBy(*by, F.col("child").alias("node")).agg(F.min(F.col("depth") + F.col("step")).alias("depth"))
+        known = nearest.withColumnRenamed("depth", "__had")
+        frontier = settle(step.join(known, [*by, "node"], "left").filter("__had IS NULL OR depth < __had").drop("__had"))
+        if frontier.isEmpty():
+            break
+        nearest = settle(nearest.join(frontier.select(*by, "node"), [*by, "node"], "left_anti").unionByName(frontier))
+    told = lookup(above, nearest.withColumnRenamed("node", "found"), [*by, "found"], "inner")
+    return told.select(*by, "node", (F.col("depth") + F.col("hops")).alias("depth"))
 
 
 def adopted(forks: DataFrame, roots: DataFrame, by: tuple[str, ...] = ("trace_id",)) -> DataFrame:

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vestige.operators.segments import first_rows
+from vestige.operators.segments import first_rows, scan_last, scan_sums
 from vestige.operators.timejoin import asof
 from vestige.session import settle
 
 
+#: Rows of a cluster that is walked in order.
+FOLD_ROWS = 200
+
+
 def greedy_pairs(pairs: DataFrame, by: list[str], left: str, right: str, order: list) -> DataFrame:
     """The greedy 1:1 choice over ``pairs`` sorted by ``order`` (a total order per group).
 
@@ -33,6 +37,28 @@ def greedy_pairs(pairs: DataFrame, by: list[str], left: str, right: str, order:
     return pairs.limit(0) if taken is None else taken
 
 
+def _fold(cluster: DataFrame, by: list[str], host_id: str, mark_id: str, tol_ns: int) -> DataFrame:
+    """The sequential choice inside each (by.., __cluster), over its sorted hosts and its marks."""
+    made = cluster.groupBy(*by, "__cluster").agg(
+        F.array_sort(F.collect_list(F.when(F.col("__is_host"), F.struct("ts", "seq", F.col(host_id).alias("id"), "keys")))).alias("hosts"),
+        F.array_sort(F.collect_list(F.when(~F.col("__is_host"), F.struct("ts", "seq", F.col(mark_id).alias("id"), "keys")))).alias("marks"),
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in cluster.schema.fields}
+    out = f"array<struct<host:{kinds[host_id]},mark:{kinds[mark_id]},gap:bigint,ts_ns:bigint,m_ts:bigint>>"
+    state = f"struct<free:{made.schema['marks'].dataType.simpleString()},taken:{out}>"
+    fits = lambda h, m: (F.abs(m.ts - h.ts) <= tol_ns) & F.coalesce(F.arrays_overlap(h["keys"], m["keys"]), F.lit(False))
+
+    def choose(acc, h):
+        near = F.array_min(F.transform(F.filter(acc.free, lambda m: fits(h, m)), lambda m: F.struct(F.abs(m.ts - h.ts).alias("gap"), m.ts.alias("ts"), m.seq.alias("seq"), m.id.alias("id"))))
+        pair = F.struct(h.id.alias("host"), near.id.alias("mark"), near.gap.alias("gap"), h.ts.alias("ts_ns"), near.ts.alias("m_ts"))
+        after = F.struct(F.filter(acc.free, lambda m: m.id != near.id).alias("free"), F.concat(acc.taken, F.array(pair)).alias("taken"))
+        return F.when(near.isNull(), acc).otherwise(after.cast(state))
+
+    none = F.struct(F.col("marks").alias("free"), F.array().cast(out).alias("taken")).cast(state)
+    chosen = made.select(*by, F.explode(F.aggregate("hosts", none, choose, lambda acc: acc.taken)).alias("x"))
+    return chosen.select(*by, F.col("x.host").alias(host_id), F.col("x.mark").alias(mark_id), "x.gap", "x.ts_ns", "x.m_ts")
+
+
 def nearest_one_to_one(
     hosts: DataFrame,
     marks: DataFrame,
@@ -50,7 +76,10 @@ def nearest_one_to_one(
     ``host_keys`` / ``mark_keys`` are array columns; ends must share a key.  Both sides
     have ``ts_ns`` and ``seq``.  Ties go to the earlier mark.
 
-    Each round every open host names its nearest free mark (two as-of lookups, no
+    Hosts and marks that a gap of more than ``tol_ns`` parts cannot meet, so both sides fall into
+    independent clusters.  Clusters of up to FOLD_ROWS rows are walked in order, all at once.
+
+    In the others, each round every open host names its nearest free mark (two as-of lookups, no
     candidate pairs).  A naming is final if no earlier open host lies within reach of
     that mark, since then nobody ahead of the host can take it.  Hosts that name nothing
     are out for good, because marks only get scarcer.
@@ -58,11 +87,23 @@ def nearest_one_to_one(
     one = F.array(F.lit(""))
     h_keys = F.array_distinct(F.col(host_keys)) if host_keys else one
     m_keys = F.array_distinct(F.col(mark_keys)) if mark_keys else one
-    open_hosts = settle(hosts.select(*by, host_id, "ts_ns", "seq", h_keys.alias("__keys")))
-    free = settle(
-        marks.select(*by, mark_id, F.col("ts_ns").alias("m_ts"), F.col("seq").alias("m_seq"), m_keys.alias("__keys"))
-    )
-    done = None
+    text = "array<string>"
+    both = hosts.select(*by, F.lit(True).alias("__is_host"), F.col(host_id), F.col("ts_ns").cast("bigint").alias("ts"), F.col("seq").cast("bigint").alias("seq"), h_keys.cast(text).alias("keys")).unionByName(
+        marks.select(*by, F.lit(False).alias("__is_host"), F.col(mark_id), F.col("ts_ns").cast("bigint").alias("ts"), F.col("seq").cast("bigint").alias("seq"), m_keys.cast(text).alias("keys")),
+        allowMissingColumns=True)
+    seen = settle(scan_last(both, by, ["ts", "seq"], F.col("ts"), "__before", large=large))
+    opens = F.when(F.col("ts") - F.col("__before") > tol_ns, 1).otherwise(0)
+    # Of rows of one instant the one that opens a cluster comes first.
+    seen = seen.withColumn("__follows", 1 - opens)
+    clustered = settle(scan_sums(seen, by, ["ts", "__follows"], {"__cluster": opens}, large=large).drop("__before", "__follows"))
+    sizes = clustered.groupBy(*by, "__cluster").agg(F.count(F.lit(1)).alias("__rows"))
+    big = settle(sizes.filter(F.col("__rows") > FOLD_ROWS).drop("__rows"))
+    done = settle(_fold(clustered.join(big, [*by, "__cluster"], "left_anti"), by, host_id, mark_id, tol_ns))
+    rest = settle(clustered.join(big, [*by, "__cluster"], "left_semi"))
+    if rest.isEmpty():
+        return done
+    open_hosts = settle(rest.filter("__is_host").select(*by, host_id, F.col("ts").alias("ts_ns"), "seq", F.col("keys").alias("__keys")))
+    free = settle(rest.filter("NOT __is_host").select(*by, mark_id, F.col("ts").alias("m_ts"), F.col("seq").alias("m_seq"), F.col("keys").alias("__keys")))
     while True:
         h = open_hosts.withColumn("__key", F.explode("__keys"))
         m = free.withColumn("__key", F.explode("__keys")).withColumn("__back", -F.col("m_seq"))
@@ -97,9 +138,7 @@ def nearest_one_to_one(
             .filter(F.col(f"front.{host_id}") == F.col(host_id))
             .select(*by, host_id, mark_id, "gap", "ts_ns", "m_ts")
         )
-        done = final if done is None else done.unionByName(final)
+        done = done.unionByName(final)
         open_hosts = settle(still.join(final.select(*by, host_id), [*by, host_id], "left_anti"))
         free = settle(free.join(final.select(*by, mark_id), [*by, mark_id], "left_anti"))
-    if done is None:
-        return named.select(*by, host_id, mark_id, "gap", "ts_ns", "m_ts")
     return done

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vestige.operators.matching import greedy_pairs
-from vestige.operators.segments import ordinal
 from vestige.session import settle
 
 
@@ -192,7 +191,3 @@ def top_counts(df: DataFrame, key: str, k: int, by: list[str] | None = None) ->
         w = Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col(key))
         return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return counted.orderBy(F.col("n").desc(), F.col(key)).limit(k)
-
-
-def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
-    return ordinal(df, by, order, out)

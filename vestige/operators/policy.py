@@ -180,9 +180,6 @@ def match_signatures(events: DataFrame, predicates: DataFrame, key: str) -> Data
     return first_rows(hits, [key, "trace_id", "seq"], [F.col("place")])
 
 
-SENTINEL_FIELDS = "role syscall path_exact path_contains argv_contains requires_write_intent".split()
-
-
 def sentinel_predicates(sessions: DataFrame, key: str, sentinels: str = "session_sentinels") -> DataFrame:
     """Up to eight predicates per session, in a fixed order, for its non-empty sentinels."""
     def field(name):

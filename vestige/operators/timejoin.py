@@ -161,6 +161,21 @@ def window_totals(
     return per_window
 
 
+def islands(events: DataFrame, by: Sequence[str], clock: str, gap: int) -> DataFrame:
+    """Bursts of activity: (by.., start, end, n); an event more than ``gap`` after the last one starts a new burst.
+
+    ``end`` is the last event's time plus ``gap``, as a session window of a stream has it.
+    """
+    timed = events.select(*by, F.col(clock).cast("bigint").alias("__t"))
+    seen = settle(scan_last(timed, by, ["__t"], F.col("__t"), "__before"))
+    opens = F.when(F.col("__before").isNull() | (F.col("__t") - F.col("__before") > gap), 1).otherwise(0)
+    # Of events of one instant the one that opens a burst comes first.
+    numbered = scan_sums(seen.withColumn("__follows", 1 - opens), by, ["__t", "__follows"], {"__island": opens})
+    return numbered.groupBy(*by, "__island").agg(
+        F.min("__t").alias("start"), (F.max("__t") + gap).alias("end"), F.count(F.lit(1)).alias("n")
+    ).drop("__island")
+
+
 def distinct_inside(
     events: DataFrame, windows: DataFrame, by: Sequence[str], clock: str, lo: str, hi: str, ident: str, key: str, out: str
 ) -> DataFrame:

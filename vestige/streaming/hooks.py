@@ -35,3 +35,14 @@ def event_rates(events: DataFrame, late: str = "1 minute", window: str = "1 minu
     timed = events.withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("bigint")))
     once = timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["trace_id", "seq"])
     return once.groupBy(F.window("event_time", window), "trace_id", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+def activity_bursts(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Bursts of activity per trace and pid (start, end, n), each told when the watermark has passed its end.
+
+    The same bursts as ``timejoin.islands`` finds over the whole table, as long as no event is
+    later than ``late``; state is one row for each open burst.
+    """
+    timed = events.withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("bigint")))
+    spans = timed.withWatermark("event_time", late).groupBy(F.session_window("event_time", gap).alias("w"), "trace_id", "pid").agg(F.count(F.lit(1)).alias("n"))
+    return spans.select("trace_id", "pid", (F.unix_micros("w.start") * 1000).alias("start"), (F.unix_micros("w.end") * 1000).alias("end"), "n")

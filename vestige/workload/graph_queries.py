@@ -240,6 +240,49 @@ def graph_call_activity(spark, sf):
     return analyst.call_activity(graph_tables.build(settle(v.host(spark, sf))))
 
 
+@query(
+    "graph_bindings",
+    o.with_views(o.STATES, """SELECT trace_id, pid, 'session' AS level, session_id AS id, bound_ns AS bound_at_ts_ns FROM in_session
+  UNION ALL SELECT s.trace_id, s.pid, 'mcp', m.mcp_id, min(s.ts_ns) FROM states s JOIN mcps m ON m.trace_id = s.trace_id AND m.server_key = s.server GROUP BY 1, 2, 3, 4""", recursive=True),
+)
+def graph_bindings(spark, sf):
+    """Every session and server that a process was ever bound to, and since when."""
+    return analyst.bindings(graph_tables.build(settle(v.host(spark, sf))))
+
+
+@query(
+    "graph_call_list",
+    o.with_views(o.ATTRIBUTED, """SELECT c.trace_id, c.tool_call_id, false AS is_builtin, c.ts_ns AS t_open_ns, x.t_close_ns, '' AS iteration_id, c.mcp_id, m.session_id
+  FROM calls c JOIN closes x USING (trace_id, tool_call_id) JOIN mcps m ON m.trace_id = c.trace_id AND m.mcp_id = c.mcp_id""", recursive=True),
+)
+def graph_call_list(spark, sf):
+    """All calls with their server and session."""
+    return analyst.call_list(graph_tables.build(settle(v.host(spark, sf))))
+
+
+@query(
+    "graph_precise_calls",
+    o.with_views(o.ATTRIBUTED, "SELECT trace_id, mcp_id, name, count(*) AS n, min(ts_ns) AS first_ns, count(CASE WHEN t_close_ns < 0 THEN 1 END) AS n_open FROM calls JOIN closes USING (trace_id, tool_call_id) GROUP BY 1, 2, 3", recursive=True),
+)
+def graph_precise_calls(spark, sf):
+    """Calls whose times the sensor saw, per server and tool."""
+    c = analyst.precise_calls(graph_tables.build(settle(v.host(spark, sf))))
+    return c.groupBy("trace_id", "mcp_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min("t_open_ns").alias("first_ns"), F.count_if(F.col("t_close_ns") < 0).alias("n_open"))
+
+
+@query(
+    "graph_session_subgraph",
+    o.with_views(o.ATTRIBUTED + ", " + o.FILES.split("FROM ev)", 1)[1].lstrip(", "), """, mine AS (SELECT DISTINCT pid FROM in_session WHERE trace_id = 't1' AND session_id = 'sess_0')
+  SELECT 'has_mcp' AS relation, session_id AS source, mcp_id AS target FROM mcps WHERE trace_id = 't1' AND session_id = 'sess_0'
+  UNION ALL SELECT 'has_tool_call', c.mcp_id, c.tool_call_id FROM calls c JOIN mcps m ON m.trace_id = c.trace_id AND m.mcp_id = c.mcp_id WHERE c.trace_id = 't1' AND m.session_id = 'sess_0'
+  UNION ALL SELECT 'member_of_session', CAST(pid AS VARCHAR), 'sess_0' FROM mine
+  UNION ALL SELECT DISTINCT op, CAST(pid AS VARCHAR), path FROM files SEMI JOIN mine USING (pid) WHERE trace_id = 't1' AND op IN ('read', 'write')""", recursive=True),
+)
+def graph_session_subgraph(spark, sf):
+    """All edges around the first session of one trace."""
+    return analyst.session_subgraph(graph_tables.build(settle(v.host(spark, sf))), "t1", "sess_0")
+
+
 @query(
     "graph_orphans_and_cohesion",
     o.with_views(o.STATES + ", " + o.FILES.split("FROM ev)", 1)[1].lstrip(", "), """, seen AS (SELECT trace_id, pid FROM host UNION SELECT trace_id, unnest([parent, child]) FROM forks)

@@ -222,3 +222,14 @@ def exact_percentiles(spark, sf):
         "p50_count": metrics.percentile_of_count(0.5), "p95_count": metrics.percentile_of_count(0.95),
     }
     return metrics.exact_ranks(v.ev(spark, sf), ["event_type"], "k", picks)
+
+
+@query(
+    "activity_islands",
+    o.with_views(o.EV + ", ", """b AS (SELECT trace_id, pid, ts_ns, lag(ts_ns) OVER (PARTITION BY trace_id, pid ORDER BY ts_ns) AS before FROM ev),
+  i AS (SELECT *, sum(CASE WHEN before IS NULL OR ts_ns - before > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, pid ORDER BY ts_ns ROWS UNBOUNDED PRECEDING) AS island FROM b)
+  SELECT trace_id, pid, min(ts_ns) AS "start", max(ts_ns) + 3600000000 AS "end", count(*) AS n FROM i GROUP BY trace_id, pid, island"""),
+)
+def activity_islands(spark, sf):
+    """Bursts of each user's events with at most an hour between two."""
+    return timejoin.islands(v.ev(spark, sf), ["trace_id", "pid"], "ts_ns", 3_600_000_000)
