@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vestige.session import settle
+
 
 def cohesion(touches: DataFrame, members: DataFrame, exempt: DataFrame, by: list[str], threshold: float = 0.10) -> DataFrame:
     """Score per (session, pid) not exempt: targets also touched by another member of the
@@ -16,13 +18,17 @@ def cohesion(touches: DataFrame, members: DataFrame, exempt: DataFrame, by: list
     members pairwise.  All scores use the memberships before any demotion.
     """
     s = [*by, "session_id"]
-    own = touches.select(*by, "pid", "target").distinct().join(members.select(*s, "pid").distinct(), [*by, "pid"])
-    shared = own.groupBy(*s, "target").agg(F.count(F.lit(1)).alias("n_pids")).filter("n_pids > 1").drop("n_pids")
-    marked = own.join(shared.withColumn("shared", F.lit(1)), [*s, "target"], "left")
-    score = marked.groupBy(*s, "pid").agg(
-        F.count(F.lit(1)).alias("n_targets"), F.count("shared").alias("n_shared")
+    member = settle(members.select(*s, "pid").distinct())
+    own = settle(touches.select(*by, "pid", "target").distinct().join(member, [*by, "pid"]))
+    # A target that one member touched is alone: it takes one from the shared ones of that member,
+    # so the touches need not be joined to the shared targets.  A null target is never shared.
+    alone = own.filter("target IS NOT NULL").groupBy(*s, "target").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("pid")).filter("n = 1")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    marked = own.select(*s, "pid", one.alias("t"), F.when(F.col("target").isNull(), none).otherwise(one).alias("k")).unionByName(
+        alone.select(*s, "pid", none.alias("t"), (-one).alias("k"))
     )
-    cand = members.select(*s, "pid").distinct().join(exempt.select(*s, "pid"), [*s, "pid"], "left_anti")
+    score = marked.groupBy(*s, "pid").agg(F.sum("t").alias("n_targets"), F.sum("k").alias("n_shared"))
+    cand = member.join(exempt.select(*s, "pid"), [*s, "pid"], "left_anti")
     return cand.join(score, [*s, "pid"], "left").withColumn(
         "score", F.try_divide(F.col("n_shared").cast("double"), F.col("n_targets"))
     ).withColumn("demoted", F.coalesce(F.col("score") < threshold, F.lit(False)))

@@ -428,7 +428,8 @@ def orphan_processes(spark, sf):
 )
 def cohesion_scores(spark, sf):
     """Overlap of each supplier's parts with the rest of the customer's parts."""
-    t = v.touches(spark, sf)
+    # Landed: touches, members and exempt ones all come from this join.
+    t = settle(v.touches(spark, sf).select("o_custkey", "l_suppkey", "l_partkey"))
     one = F.lit("t").alias("trace_id")
     # A supplier acts once per customer here, so its touches are keyed by both.
     pid = F.struct(F.col("o_custkey").alias("session"), F.col("l_suppkey").alias("pid"))
