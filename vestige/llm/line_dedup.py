@@ -24,8 +24,8 @@ LEAST_WORDS, EVERY_LINE = 5, 1
 RARITY_BITS = 20
 #: Line hashes that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Prefix words by which a line looks for the earliest line that may settle it; the rest of the search is whole.
-LEAD_WORDS = 3
+#: Earliest lines of a key that are tried with a line which the first one did not settle, at most.
+LEAD_BUCKETS = 64
 
 
 def ceil_share(threshold: float, n: Column) -> Column:
@@ -65,18 +65,18 @@ def bits(hashes: Column) -> Column:
 
 
 def sketched(lines: DataFrame, rare: Column, threshold: float, least: int) -> DataFrame:
-    """``lines`` without the text, with n (different words), map0 and map1 (a bitmap of 128 bits) and prefix.
+    """``lines`` without the text, with n (different words), map0 and map1 (a bitmap of 128 bits), prefix and leads.
 
     The prefix holds 31 bits of the hash of each of the first words in order of rarity; words
     that those bits confuse only bring pairs that fail later.
     """
     # Subqueries may not stand in a lambda, but a column that does may be one; it is used once, so it is merged in.
-    sets = once(lines, set_=word_hashes(F.col("line"))).where(F.size("set_") >= least).withColumn("levels_", rare)
+    sets = once(lines, set_=F.sort_array(word_hashes(F.col("line")))).where(F.size("set_") >= least).withColumn("levels_", rare)
     level = lambda h: F.get("levels_", h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")).cast("long")
     ordered = F.sort_array(F.transform("set_", lambda h: F.shiftleft(level(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
     first = F.slice(ordered, F.lit(1), F.size("set_") - ceil_share(threshold, F.size("set_")) + 1)
     return sets.select(*[c for c in lines.columns if c != "line"], F.size("set_").alias("n"), bits(F.filter("set_", lambda h: h < 0)).alias("map0"), bits(F.filter("set_", lambda h: h >= 0)).alias("map1"),
-                       F.transform(first, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"))
+                       F.transform(first, lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"), lead_keys(F.col("set_")).alias("leads"))
 
 
 def could_be(a: str, b: str, threshold: float) -> Column:
@@ -96,15 +96,25 @@ def needed_overlap(n_a: Column, n_b: Column, threshold: float) -> Column:
     return F.floor(((n_a + n_b) * t + 999 + t) / (1000 + t))
 
 
+def lead_keys(ordered: Column) -> Column:
+    """The keys by which a line looks for an earlier line that may settle it: pairs of its least and greatest word hashes.
+
+    Near copies have most of these in common, wherever they differ; unrelated lines seldom have two.
+    """
+    two = lambda i, j: F.xxhash64(F.get(ordered, i), F.get(ordered, j)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    low, second, top, next_ = F.lit(0), F.lit(1), F.size(ordered) - 1, F.size(ordered) - 2
+    return F.array_distinct(F.array(two(low, second), two(next_, top), two(low, top), two(second, next_)))
+
+
 def positioned(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(id, with) of ``pairs`` (id, n, with, m; a row for each prefix word shared) whose positions leave room.
+    """(pos, with) of ``pairs`` (pos, n, with, m; a row for each prefix word shared) whose positions leave room.
 
     Of two lines, the prefix that ends first meets the other line in its prefix only: the overlap
     is at most the prefix words shared and the longer rest.
     """
-    counted = pairs.groupBy("id", "n", "with", "m").agg(F.count(F.lit(1)).alias("shared"))
+    counted = pairs.groupBy("pos", "n", "with", "m").agg(F.count(F.lit(1)).alias("shared"))
     rest = F.greatest(ceil_share(threshold, F.col("n")), ceil_share(threshold, F.col("m"))) - 1
-    return counted.where(F.col("shared") + rest >= needed_overlap(F.col("n"), F.col("m"), threshold)).select("id", "with")
+    return counted.where(F.col("shared") + rest >= needed_overlap(F.col("n"), F.col("m"), threshold)).select("pos", "with")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -119,52 +129,52 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     lines = where_.select("doc_id", "th", F.posexplode(F.split("text_", "\n")).alias("line_no", "line"))
     rare = rarity(where_)
     found = sketched(lines.select(F.xxhash64("line").alias("id"), F.struct("doc_id", "line_no").alias("first"), "line"), rare, threshold, max(least, 1))
-    content = F.struct("n", "map0", "map1", "prefix")
-    distinct = land(found.groupBy("id").agg(F.min("first").alias("first"), F.first(content).alias("c"), F.count(F.lit(1)).alias("times")).select("id", "first", "times", "c.*"))
-    firsts = distinct.select("id", "first")
-    named = (F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("y.id").alias("with"), F.col("y.n").alias("m"))
-
-    def directed(pairs: DataFrame) -> DataFrame:
-        """``pairs`` with later: whether ``with`` comes before ``id`` and may take it out."""
-        met = pairs.join(firsts.alias("a"), pairs["id"] == F.col("a.id")).join(firsts.alias("b"), pairs["with"] == F.col("b.id"))
-        return met.select(pairs["id"], "with", (F.col("b.first") < F.col("a.first")).alias("later"))
+    content = F.struct("n", "map0", "map1", "prefix", "leads")
+    grouped = found.groupBy("id").agg(F.min("first").alias("first"), F.first(content).alias("c"), F.count(F.lit(1)).alias("times")).select("id", "first", "times", "c.*")
+    # Numbered in the order of their first places: of two numbers the smaller one is the earlier line's
+    # (or one in the same place, where rows share an id; that is told apart when pairs are verified).
+    distinct = land(grouped.orderBy("first").withColumn("pos", F.monotonically_increasing_id()))
+    named = (F.col("x.pos").alias("pos"), F.col("x.n").alias("n"), F.col("y.pos").alias("with"), F.col("y.n").alias("m"))
+    # Only an earlier line can take one out; a line is not paired with the later ones.
+    fits = (F.col("y.pos") < F.col("x.pos")) & could_be("x", "y", threshold)
 
     def spread(rows: DataFrame, words: Column) -> DataFrame:
-        return rows.select(F.explode(words).alias("key"), "id", "n", "map0", "map1")
-
-    # First each line against the earliest one that shares one of its last prefix words (the first
-    # ones are where copies differ); a group of near copies is settled by that.  Then the lines
-    # without a match against all others by whole prefixes.
-    last = F.slice("prefix", F.greatest(F.size("prefix") - LEAD_WORDS + 1, F.lit(1)), F.lit(LEAD_WORDS))
-    leads = distinct.select(F.explode(last).alias("key"), F.struct("first", "id", "n", "map0", "map1").alias("y")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("y").alias("y"))
-    tried = spread(distinct, last).alias("x").join(leads.where("rows > 1").select("key", "y"), "key").where((F.col("y.id") != F.col("x.id")) & could_be("x", "y", threshold))
-    settled = verified(directed(tried.select("x.id", F.col("y.id").alias("with")).distinct()).where("later").drop("later"), lines, threshold)
-    open_ = spread(land(distinct.join(settled, "id", "left_anti").drop("first", "times")), F.col("prefix"))
-    shut = spread(distinct.join(settled, "id", "left_semi"), F.col("prefix"))
-    within = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & could_be("x", "y", threshold)).select(*named)
-    across = open_.alias("x").join(shut.alias("y"), (F.col("x.key") == F.col("y.key")) & could_be("x", "y", threshold)).select(*named)
+        return rows.select(F.explode(words).alias("key"), "pos", "n", "map0", "map1")
+
+    # First each line against the earliest one of each of its lead keys; then those still without a
+    # match against the earliest one of each of a key's buckets: of a large group of near copies few
+    # are left.  Then the lines without a match against all earlier ones by whole prefixes.
+    settled, left = None, distinct
+    for buckets in (1, LEAD_BUCKETS):
+        of_key = distinct.select(F.explode("leads").alias("key"), F.struct("pos", "n", "map0", "map1").alias("y")).groupBy("key", F.pmod(F.xxhash64("y.pos"), F.lit(buckets)).alias("bucket")).agg(F.min("y").alias("y"))
+        tried = spread(left, F.col("leads")).alias("x").join(of_key.select("key", "y"), "key").where(fits)
+        found_ = verified(tried.select("x.pos", F.col("y.pos").alias("with")).distinct(), lines, distinct, threshold)
+        settled = found_ if settled is None else settled.unionByName(found_)
+        left = land(left.join(found_, "pos", "left_anti"))
+    open_ = spread(left, F.col("prefix"))
+    shut = spread(distinct.join(settled, "pos", "left_semi"), F.col("prefix"))
     # One after the other: each join's shuffle files go before the next one writes its own.
-    met = directed(land(positioned(within, threshold)).unionByName(land(positioned(across, threshold))))
-    turned = met.where("not later").join(settled.select(F.col("id").alias("shut")), met["with"] == F.col("shut"), "left_anti").select(F.col("with").alias("id"), F.col("id").alias("with"))
-    turned = directed(turned).where("later").drop("later")
-    more = verified(met.where("later").drop("later").unionByName(turned), lines, threshold)
+    met = [land(positioned(open_.alias("x").join(others.alias("y"), (F.col("x.key") == F.col("y.key")) & fits).select(*named), threshold)) for others in (open_, shut)]
+    more = verified(met[0].unionByName(met[1]), lines, distinct, threshold)
     gone = settled.unionByName(more).withColumn("gone", F.lit(True))
-    fate = distinct.select("id", "first", "times").join(gone, "id", "left").where("gone or times > 1").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    fate = distinct.select("id", "pos", "first", "times").join(gone, "pos", "left").where("gone or times > 1").select("id", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     places = lines.select("doc_id", "th", "line_no", F.xxhash64("line").alias("id"))
     hit = places.join(fate, "id").where(F.col("gone") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return hit.select("doc_id", "th", "line_no")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """(id): the lines that are similar to one they are paired with (id, with)."""
+def verified(pairs: DataFrame, lines: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """(pos): the lines that are similar to an earlier one they are paired with (pos, with)."""
     pairs = land(pairs)
-    needed = land(pairs.select("id").unionByName(pairs.select(F.col("with").alias("id"))).distinct())
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = land(once(texts, keys=word_hashes(F.col("line"))).select("id", F.size("keys").alias("n"), "keys"))
+    ends = pairs.select("pos").unionByName(pairs.select(F.col("with").alias("pos"))).distinct()
+    needed = land(distinct.select("pos", "id", "first").join(ends, "pos", "left_semi"))
+    wanted = needed.select("id")
+    wanted = F.broadcast(wanted) if needed.count() <= BROADCAST_IDS else wanted
+    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(wanted, "id", "left_semi").dropDuplicates(["id"]).join(needed, "id")
+    sets = land(once(texts, keys=word_hashes(F.col("line"))).select("pos", "first", F.size("keys").alias("n"), "keys"))
     a, b = sets.alias("a"), sets.alias("b")
-    both = pairs.join(a, pairs["id"] == F.col("a.id")).join(b, pairs["with"] == F.col("b.id")).where(similar("a", "b", threshold))
-    return land(both.select(pairs["id"]).distinct())
+    both = pairs.join(a, pairs["pos"] == F.col("a.pos")).join(b, pairs["with"] == F.col("b.pos"))
+    return land(both.where((F.col("b.first") < F.col("a.first")) & similar("a", "b", threshold)).select(pairs["pos"]).distinct())
 
 
 def line_report(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
