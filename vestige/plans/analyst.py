@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vestige.operators.segments import scan_sums
 from vestige.operators.timejoin import in_window
 from vestige.plans.graph_tables import all_edges
+from vestige.session import settle
 
 Tables = dict[str, DataFrame]
 
@@ -87,7 +88,8 @@ def call_activity(t: Tables) -> DataFrame:
     from vestige.operators.callwindows import window_activity
 
     member = t["member_of_mcp"].select("trace_id", "pid", "mcp_id").distinct()
-    edges = all_edges(t).filter("op <> 'unlink' AND op <> 'bind'").join(member, ["trace_id", "pid"])
+    # Landed: the running totals count their groups before they read them.
+    edges = settle(all_edges(t).filter("op <> 'unlink' AND op <> 'bind'").join(member, ["trace_id", "pid"]).select("trace_id", "mcp_id", "kind", "ts_ns"))
     calls = t["ToolCall"].withColumn("hi", F.when(F.col("t_close_ns") < 0, F.lit(1 << 62)).otherwise(F.col("t_close_ns")))
     shown = calls.withColumn("shut", F.col("t_close_ns")).withColumn("t_close_ns", F.col("hi"))
     out = window_activity(

@@ -88,8 +88,9 @@ def process_rows(events: DataFrame) -> DataFrame:
 def build(events: DataFrame, *, detector: str = "layered", registry: bool = True) -> dict[str, DataFrame]:
     """All kernel-side tables of a canonical event table."""
     states = binding.bind(events, detector=detector, registry=registry)
-    server_rows = settle(binding.servers(states, events))
-    calls = settle(binding.tool_calls(events, states, server_rows))
+    sent = binding.sends(events, states)
+    server_rows = settle(binding.servers(states, sent=sent))
+    calls = settle(binding.tool_calls(events, states, server_rows, sent=sent))
     of_session, of_server = binding.memberships(states)
     files, sockets = file_edges(events), socket_edges(events)
     inherited = states.filter("kind = 'clone'").select(
