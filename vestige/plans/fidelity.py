@@ -26,7 +26,7 @@ HOST_OBSERVABLE = (
 def host_execs(events: DataFrame) -> DataFrame:
     """First execve per host pid."""
     ex = events.filter("event = 'execve'").select("trace_id", "pid", "ts_ns", "seq", F.col("path").alias("image"), "argv")
-    return first_rows(ex, ["trace_id", "pid"], [F.col("ts_ns"), F.col("seq")])
+    return first_rows(ex, ["pid", "trace_id"], [F.col("ts_ns"), F.col("seq")])
 
 
 def _names(image, argv):
@@ -70,11 +70,15 @@ def process_fidelity(oracle: DataFrame, oracle_execs: DataFrame, events: DataFra
     """Per session: subprocess recall, count ratio, edge recall, root sightings, totals."""
     from vestige.session import settle
 
+    n = F.count(F.lit(1))
+    # One row per thread, for all counts and first sightings; by pid first, as traces are few and slow to sort by.
+    threads = settle(events.groupBy("pid", "tid", "trace_id").agg(n.alias("n"), F.min(F.struct("ts_ns", "seq")).alias("at")))
+    oracle_execs = settle(oracle_execs.select("trace_id", "pid", "ts_ns", "seq", "image", "argv"))
     host = settle(host_execs(events))
     bridge = settle(bridge_by_name(oracle_execs, host))
     o_par = graph.returned_children(oracle, ["trace_id"], "syscall")
-    o_par = o_par.groupBy("trace_id", "child").agg(F.max_by("parent", F.struct("ts_ns", "seq")).alias("parent"))
-    forest = settle(graph.inferred_forest(events))
+    o_par = settle(o_par.groupBy("trace_id", "child").agg(F.max_by("parent", F.struct("ts_ns", "seq")).alias("parent")))
+    forest = settle(graph.forest_of(threads.groupBy("pid", "trace_id").agg(F.min("at").alias("at")), events))
     h_par = forest.filter("parent IS NOT NULL").select("trace_id", F.col("pid").alias("child"), "parent")
     o_edges = projected_edges(o_par, oracle_execs.select("trace_id", F.col("pid").alias("node")))
     h_edges = projected_edges(h_par, host.select("trace_id", F.col("pid").alias("node")))
@@ -85,16 +89,15 @@ def process_fidelity(oracle: DataFrame, oracle_execs: DataFrame, events: DataFra
         known.withColumnRenamed("tid", "child"), ["trace_id", "child"], "left_semi"
     ).select("trace_id", F.col("parent").alias("p"), F.col("child").alias("c")).distinct()
     hit = kept.join(seen.withColumn("hit", F.lit(1)), ["trace_id", "p", "c"], "left")
-    n = F.count(F.lit(1))
     edges = hit.groupBy("trace_id").agg(n.alias("edges_in_l1_subgraph"), F.try_divide(F.count("hit").cast("double"), n).alias("edge_recall"))
     count = lambda df, name: df.groupBy("trace_id").agg(n.alias(name))
-    totals = events.groupBy("trace_id").agg(
-        F.count_distinct("pid").alias("host_pids_total"), F.count_distinct("tid").alias("host_tids_total"), n.alias("host_events")
+    totals = threads.groupBy("trace_id").agg(
+        F.count_distinct("pid").alias("host_pids_total"), F.count_distinct("tid").alias("host_tids_total"), F.sum("n").alias("host_events")
     )
-    last_exec = events.filter("event = 'execve'").groupBy("trace_id", "pid").agg(F.max_by("argv", F.struct("ts_ns", "seq")).alias("argv"))
     agent = F.coalesce(arg(F.col("argv"), 0), F.lit("")).contains(AGENT)
+    last_exec = events.filter("event = 'execve'").groupBy("pid", "trace_id").agg(F.max_by(agent, F.struct("ts_ns", "seq")).alias("agent"))
     roots = last_exec.join(forest, ["trace_id", "pid"]).groupBy("trace_id").agg(
-        F.bool_or(agent & F.col("parent").isNull()).alias("host_saw_claude_root"), F.bool_or(agent).alias("host_saw_claude_anywhere")
+        F.bool_or(F.col("agent") & F.col("parent").isNull()).alias("host_saw_claude_root"), F.bool_or("agent").alias("host_saw_claude_anywhere")
     )
     out = count(oracle_execs, "l1_subprocesses")
     for part in (count(host, "host_subprocesses"), count(bridge, "bridged"), edges, totals, roots):

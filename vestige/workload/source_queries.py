@@ -8,6 +8,7 @@ from vestige.functions import naming, rpc, strace as st, tokens
 from vestige.operators import detect, metrics, selection, subtree
 from vestige.operators.segments import MINUTE_NS
 from vestige.plans import fidelity
+from vestige.session import settle
 from vestige.sources import hostlog, sessions, strace
 from vestige.workload import oracle as o
 from vestige.workload import views as v
@@ -265,7 +266,8 @@ def bridge_by_time(spark, sf):
 )
 def process_fidelity(spark, sf):
     """Subprocess and edge recall of a host trace against its shifted copy as oracle."""
-    h = v.host(spark, sf)
+    # Landed once: the host's events and both parts of the oracle are made of these rows.
+    h = settle(v.host(spark, sf).select("trace_id", "ts_ns", "seq", "pid", "tid", "event", "path", "argv", "parent_pid", "child_pid"))
     ex = fidelity.host_execs(h)
     orc_ex = ex.select("trace_id", (F.col("pid") + 1_000_000).alias("pid"), (F.col("ts_ns") + 1_000_000).alias("ts_ns"), "seq", "image", "argv")
     orc = h.filter("event = 'sched_fork'").selectExpr(
